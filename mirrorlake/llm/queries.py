@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, packing, token_counts
+from . import bpe_codec, license_scan, ogg_audio, packing, token_counts
 from .common import documents
 
 
@@ -14,17 +14,25 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=1024, with_ids=False)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digests(documents(spark, sf_dir))
 
 
+def op8_ogg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg_audio.store(documents(spark, sf_dir), with_media=False)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), limit=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op6_bpe_codec, op9_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_license_scan, op6_bpe_codec, op8_ogg_audio, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": license_scan.oracle()}
