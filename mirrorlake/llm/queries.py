@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, license_scan, ogg_audio, packing, token_counts
-from .common import documents
+from . import bpe_codec, license_scan, lm_score, ogg_audio, packing, quality_model, quality_rules, token_counts, toxicity
+from .common import documents, labels
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,18 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_held_out(documents(spark, sf_dir), mod=10, held=0)
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digests(documents(spark, sf_dir))
 
@@ -30,8 +42,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), limit=1024)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+ALL = (op1_packing, op2_license_scan, op3_quality_rules, op4_quality_model, op5_lm_score, op6_bpe_codec, op8_ogg_audio, op9_token_counts, op10_toxicity)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_license_scan, op6_bpe_codec, op8_ogg_audio, op9_token_counts)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
