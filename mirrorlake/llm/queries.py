@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, license_scan, lm_score, ogg_audio, packing, quality_model, quality_rules, token_counts, toxicity
+from . import bpe_codec, license_scan, lm_score, near_duplicates, ogg_audio, packing, quality_model, quality_rules, token_counts, toxicity
 from .common import documents, labels
 
 
@@ -34,6 +34,10 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digests(documents(spark, sf_dir))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(documents(spark, sf_dir), words=2, percent=80)
+
+
 def op8_ogg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_audio.store(documents(spark, sf_dir), with_media=False)
 
@@ -46,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-ALL = (op1_packing, op2_license_scan, op3_quality_rules, op4_quality_model, op5_lm_score, op6_bpe_codec, op8_ogg_audio, op9_token_counts, op10_toxicity)
+ALL = (op1_packing, op2_license_scan, op3_quality_rules, op4_quality_model, op5_lm_score, op6_bpe_codec, op7_near_duplicates, op8_ogg_audio, op9_token_counts, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
