@@ -110,3 +110,21 @@ def local_path(path: str) -> str:
             shutil.copyfileobj(src, out)
         os.replace(f"{copy}.{os.getpid()}", copy)
     return copy
+
+
+# --- filters that keep whole rows -----------------------------------------------------------------
+
+
+def filter_texts(docs: DataFrame, accept) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose text ``accept`` (list of texts, null as empty, to a mask) takes; no shuffle."""
+    import pyarrow as pa
+
+    batches(docs.sparkSession, 1000, "2m")
+    at = docs.columns.index("text")
+
+    def work(stream):
+        for batch in stream:
+            if batch.num_rows:
+                yield batch.filter(pa.array(accept([t or "" for t in batch.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -274,6 +274,8 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     for turn in range(ROUNDS + 1):
         at = f"{root}/round-{turn}"
         waiting = settle(spark, open_buckets(), f"{at}/open") if turn else component(index)
+        if turn and waiting.limit(1).count() == 0:
+            break
         if turn < ROUNDS:
             rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node").alias("hub"), F.col("component").alias("hub_component"))
             hubs = waiting.groupBy("key").agg(F.min(rank).alias("h")).select("key", "h.hub", "h.hub_component", "h.r")
@@ -298,7 +300,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         pairs = settle(spark, pairs, f"{at}/pairs")
         found = settle(spark, verified(pairs, docs, words, percent, at), f"{at}/links")
         links = found if links is None else links.unionAll(found)
-        labels = components(links, f"{at}/components").withColumnRenamed("component", "component")
+        labels = components(links, f"{at}/components")
     joined = made.join(component(classes).select("set_hash", "component"), "set_hash", "left")
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", linked.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

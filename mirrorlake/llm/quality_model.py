@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fold
+from .common import batches, filter_texts, fold
 from .labelled import labelled
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -189,6 +189,11 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
     return docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long"), "held_out").mapInArrow(work, SCHEMA)
 
 
+def accepted(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """Whole rows of ``docs`` whose texts score ``threshold`` or more."""
+    return filter_texts(docs, lambda texts: net.scores([t.encode() for t in texts]) >= threshold)
+
+
 def classify(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> DataFrame:
     """Learn from the labelled documents outside the held-out fold, score all."""
     net = fit(labelled(docs.where(fold(mod) != held), labels, "quality"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fold
+from .common import batches, filter_texts, fold
 from .kneser_ney import Layout, letters_of, reader, text_batches, train
 from .labelled import labelled
 
@@ -41,6 +41,12 @@ class Model:
     layout: Layout
     curve: tuple[np.ndarray, np.ndarray, np.ndarray] | None  # centre, scale, weights (the constant last)
 
+    def scores(self, words: list[list[bytes]]) -> np.ndarray:
+        if self.curve is None:
+            return np.zeros(len(words))
+        centre, scale, w = self.curve
+        return 1 / (1 + np.exp(-np.clip((_features_of(self.layout, words) - centre) / scale @ w[:-1] + w[-1], -30, 30)))
+
 
 def features(evidence: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Rows of: mean evidence of the text, then of its strongest span of each length (the whole text if it is shorter)."""
@@ -107,16 +113,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for others, words in text_batches(stream, letters_of):
             doc, held = zip(*others, strict=True)
-            if model.curve is None:
-                s = np.zeros(len(doc))
-            else:
-                centre, scale, w = model.curve
-                s = 1 / (1 + np.exp(-np.clip((_features_of(model.layout, words) - centre) / scale @ w[:-1] + w[-1], -30, 30)))
+            s = model.scores(words)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(held, pa.bool_()), pa.array(s), pa.array((s >= threshold).astype(np.int32))], schema=schema)
 
     return docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long"), "held_out").mapInArrow(work, SCHEMA)
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Whole rows of ``docs`` whose texts score less than ``threshold``."""
+    return filter_texts(docs, lambda texts: model.scores(list(map(letters_of, texts))) < threshold)
+
+
 def classify(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1) -> DataFrame:
     """Learn from the labelled documents outside the held-out fold, score all."""
     model = fit(labelled(docs.where(fold(mod) != held), labels, "toxic"))
