@@ -1,0 +1,3 @@
+"""The registered queries; importing this package registers all of them."""
+
+from . import artifacts, candidates, evaluation, fingerprinting, grouping, history, projections, ranking, scalars, semantics, sources, stores, verification  # noqa: F401
