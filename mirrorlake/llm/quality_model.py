@@ -71,7 +71,9 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     x = data.astype(np.uint32)
     if len(x) >= 3:
         key = (x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]) * np.uint32(2654435761)
-        grams = np.bincount(passage[:-2] * BUCKETS + (key >> np.uint32(24)).astype(np.int64), minlength=n * BUCKETS).reshape(n, BUCKETS)
+        inside = (np.repeat(size, size) - within)[:-2] > 2  # a trigram doesn't reach over into the next text
+        cell = passage[:-2] * BUCKETS + (key >> np.uint32(24)).astype(np.int64)
+        grams = np.bincount(cell[inside], minlength=n * BUCKETS).reshape(n, BUCKETS)
     else:
         grams = np.zeros((n, BUCKETS), np.int64)
     kinds = np.bincount(passage * 8 + CLASSES[data], minlength=n * 8).reshape(n, 8)
