@@ -17,7 +17,6 @@ doc_id stays null; an empty table gives no rows.
 from __future__ import annotations
 
 import array
-import functools
 import hashlib
 import re
 import unicodedata
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_machine import word_end_machine
-from .common import batches
+from .common import batches, worker_cache
 from .tokenizer_files import easy_collection, read_vocabulary, vocabulary_path
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -123,7 +122,7 @@ class WordBpe:
         return " ".join(map(self.shown.__getitem__, array.array("I", ids)))
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache("word-bpe")
 def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 

@@ -12,8 +12,7 @@ encoding.
 
 from __future__ import annotations
 
-import functools
-
+from .common import worker_cache
 from .tokenizer_files import byte_alphabet, read_vocabulary
 
 NONE = -1
@@ -155,7 +154,7 @@ class BpeMachine:
         return out[::-1]
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache("token-counts")
 def byte_level_machine(path: str) -> BpeMachine:
     """For a byte-level vocabulary: the symbols are the 256 bytes."""
     model = read_vocabulary(path)["model"]
@@ -166,7 +165,7 @@ def byte_level_machine(path: str) -> BpeMachine:
     return BpeMachine(spelled, base, _merges(model))
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache("word-bpe")
 def word_end_machine(path: str) -> BpeMachine:
     """For a vocabulary with word ends: 256 bytes, then the 256 bytes that end a word."""
     model = read_vocabulary(path)["model"]

@@ -66,6 +66,46 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return path
 
 
+_WORKER_CACHES: dict[str, list] = {}
+
+
+def worker_cache(owner: str):
+    """A one-place cache of a worker process that is emptied when another owner's work begins there.
+
+    Workers are used again by later stages; without this their memory would be the sum of all operators' caches.
+    """
+    import functools
+
+    def wrap(make):
+        held = functools.lru_cache(maxsize=1)(make)
+        _WORKER_CACHES.setdefault(owner, []).append(held)
+
+        @functools.wraps(make)
+        def get(*args):
+            for other, caches in _WORKER_CACHES.items():
+                if other != owner and any(c.cache_info().currsize for c in caches):
+                    for c in caches:
+                        c.cache_clear()
+                    _give_back()
+            return held(*args)
+
+        return get
+
+    return wrap
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def settle(spark: SparkSession, frame: DataFrame, path: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
     schema = frame.schema

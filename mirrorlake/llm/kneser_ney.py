@@ -22,7 +22,6 @@ cut-offs of rare entries.
 
 from __future__ import annotations
 
-import functools
 import json
 import math
 from collections import Counter
@@ -33,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches, local_path, put_bytes, settle, shared_dir
+from .common import batches, local_path, put_bytes, settle, shared_dir, worker_cache
 
 #: The end of a text as a token: holds a space, so that no word equals it.
 END_TOKEN = b" end"
@@ -186,7 +185,7 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def text_batches(stream: Iterator[pa.RecordBatch], split: Callable[[str | None], list[bytes]] = words_of, rows: int = 400_000) -> Iterator[tuple[list, list[list[bytes]]]]:
+def text_batches(stream: Iterator[pa.RecordBatch], split: Callable[[str | None], list[bytes]] = words_of, rows: int = 200_000) -> Iterator[tuple[list, list[list[bytes]]]]:
     """Rows and the words of their texts, in groups of bounded size (one text at least)."""
     keep, words, n = [], [], 0
     for batch in stream:
@@ -353,7 +352,7 @@ def train(texts: DataFrame, tag: str, classes: int = 1, rare_below: int = 0, spl
 class Reader:
     """A model's arrays mapped into a worker's memory.  Ids: 0 begins a text, 1 and up are the vocabulary."""
 
-    def __init__(self, layout: Layout, keep: int = 400_000):
+    def __init__(self, layout: Layout, keep: int = 250_000):
         self.layout, self.keep = layout, keep
         self.first = np.concatenate(([0], np.cumsum(layout.vocab))).astype(np.int64)
         self.maps: dict[str, np.ndarray] = {}
@@ -507,7 +506,7 @@ class Reader:
         return out[where.ravel()]
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache("kneser-ney")
 def _reader(root: str, text: str) -> Reader:
     import pickle
 

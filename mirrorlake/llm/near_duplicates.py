@@ -17,8 +17,9 @@ close enough by signature are verified; a bucket of more than ``BLOCK`` members
 no task holds more than two blocks of one.  No link between different sets that meet is thus left
 untested unless both are already connected.
 
-Verification ships sets (5-byte hashes, sorted) only of documents in a pair under test, and compares
-exact sizes of intersection and union.
+Full sets (sorted 40-bit hashes) of the documents that share a bucket are written once as files in the
+shared folder and mapped by the workers, which compare exact sizes of intersection and union where the
+candidates arise: neither sets nor untested pairs are shuffled.
 
 Documents without words have an empty set and link with nothing; with fewer words than a shingle the
 whole sequence is the one shingle.  Rows with a null doc_id link with nothing.  Rows that repeat a doc_id
@@ -30,15 +31,16 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, settle, shared_dir
+from .common import batches, local_path, put_bytes, settle, shared_dir, worker_cache
 from .components import components
-from .kneser_ney import mix, text_batches, word_hash, words_of
+from .kneser_ney import SHARD_BYTES, block_batches, mix, text_batches, word_hash, words_of
 
 CHUNKS, WIDE, ERRORS = 10, 5, 1
 VALUES = CHUNKS * WIDE
@@ -53,7 +55,7 @@ _SEEDS = np.random.default_rng(20240501).integers(1, 2**63, (VALUES, 2), dtype=n
 class Hashes:
     """Word hashes of a worker process, remembered up to a bound."""
 
-    def __init__(self, keep: int = 400_000):
+    def __init__(self, keep: int = 250_000):
         self.known: dict[bytes, int] = {}
         self.keep = keep
 
@@ -72,13 +74,15 @@ class Hashes:
         return np.array(found, np.uint64)
 
 
-_HASHES = Hashes()
+@worker_cache("near-duplicates")
+def hashes() -> Hashes:
+    return Hashes()
 
 
 def shingle_sets(texts: list[list[bytes]], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, end to end, and the number of each text's."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
-    flat = _HASHES.of([w for t in texts for w in t])
+    flat = hashes().of([w for t in texts for w in t])
     first = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
     n = np.where(size >= words, size - words + 1, np.minimum(size, 1))
     text = np.repeat(np.arange(len(texts)), n)
@@ -139,16 +143,17 @@ def index_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def entries(representatives: DataFrame) -> DataFrame:
-    """(key, node) for every key of every representative."""
+    """(key, node, slot) for every key of every representative; the slot is the key's number."""
     per = CHUNKS * math.comb(WIDE, ERRORS)
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             if batch.num_rows:
                 keys = index_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, VALUES))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), per))], names=["key", "node"])
+                slots = np.tile(np.arange(per, dtype=np.int32), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), per)), pa.array(slots)], names=["key", "node", "slot"])
 
-    return representatives.select("node", "signature").mapInArrow(work, "key long, node long")
+    return representatives.select("node", "signature").mapInArrow(work, "key long, node long, slot int")
 
 
 def distances(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
@@ -166,38 +171,116 @@ def distances(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long, distance int")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, root: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+def store_sets(docs: DataFrame, wanted: DataFrame, words: int, root: str) -> SetFiles:
+    """Write the sets of the ``wanted`` (node) documents as files in the shared folder, in shards of bounded size."""
+    needed = docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long")).join(few(wanted.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").select("text", "doc_id")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, math.ceil(size / SHARD_BYTES))
 
     def build(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for others, texts in text_batches(stream, words_of, 200_000):
             h, count = shingle_sets(texts, words)
-            five = np.ascontiguousarray((h >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
-            data, ends = five.tobytes(), np.cumsum(count).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in others], pa.int64()), pa.array([data[5 * (e - n) : 5 * e] for e, n in zip(ends, count.tolist(), strict=True)], pa.binary())], names=["doc_id", "members"])
-
-    needed = docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long")).join(few(wanted), "doc_id", "left_semi").select("text", "doc_id")
-    sets = settle(spark, needed.mapInArrow(build, "doc_id long, members binary").groupBy("doc_id").agg(F.first("members").alias("members")), f"{root}/sets")
+            data = np.ascontiguousarray((h >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+            ids, ends = np.array([o[0] for o in others], np.int64), np.cumsum(count)
+            to = shard_of(ids, shards)
+            blocks = []
+            for s in np.unique(to).tolist():
+                at = np.flatnonzero(to == s)
+                blocks.append((s, np.int64(len(at)).tobytes() + ids[at].tobytes() + count[at].astype(np.int64).tobytes() + b"".join(data[5 * (ends[k] - count[k]) : 5 * ends[k]] for k in at.tolist())))
+            yield from block_batches(iter(blocks))
+
+    def keep(table: pa.Table) -> pa.Table:
+        ids, counts, data = [], [], []
+        for cell in table.column("payload"):
+            raw = cell.as_py()
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            ids.append(np.frombuffer(raw, np.int64, n, 8))
+            counts.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
+            ends = np.cumsum(counts[-1])
+            data += [raw[8 + 16 * n + 5 * (e - c) : 8 + 16 * n + 5 * e] for e, c in zip(ends.tolist(), counts[-1].tolist(), strict=True)]
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        ids, first = np.unique(ids, return_index=True)
+        shard = table.column("shard")[0].as_py()
+        ends = np.concatenate(([0], np.cumsum(counts[first])))
+        put_bytes(f"{root}/sets-{shard}", ids.tobytes() + ends.tobytes() + b"".join(data[k] for k in first.tolist()))
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(ids)], pa.int64())})
+
+    rows = needed.mapInArrow(build, "shard int, payload binary").groupBy("shard").applyInArrow(keep, "shard int, n long").collect()
+    return SetFiles(root, shards, tuple(sorted((r.shard, r.n) for r in rows)))
+
+
+def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class SetFiles:
+    root: str
+    shards: int
+    sizes: tuple[tuple[int, int], ...]
+
+
+class Sets:
+    """Full sets (sorted 40-bit hashes), mapped from the shared folder."""
+
+    def __init__(self, files: SetFiles):
+        self.files, self.sizes = files, dict(files.sizes)
+        self.maps: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.recent: dict[int, np.ndarray] = {}
+
+    def get(self, node: int) -> np.ndarray:
+        found = self.recent.get(node)
+        if found is None:
+            s = int(shard_of(np.array([node], np.int64), self.files.shards)[0])
+            if s not in self.maps:
+                raw, n = np.memmap(local_path(f"{self.files.root}/sets-{s}"), np.uint8, "r"), self.sizes[s]
+                self.maps[s] = raw[: 8 * n].view(np.int64), raw[8 * n : 16 * n + 8].view(np.int64), raw[16 * n + 8 :]
+            ids, ends, data = self.maps[s]
+            k = int(np.searchsorted(ids, node))
+            a, b = int(ends[k]), int(ends[k + 1])
+            wide = np.zeros((b - a, 8), np.uint8)
+            wide[:, :5] = data[5 * a : 5 * b].reshape(-1, 5)
+            found = wide.view(np.uint64).ravel()
+            if len(found) < 4000:
+                if len(self.recent) > 8000:
+                    self.recent.clear()
+                self.recent[node] = found
+        return found
+
+    def alike(self, a: int, others: list[int], percent: int) -> list[bool]:
+        """Whether the set of ``a`` and each of the others' are similar enough, by exact sizes."""
+        x, out = self.get(a), []
+        at = 0
+        while at < len(others):
+            sets, n = [], 0
+            while at < len(others) and (not sets or n < 500_000):
+                sets.append(self.get(others[at]))
+                n += len(sets[-1])
+                at += 1
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            every = np.concatenate(sets)
+            hit = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+            both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(size)[:-1])))
+            out += (100 * both >= percent * (len(x) + size - both)).tolist()
+        return out
+
+
+@worker_cache("near-duplicates")
+def sets_of(files: SetFiles) -> Sets:
+    return Sets(files)
+
+
+def verified(pairs: DataFrame, files: SetFiles, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets are similar enough."""
 
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def wide(data: bytes) -> np.ndarray:
-            out = np.zeros((len(data) // 5, 8), np.uint8)
-            out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-            return out.view(np.uint64).ravel()
-
+        sets = sets_of(files)
         for batch in stream:
-            same = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = wide(x.as_py()), wide(y.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(100 * both >= percent * (len(x) + len(y) - both))
-            hit = np.array(same, bool)
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            hit = np.array([sets.alike(y, [x], percent)[0] for x, y in zip(a, b, strict=True)], bool)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(i).to_numpy()[hit]) for i in (0, 1)], names=["a", "b"])
 
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("members").alias(f"m{c}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long")
+    return pairs.select("a", "b").mapInArrow(compare, "a long, b long")
 
 
 def few(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
@@ -205,28 +288,60 @@ def few(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components, near by signature.  ``members``: bucket, node, component, signature, part (0, 1, or 2 for both sides)."""
+def cross_links(members: DataFrame, files: SetFiles, percent: int) -> DataFrame:
+    """Links between members of one bucket in different components, tested on the full sets where they are.
+
+    ``members``: bucket, node, component, signature, part (0, 1, or 2 for both sides), slot, n.  A pair that
+    shares several buckets is tested in that of the first key on which its signatures agree.  Once two
+    components are linked within a bucket, their other pairs there need no test.  Only links leave the task.
+    """
+    agree = key_matrix()
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = sets_of(files)
         held: list[pa.RecordBatch] = []
 
         def flush(table: pa.Table) -> pa.RecordBatch:
-            bucket, node, comp, part = (table.column(i).to_numpy() for i in (0, 1, 2, 4))
+            bucket, node, comp, part, slot, size = (table.column(i).to_numpy() for i in (0, 1, 2, 4, 5, 6))
             sig = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint16).reshape(-1, VALUES)
-            out, offset = [], 1
+            found, offset = [], 1
             while offset < len(bucket):
                 same = np.flatnonzero(bucket[:-offset] == bucket[offset:])
                 if not len(same):
                     break
                 i = same[(comp[same] != comp[same + offset]) & ((part[same] == 2) | (part[same] != part[same + offset]))]
-                for at in range(0, len(i), 100_000):
-                    x = i[at : at + 100_000]
-                    x = x[(sig[x] != sig[x + offset]).sum(1) <= FARTHEST]
-                    out.append(np.stack([node[x], node[x + offset]]))
+                i = i[100 * np.minimum(size[i], size[i + offset]) >= percent * np.maximum(size[i], size[i + offset])]
+                for at in range(0, len(i), 50_000):
+                    x = i[at : at + 50_000]
+                    equal = sig[x] == sig[x + offset]
+                    near = VALUES - equal.sum(1) <= FARTHEST
+                    x, equal = x[near], equal[near]
+                    first = (equal.astype(np.int16) @ agree == WIDE - ERRORS).argmax(1) == slot[x]
+                    x = x[first]
+                    found.append(np.stack([x, x + offset, VALUES - equal[first].sum(1)]))
                 offset += 1
-            pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1) if out else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            links: list[tuple[int, int]] = []
+            pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+            if pairs.shape[1]:
+                x, y, d = pairs[:, np.lexsort((pairs[2], pairs[0]))]
+                joined: dict[int, int] = {}
+
+                def find(c: int) -> int:
+                    while joined.get(c, c) != c:
+                        c = joined[c]
+                    return c
+
+                edge = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True])))
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    me, mine = int(node[x[a]]), int(comp[x[a]])
+                    for at in range(a, b, 64):
+                        rows = [int(r) for r in y[at : min(b, at + 64)] if find(int(comp[r])) != find(mine)]
+                        if rows:
+                            for r, same_enough in zip(rows, sets.alike(me, [int(node[r]) for r in rows], percent), strict=True):
+                                if same_enough:
+                                    links.append((me, int(node[r])))
+                                    joined[find(mine)] = find(int(comp[r]))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in stream:
             if not batch.num_rows:
@@ -240,7 +355,18 @@ def cross_pairs(members: DataFrame) -> DataFrame:
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return members.select("bucket", "node", "component", "signature", "part").mapInArrow(work, "a long, b long").distinct()
+    return members.select("bucket", "node", "component", "signature", "part", "slot", "n").mapInArrow(work, "a long, b long")
+
+
+def key_matrix() -> np.ndarray:
+    """VALUES x keys: which values each key is made of."""
+    columns = []
+    for chunk in range(CHUNKS):
+        for kept in itertools.combinations(range(WIDE), WIDE - ERRORS):
+            column = np.zeros(VALUES, np.int16)
+            column[[chunk * WIDE + i for i in kept]] = 1
+            columns.append(column)
+    return np.column_stack(columns)
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -257,6 +383,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # keys held by one class alone can't make a pair
     shared = index.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     index = settle(spark, index.join(shared, "key"), f"{root}/buckets")
+    files = store_sets(docs, index.select("node").distinct(), words, root)
     labels = None
 
     def component(frame: DataFrame) -> DataFrame:
@@ -287,6 +414,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
                 F.min(F.struct("distance", "r", "b")).alias("closest"),
             )
             pairs = best.select("a", F.explode(F.array_distinct(F.array("first.b", "closest.b"))).alias("b"))
+            found = verified(settle(spark, pairs, f"{at}/pairs"), files, percent)
         else:
             blocks = F.ceil(F.col("held") / BLOCK).cast("int")
             own = F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / BLOCK)).cast("int")
@@ -294,11 +422,10 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             lo, hi = F.least("own", "other"), F.greatest("own", "other")
             part = F.when(lo == hi, 2).when(F.col("own") == lo, 0).otherwise(1)
-            members = spread.select(F.xxhash64("key", lo, hi).alias("bucket"), "node", "component", part.cast("int").alias("part"))
-            members = members.join(classes.select("node", "signature"), "node")
-            pairs = cross_pairs(members.repartition("bucket").sortWithinPartitions("bucket"))
-        pairs = settle(spark, pairs, f"{at}/pairs")
-        found = settle(spark, verified(pairs, docs, words, percent, at), f"{at}/links")
+            members = spread.select(F.xxhash64("key", lo, hi).alias("bucket"), "node", "component", "slot", part.cast("int").alias("part"))
+            members = members.join(classes.select("node", "signature", "n"), "node")
+            found = cross_links(members.repartition("bucket").sortWithinPartitions("bucket"), files, percent)
+        found = settle(spark, found, f"{at}/links")
         links = found if links is None else links.unionAll(found)
         labels = components(links, f"{at}/components")
     joined = made.join(component(classes).select("set_hash", "component"), "set_hash", "left")

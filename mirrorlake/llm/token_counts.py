@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_machine import byte_level_machine
-from .common import batches
+from .common import batches, worker_cache
 from .tokenizer_files import easy_collection, read_vocabulary, vocabulary_path
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -210,7 +210,7 @@ class Counter:
         return np.array(found, np.int64)
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache("token-counts")
 def counter(path: str) -> Counter:
     return Counter(path)
 

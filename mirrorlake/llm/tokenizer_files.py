@@ -8,6 +8,8 @@ import json
 
 import numpy as np
 
+from .common import worker_cache
+
 #: The byte-level splitting pattern that belongs to the vocabulary file, in a form without back-tracking.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -32,13 +34,13 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def read_vocabulary(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache("byte-bpe")
 def byte_bpe_encoder(path: str):
     """The byte-level BPE file as a rank encoder, its added tokens as specials; gives the ids that the tokenizers library gives."""
     import tiktoken
@@ -58,7 +60,7 @@ class ByteBpe:
     spaces, an end in a space or a special string take the plain way.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 350_000):
         import array
 
         easy_collection()
@@ -115,6 +117,6 @@ class ByteBpe:
         self.cache.update(zip(chunks, [packed[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache("byte-bpe")
 def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
