@@ -44,7 +44,7 @@ from .kneser_ney import SHARD_BYTES, block_batches, mix, text_batches, word_hash
 
 CHUNKS, WIDE, ERRORS = 10, 5, 1
 VALUES = CHUNKS * WIDE
-#: Pairs further apart are not verified: similarity 0.8 gives 10 differing values in the mean, and more than this with a chance below 1e-7.
+#: Pairs further apart are not verified: similarity 0.8 gives 10 differing values in the mean, and more than this with a chance of about 1e-7.
 FARTHEST = 26
 ROUNDS, PER_ROUND, BLOCK = 2, 2, 2048
 PROFILE = "doc_id long, n_shingles long, set_hash binary, signature binary"

@@ -4,8 +4,9 @@ Labelled training documents are counted by class into one set of arrays (``knese
 its own discounted word counts (a word counts once a document) over one continuation distribution, counted from the bigrams of both
 classes, that takes what the discounts free.  A word seen fewer than ``RARE`` times in both together
 gives all its counts to that shared backoff, so it argues for neither class.  (Class-conditional bigrams
-over these were tried: their sparse contexts add noise and lowered the held-out area under the curve
-from 0.92 to 0.90.)  A token's evidence is the difference of the two classes' log probabilities; a document's features
+over these were tried and left out: their sparse contexts add noise.  With the settings of that time the
+area under the curve of the strongest token was 0.91 with them and 0.92 without, of the text's mean
+0.67 and 0.75, on the fold that the settings were then chosen on.)  A token's evidence is the difference of the two classes' log probabilities; a document's features
 are that difference normalised by length, over the whole text and over its strongest spans (toxic words
 stand in few places of a long text).  A logistic curve over the features, fitted to training documents
 that the models were not counted on, gives the score.
