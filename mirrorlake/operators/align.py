@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 def lcs(a, b, band: int = 64, most_cells: int = 4_000_000) -> int | None:
@@ -28,7 +29,7 @@ def lcs(a, b, band: int = 64, most_cells: int = 4_000_000) -> int | None:
     return int(row[-1])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 LCS / (n + m); 1 for two empty sequences; null if it isn't measured."""
     out = []
@@ -39,7 +40,7 @@ def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("edits long, changes long")
+@F.pandas_udf(StructType([StructField("edits", LongType()), StructField("changes", LongType())]))
 def substitution_witness(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Best alignment with 3 for equal and 2 for replaced elements: how many edits, and how many distinct replacements."""
     rows = []

@@ -1,23 +1,41 @@
-"""Graph operators by rounds of joins; every round is deduplicated and its lineage cut where there is a checkpoint folder."""
+"""Graph operators by rounds of joins; every round is deduplicated and its lineage cut."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_MADE: list[str] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    for path in _MADE:
+        shutil.rmtree(path, ignore_errors=True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder; one is set only where none is."""
-    context = frame.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mirrorlake-"))
-    return frame.checkpoint()
+    """Cut the lineage: the rows are written to the shared folder (spark.checkpoint.dir) and read back; a folder is made only where none is set."""
+    spark = frame.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not _MADE:
+            _MADE.append(tempfile.mkdtemp(prefix="mirrorlake-"))
+        root = _MADE[0]
+    path, schema = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}", frame.schema
+    frame.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node): every node that a root reaches, itself included.  ``edges``: src, dst; ``roots``: root.  Cycles end, since only new rows go on."""
+    edges = cut(edges.select("src", "dst").distinct())
     seen = front = cut(roots.select("root", F.col("root").alias("node")).distinct())
     while True:
         step = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
