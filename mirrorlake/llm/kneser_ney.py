@@ -37,7 +37,7 @@ from .common import batches, local_path, put_bytes, settle, shared_dir, worker_c
 #: The end of a text as a token: holds a space, so that no word equals it.
 END_TOKEN = b" end"
 #: Bytes of text for which one shard is laid out, entries of a task that are sorted at once, ids in a range.
-SHARD_BYTES, RUN, RANGE = 24 << 20, 3_000_000, 1 << 20
+SHARD_BYTES, RUN, RANGE = 16 << 20, 1_500_000, 1 << 20
 BLOCKS = "shard int, payload binary"
 UNKNOWN = np.uint64(0xFFFFFFFF)
 
@@ -49,19 +49,25 @@ def pack_block(keys: np.ndarray, counts: np.ndarray) -> bytes:
     import zstandard
 
     steps = np.diff(keys, prepend=np.uint64(0))
-    small = counts.astype(np.uint32)
-    head = np.array([len(keys), counts.shape[1]], np.uint32).tobytes()
-    planes = steps.view(np.uint8).reshape(-1, 8).T.tobytes() + small.view(np.uint8).reshape(-1, 4 * counts.shape[1]).T.tobytes()
+    small = np.ascontiguousarray(narrow(counts))
+    wide = small.dtype.itemsize
+    head = np.array([len(keys), counts.shape[1], wide], np.uint32).tobytes()
+    planes = steps.view(np.uint8).reshape(-1, 8).T.tobytes() + small.view(np.uint8).reshape(-1, wide * counts.shape[1]).T.tobytes()
     return head + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in four bytes where all of them fit, else in eight."""
+    return counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts.astype(np.int64)
+
+
 def unpack_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
-    n, m = np.frombuffer(data, np.uint32, 2).tolist()
-    planes = zstandard.ZstdDecompressor().decompress(data[8:])
+    n, m, wide = np.frombuffer(data, np.uint32, 3).tolist()
+    planes = zstandard.ZstdDecompressor().decompress(data[12:])
     steps = np.ascontiguousarray(np.frombuffer(planes, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel()
-    counts = np.ascontiguousarray(np.frombuffer(planes, np.uint8, 4 * m * n, 8 * n).reshape(4 * m, n).T).view(np.uint32).reshape(n, m)
+    counts = np.ascontiguousarray(np.frombuffer(planes, np.uint8, wide * m * n, 8 * n).reshape(wide * m, n).T).view(np.uint32 if wide == 4 else np.int64).reshape(n, m)
     return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
 
 
@@ -76,7 +82,7 @@ def sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Tally:
-    """Counts of a task, sorted and summed whenever enough have come in."""
+    """Counts of a task, sorted and summed whenever enough have come in; ``full`` once that many distinct ones are held."""
 
     def __init__(self, classes: int):
         self.classes, self.parts, self.size = classes, [], 0
@@ -86,7 +92,12 @@ class Tally:
         self.size += len(keys)
         if self.size >= RUN and len(self.parts) > 1:
             self.parts = [self.merged()]
-            self.size = len(self.parts[0][0]) // 2  # a run grows before it is sorted anew
+            self.size = len(self.parts[0][0])
+
+    @property
+    def full(self) -> bool:
+        """Half a run of distinct keys is left after summing: it is sent on, so that a task of any size holds a run at most."""
+        return len(self.parts) == 1 and self.size >= RUN // 2
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
@@ -128,7 +139,7 @@ def _block_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def merge_blocks(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-    """All blocks of one shard summed, a few at a time."""
+    """All blocks of one shard summed, a few at a time; sums are in eight bytes."""
     keys, counts, held, size = None, None, [], 0
     column = table.column("payload")
     for i, cell in enumerate(column):
@@ -215,7 +226,7 @@ class Layout:
     vocab: list[int]  # entries of each vocabulary shard
     totals: list[int]  # tokens by class
     rare_below: int
-    pair_sizes: dict[int, int] | None = None
+    pair_sizes: dict[int, tuple[int, int]] | None = None  # entries and the bytes of a count, by shard
     pair_discounts: list[list[float]] | None = None  # by class
     lower_discounts: list[float] | None = None
     lower_counts: list[int] | None = None  # entries with 1, 2, 3 or more distinct left neighbours
@@ -238,16 +249,33 @@ def discounts(counts: list[int]) -> list[float]:
     return [min(max(d, 0.05), top) for d, top in zip(raw, (1.0, 1.95, 2.9), strict=True)]
 
 
+def context_sums(keys: np.ndarray, counts: np.ndarray, rare_below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of sorted bigram keys with, by class: the total, the entries with 1, 2, 3 or more, and the counts of rare entries."""
+    if not len(keys):
+        return keys, np.zeros((0, 5 * counts.shape[1]), np.int64)
+    left = keys >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
+    firm = counts.sum(1) >= rare_below
+
+    def total(column: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(column.astype(np.int64), first)
+
+    columns = list(counts.T)
+    kinds = [columns, [firm & (c == 1) for c in columns], [firm & (c == 2) for c in columns], [firm & (c >= 3) for c in columns], [np.where(firm, 0, c) for c in columns]]
+    return left[first], np.stack([total(c) for kind in kinds for c in kind], axis=1)
+
+
 def _count_of_counts(column: np.ndarray) -> list[int]:
     return [int(np.count_nonzero(column == k)) for k in (1, 2, 3, 4)]
 
 
-def train(texts: DataFrame, tag: str, classes: int = 1, rare_below: int = 0, split: Callable[[str | None], list[bytes]] = words_of, once: bool = False) -> Layout:
+def train(texts: DataFrame, tag: str, classes: int = 1, rare_below: int = 0, split: Callable[[str | None], list[bytes]] = words_of, once: bool = False, contexts: bool = True) -> Layout:
     """Count a model over ``texts``: a column text and, if there are several classes, an int column class.
 
     Expressions seen fewer than ``rare_below`` times in all classes together give their whole count to
     the shared backoff.  With ``once`` a word counts once a text in its class's counts (bigrams count as
-    they stand), so that a text repeating a word isn't more evidence than one using it.  An empty table gives an empty model, by which every token is unknown.
+    they stand), so that a text repeating a word isn't more evidence than one using it.  Without ``contexts`` bigrams give
+    the continuation counts only, which is what ``Reader.class_log_probabilities`` reads.  An empty table gives an empty model, by which every token is unknown.
     """
     spark = texts.sparkSession
     batches(spark, 1000, "4m")
@@ -273,6 +301,8 @@ def train(texts: DataFrame, tag: str, classes: int = 1, rare_below: int = 0, spl
                         seen[END_TOKEN] += 1
                 keys = np.fromiter(map(word_hash, seen), np.uint64, len(seen))
                 tally.add(*sum_by_key(keys, classed(np.fromiter(seen.values(), np.int64, len(seen)), label)))
+            if tally.full:
+                yield from block_batches(tally.blocks(hash_shard(shards)))
         yield from block_batches(tally.blocks(hash_shard(shards)))
 
     def store_words(table: pa.Table) -> pa.Table:
@@ -308,32 +338,34 @@ def train(texts: DataFrame, tag: str, classes: int = 1, rare_below: int = 0, spl
                 if len(own):
                     first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
                     tally.add(own[first], classed(np.diff(np.append(first, len(own))), c))
+            if tally.full:
+                yield from block_batches(tally.blocks(pair_shard(shards)))
         yield from block_batches(tally.blocks(pair_shard(shards)))
 
     def store_pairs(table: pa.Table) -> pa.Table:
         shard, keys, counts = merge_blocks(table)
-        put_bytes(f"{root}/pairs-{shard}", keys.tobytes() + np.ascontiguousarray(counts.T.astype(np.uint32)).tobytes())
-        firm = counts.sum(1, keepdims=True) >= rare_below
-        kept = np.where(firm, counts, 0)
-        # by context and class: the total, the entries with 1, 2, 3 or more, and the counts of rare entries
-        stats = np.concatenate([counts, kept == 1, kept == 2, kept >= 3, np.where(firm, 0, counts)], axis=1).astype(np.int64)
-        left, right = keys >> np.uint64(32), keys & UNKNOWN
-        context, sums = sum_by_key(left, stats)
-        after, neighbours = sum_by_key(right, np.ones((len(keys), 1), np.int64))
-        rows = [(2 * s, p) for s, p in cut_blocks(context, sums, id_range)] + [(2 * s + 1, p) for s, p in cut_blocks(after, neighbours, id_range)]
-        coc = json.dumps({"n": len(keys), "coc": [_count_of_counts(c) for c in counts.T]})
+        after, neighbours = np.unique(keys & UNKNOWN, return_counts=True)
+        rows = [(2 * s + 1, p) for s, p in cut_blocks(after, neighbours[:, None], id_range)]
+        facts = {"n": len(keys), "coc": [_count_of_counts(c) for c in counts.T]}
+        if contexts:
+            small = narrow(counts)
+            facts["wide"] = small.dtype.itemsize
+            put_bytes(f"{root}/pairs-{shard}", keys.tobytes() + np.ascontiguousarray(small.T).tobytes())
+            del small
+            rows += [(2 * s, p) for s, p in cut_blocks(*context_sums(keys, counts, rare_below), id_range)]
+        coc = json.dumps(facts)
         return pa.table({"shard": pa.array([r[0] for r in rows] + [-1 - shard], pa.int32()), "payload": pa.array([r[1] for r in rows] + [coc.encode()], pa.binary())})
 
     parts = settle(spark, texts.mapInArrow(count_pairs, BLOCKS).groupBy("shard").applyInArrow(store_pairs, BLOCKS), f"{root}/parts")
     facts = {-1 - r.shard: json.loads(r.payload) for r in parts.where("shard < 0").collect()}
-    layout.pair_sizes = {s: f["n"] for s, f in facts.items()}
+    layout.pair_sizes = {s: (f["n"], f.get("wide", 0)) for s, f in facts.items()}
     layout.pair_discounts = [discounts([sum(f["coc"][c][k] for f in facts.values()) for k in range(4)]) for c in range(classes)]
 
     def store_ids(table: pa.Table) -> pa.Table:
         shard, keys, sums = merge_blocks(table)
         dense = np.zeros((RANGE, sums.shape[1]), np.int64)
         dense[(keys % np.uint64(RANGE)).astype(np.int64)] = sums
-        small = dense.astype(np.uint32) if dense.max(initial=0) < 1 << 32 else dense
+        small = narrow(dense)
         put_bytes(f"{root}/{'after' if shard % 2 else 'context'}-{shard // 2}", np.ascontiguousarray(small.T).tobytes())
         coc = [*_count_of_counts(sums[:, 0]), int(np.count_nonzero(sums[:, 0] >= 3)), int(sums[:, 0].sum())] if shard % 2 else []
         return pa.table({"shard": pa.array([shard], pa.int32()), "facts": [json.dumps({"coc": coc, "wide": small.dtype.itemsize})]})
@@ -414,12 +446,12 @@ class Reader:
         order = np.argsort(shards, kind="stable")
         sorted_shards = shards[order]
         for s in np.unique(sorted_shards).tolist():
-            n = layout.pair_sizes.get(s, 0)
+            n, wide = layout.pair_sizes.get(s, (0, 0))
             if not n:
                 continue
             a, b = np.searchsorted(sorted_shards, [s, s + 1])
             raw = self.map(f"pairs-{s}", np.uint8)
-            stored, counts = raw[: 8 * n].view(np.uint64), raw[8 * n :].view(np.uint32).reshape(layout.classes, n)
+            stored, counts = raw[: 8 * n].view(np.uint64), raw[8 * n :].view(np.uint32 if wide == 4 else np.int64).reshape(layout.classes, n)
             wanted = keys[order[a:b]]
             at = np.minimum(np.searchsorted(stored, wanted), n - 1)
             hit = stored[at] == wanted

@@ -90,7 +90,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
 def fit(training: DataFrame) -> Model:
     """``training``: doc_id, text, label (0 or 1)."""
     part = (F.floor(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) / 7) % PART) == 0
-    layout = train(training.where(~part).select("text", F.col("label").alias("class")), "toxicity-model", classes=2, rare_below=RARE, split=letters_of, once=True)
+    layout = train(training.where(~part).select("text", F.col("label").alias("class")), "toxicity-model", classes=2, rare_below=RARE, split=letters_of, once=True, contexts=False)
     if not all(layout.totals):
         return Model(layout, None)
     schema = pa.schema([("label", pa.int32()), ("x", pa.list_(pa.float64()))])
