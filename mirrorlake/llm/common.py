@@ -113,6 +113,12 @@ def settle(spark: SparkSession, frame: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared one that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 # --- plain files in the shared folder, written and mapped by Python workers -----------------------
 
 

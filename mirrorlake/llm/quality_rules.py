@@ -1,11 +1,13 @@
 """Quality rules with n-gram perplexity bands.
 
-Base counts come first (words, symbols, repeated lines, words in repeated windows).  Then a byte-trigram
-modified Kneser-Ney model, counted over all documents, gives every text a perplexity; texts whose log
-perplexity lies outside their language's band are rejected.  A band is set by the language's documents
-that pass the base rules: their median, and ``low`` and ``high`` times the distance to the lower and the
-upper quartile of the deviations from it.  The mean of n bytes' log probabilities varies as 1/sqrt(n), so
-deviations are taken times the root of the bytes: a short text has a wider band than a long one.
+Base counts come first (words, symbols, repeated lines, words in repeated windows).  Then modified
+Kneser-Ney word models (``kneser_ney``), counted over all documents, give every text a perplexity; texts
+whose log perplexity lies outside their language's band are rejected.  A model would know the word order
+of the texts it was counted on, so texts are dealt into two parts by the least hash of their long words,
+all copies of a text and most near copies to one, and each is scored by the other part's model.  A band is set by the language's documents of the
+part that pass the base rules: their median, and ``low`` and ``high`` times the distance to the lower and the
+upper quartile of the deviations from it.  The mean of n words' log probabilities varies as 1/sqrt(n), so deviations
+are taken times the root of the words: a short text has a wider band than a long one.
 
 Null and empty texts have no words and fail the base rules.  A null language is a language of its own.
 Repeated rows are judged each; a null doc_id stays null; an empty table gives no rows; extra columns are
@@ -15,21 +17,24 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import byte_model
-from .common import batches, settle, shared_dir
+from . import kneser_ney
+from .common import batches, drop, settle, shared_dir
 
 #: The symbols that are counted; the white space between words.
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\v\f\r"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Factors of the band; HIGH and the root of the bytes were chosen among 21 settings on the labelled documents of sf0.1.
 LOW, HIGH = 6.0, 4.5
-MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double, n_bytes long"
+#: Texts are dealt into parts; a part is scored by the model of all the others.
+PARTS, LONG_WORD = 2, r"\p{L}{7,}"
+MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double, n_tokens long, text_hash long, part long"
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -64,42 +69,60 @@ def base_counts(text: str, data: bytes) -> tuple[int, int, int, int, int]:
     )
 
 
-def measure(docs: DataFrame, model: byte_model.Stored) -> DataFrame:
+def dealt(text: Column) -> Column:
+    """The part of a text: by the least hash of its long words, which most near copies share, or of the text if it has none."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(LONG_WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    return F.pmod(F.xxhash64(F.coalesce(F.array_min(words), F.xxhash64(text))), F.lit(PARTS)).cast("long")
+
+
+def measure(docs: DataFrame, model: kneser_ney.Layout) -> DataFrame:
+    """``docs``: doc_id, lang, text, text_hash, part.  Per document: the base counts and the log perplexity a word, the end included."""
     batches(docs.sparkSession, 1000, "2m")
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = byte_model.table(model)
+        m = kneser_ney.reader(model)
         for batch in stream:
+            if not batch.num_rows:
+                continue
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            data = [t.encode() for t in texts]
-            counts = [base_counts(t, d) for t, d in zip(texts, data, strict=True)]
+            counts = [base_counts(t, t.encode()) for t in texts]
             failed = [n < LEAST_WORDS or 100 * r > MOST_REPEATED * n for n, _, _, _, r in counts]
-            columns = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)] if counts else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(failed, pa.bool_()), pa.array(-byte_model.mean_log10(data, logs)), pa.array(list(map(len, data)), pa.int64())], names=[c.split()[0] for c in MEASURES.split(", ")])
+            ids, ends = m.ids(list(map(kneser_ney.words_of, texts)))
+            first = np.concatenate(([0], ends[:-1] + 1))
+            size = ends - first + 1
+            logs = np.add.reduceat(m.log_probabilities(ids, ends)[:, 0], first) / size
+            columns = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(failed, pa.bool_()), pa.array(-logs), pa.array(size, pa.int64()), batch.column(3), batch.column(4)], names=[c.split()[0] for c in MEASURES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(work, MEASURES)
+    return docs.select("doc_id", "lang", "text", "text_hash", "part").mapInArrow(work, MEASURES)
 
 
 def bands(measured: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """Per language: the median log perplexity, and how far below and above it texts may lie, times the root of their bytes."""
+    """Per language and part: the median log perplexity, and how far below and above it texts may lie, times the root of their tokens."""
     sound = measured.where(~F.col("base_failed")).withColumn("language", F.coalesce("lang", F.lit("")))
-    middle = sound.groupBy("language").agg(F.percentile_approx("log_ppl", 0.5, 10000).alias("middle"))
-    off = (F.col("log_ppl") - F.col("middle")) * F.sqrt("n_bytes")
-    spread = sound.join(middle, "language").groupBy("language", "middle").agg(F.percentile_approx(off, [0.25, 0.75], 10000).alias("q"))
-    return spread.select("language", "middle", (low * F.col("q")[0]).alias("below"), (high * F.col("q")[1]).alias("above"))
+    middle = sound.groupBy("language", "part").agg(F.percentile_approx("log_ppl", 0.5, 10000).alias("middle"))
+    off = (F.col("log_ppl") - F.col("middle")) * F.sqrt("n_tokens")
+    spread = sound.join(middle, ["language", "part"]).groupBy("language", "part", "middle").agg(F.percentile_approx(off, [0.25, 0.75], 10000).alias("q"))
+    return spread.select("language", "part", "middle", (low * F.col("q")[0]).alias("below"), (high * F.col("q")[1]).alias("above"))
 
 
 def judge(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """Per document: the base counts, the perplexity, its band, and whether the document is kept."""
     spark = docs.sparkSession
-    model = byte_model.train(docs.select(F.col("text").cast("string").alias("text")), "quality-model")
-    measured = settle(spark, measure(docs, model), shared_dir(spark, "quality-measures"))
-    root = F.sqrt(F.greatest("n_bytes", F.lit(1)))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    split = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text.alias("text"), F.xxhash64(text).alias("text_hash"), dealt(text).alias("part"))
+    measured = []
+    for k in range(PARTS):  # one after the other, so that only one model is on disk
+        model = kneser_ney.train(split.where(F.col("part") != k).select("text"), f"quality-model-{k}")
+        measured.append(settle(spark, measure(split.where(F.col("part") == k), model), shared_dir(spark, f"quality-measures-{k}")))
+        drop(spark, model.root)
+    measured = reduce(DataFrame.unionAll, measured)
+    root = F.sqrt(F.greatest("n_tokens", F.lit(1)))
     least, most = F.col("middle") + F.col("below") / root, F.col("middle") + F.col("above") / root
     within = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(least, most), F.lit(False))
     ten = F.lit(10.0)
     return (
         measured.withColumn("language", F.coalesce("lang", F.lit("")))
-        .join(bands(measured, low, high), "language", "left")
+        .join(F.broadcast(bands(measured, low, high)), ["language", "part"], "left")
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", within.alias("kept"), F.pow(ten, "log_ppl").alias("perplexity"), F.pow(ten, least).alias("least_perplexity"), F.pow(ten, most).alias("most_perplexity"))
     )

@@ -113,6 +113,24 @@ def test_perplexity_bands_keep_prose(spark):
     assert got[900].base_failed and not got[900].kept
 
 
+def test_word_order_counts(spark):
+    rng = random.Random(6)
+    after = {w: rng.sample(WORDS, 3) for w in WORDS}
+
+    def chain():
+        w = [rng.choice(WORDS)]
+        while len(w) < 300:
+            w.append(rng.choice(after[w[-1]]))
+        return w
+
+    def shuffled():
+        return rng.sample(w := chain(), len(w))
+
+    rows = [(i, " ".join(chain()), "en") for i in range(200)] + [(500 + i, " ".join(shuffled()), "en") for i in range(10)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert sum(got[i].kept for i in range(200)) >= 195 and not any(got[500 + i].kept for i in range(10))
+
+
 def test_passages_and_gradients():
     texts = [b"", b"abc", prose(700).encode(), b"z" * 1200]
     x, count = quality_model.encode(texts)
