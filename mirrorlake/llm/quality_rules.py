@@ -4,9 +4,10 @@ Base counts come first (words, symbols, repeated lines, words in repeated window
 Kneser-Ney word models (``kneser_ney``), counted over all documents, give every text a perplexity; texts
 whose log perplexity lies outside their language's band are rejected.  A model would know the word order
 of the texts it was counted on, so texts are dealt into two parts by the least hash of their long words,
-all copies of a text and most near copies to one, and each is scored by the other part's model.  A band is set by the language's documents of the
-part that pass the base rules: their median, and ``low`` and ``high`` times the distance to the lower and the
-upper quartile of the deviations from it.  The mean of n words' log probabilities varies as 1/sqrt(n), so deviations
+all copies of a text and most near copies to one, and each is scored by the other part's model.  A band is set by the language's distinct texts of the
+part that pass the base rules, so that copies count once: their median, and ``low`` and ``high`` times the
+distance to the lower and the upper quartile of the deviations from it, which is ``FLOOR`` at least,
+however alike most texts are.  The mean of n words' log probabilities varies as 1/sqrt(n), so deviations
 are taken times the root of the words: a short text has a wider band than a long one.
 
 Null and empty texts have no words and fail the base rules.  A null language is a language of its own.
@@ -32,6 +33,8 @@ SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\v\f\r"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Factors of the band; HIGH and the root of the bytes were chosen among 21 settings on the labelled documents of sf0.1.
 LOW, HIGH = 6.0, 4.5
+#: Least distance of a quartile: what it is where the log10 probabilities of a text's words are independent with a standard deviation of 1.5.
+FLOOR = 1.5 * 0.6745
 #: Texts are dealt into parts; a part is scored by the model of all the others.
 PARTS, LONG_WORD = 2, r"\p{L}{7,}"
 MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double, n_tokens long, text_hash long, part long"
@@ -98,12 +101,13 @@ def measure(docs: DataFrame, model: kneser_ney.Layout) -> DataFrame:
 
 
 def bands(measured: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """Per language and part: the median log perplexity, and how far below and above it texts may lie, times the root of their tokens."""
+    """Per language and part: the median log perplexity of the distinct texts, and how far below and above it texts may lie, times the root of their tokens."""
     sound = measured.where(~F.col("base_failed")).withColumn("language", F.coalesce("lang", F.lit("")))
+    sound = sound.groupBy("language", "part", "text_hash").agg(F.min("log_ppl").alias("log_ppl"), F.min("n_tokens").alias("n_tokens"))
     middle = sound.groupBy("language", "part").agg(F.percentile_approx("log_ppl", 0.5, 10000).alias("middle"))
     off = (F.col("log_ppl") - F.col("middle")) * F.sqrt("n_tokens")
     spread = sound.join(middle, ["language", "part"]).groupBy("language", "part", "middle").agg(F.percentile_approx(off, [0.25, 0.75], 10000).alias("q"))
-    return spread.select("language", "part", "middle", (low * F.col("q")[0]).alias("below"), (high * F.col("q")[1]).alias("above"))
+    return spread.select("language", "part", "middle", (low * F.least(F.col("q")[0], F.lit(-FLOOR))).alias("below"), (high * F.greatest(F.col("q")[1], F.lit(FLOOR))).alias("above"))
 
 
 def judge(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:

@@ -113,6 +113,17 @@ def test_perplexity_bands_keep_prose(spark):
     assert got[900].base_failed and not got[900].kept
 
 
+def test_copies_dont_narrow_the_band(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice(WORDS) for _ in range(120))
+    hot, near = text(), text().split()
+    rows = [(i, text(), "en") for i in range(60)] + [(100 + i, hot, "en") for i in range(400)]
+    rows += [(600 + i, text(), "fr") for i in range(60)] + [(700 + i, " ".join([*near[:i], "changed", *near[i + 1 :]]), "fr") for i in range(100)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert sum(got[i].kept for i in range(60)) >= 57 and all(got[100 + i].kept for i in range(400))
+    assert sum(got[600 + i].kept for i in range(60)) >= 57
+
+
 def test_word_order_counts(spark):
     rng = random.Random(6)
     after = {w: rng.sample(WORDS, 3) for w in WORDS}
