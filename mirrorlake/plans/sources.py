@@ -78,7 +78,7 @@ def magic_detect(d) -> str:
 def interval_join(d) -> str:
     # addresses (keys) to the ranges that hold them, by way of bins of 64 so that the join is on a key
     return f"""SELECT a.o_orderkey AS address, r.lo, r.hi FROM (SELECT o_orderkey FROM orders) a
-JOIN (SELECT lo, hi, CAST(floor(lo / 64) AS BIGINT) + k AS bin FROM (SELECT p_partkey * 37 AS lo, p_partkey * 37 + p_size AS hi FROM part WHERE p_partkey * 37 < 15000) x CROSS JOIN {d.series("0", "1", "k")} s) r
+JOIN (SELECT lo, hi, CAST(floor(lo / 64) AS BIGINT) + k AS bin FROM (SELECT p_partkey * 37 AS lo, p_partkey * 37 + p_size AS hi FROM part) x CROSS JOIN {d.series("0", "1", "k")} s) r
 ON CAST(floor(a.o_orderkey / 64) AS BIGINT) = r.bin AND a.o_orderkey >= r.lo AND a.o_orderkey < r.hi"""
 
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from mirrorlake import registry
 from mirrorlake.engine import Engine
 from mirrorlake.operators import align, cluster, graph
 from mirrorlake.sources import lexers, scan
@@ -137,6 +138,15 @@ def test_streaming_forms(spark, tmp_path):
     assert spark.table("changed").count() == 2
 
 
+def test_interval_join_finds_every_range(spark, tmp_path):
+    orders, part = list(range(0, 60_000, 7)), [(k, k % 50 + 1) for k in range(1, 1600)]
+    spark.createDataFrame([(k,) for k in orders], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(part, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    want = sorted((o, 37 * k, 37 * k + n) for k, n in part for o in range(-(-37 * k // 7) * 7, 37 * k + n, 7) if o < 60_000)
+    got = registry.queries()["interval_join"](spark, str(tmp_path))
+    assert sorted((r.address, r.lo, r.hi) for r in got.collect()) == want
+
+
 def test_globs():
     import re
 
