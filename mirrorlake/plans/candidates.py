@@ -213,5 +213,6 @@ def unambiguous_match(d) -> str:
 
 @sql("relocations_in_symbol")
 def relocations_in_symbol(d) -> str:
-    return f"""SELECT symbol, {d.joined(d.sorted_set("lpad(CAST(offset_at AS STRING), 8, '0')"))} AS offsets FROM (SELECT p_partkey AS symbol, o_orderkey AS offset_at FROM part JOIN orders ON floor(o_orderkey / 64) = floor(p_partkey * 37 / 64)
+    # a range of up to 50 lies in its start's bin of 64 and the next
+    return f"""SELECT symbol, {d.joined(d.sorted_set("lpad(CAST(offset_at AS STRING), 8, '0')"))} AS offsets FROM (SELECT p_partkey AS symbol, o_orderkey AS offset_at FROM (SELECT p_partkey, p_size, CAST(floor(p_partkey * 37 / 64) AS BIGINT) + k AS bin FROM part CROSS JOIN {d.series("0", "1", "k")} s) p JOIN orders ON CAST(floor(o_orderkey / 64) AS BIGINT) = bin
   AND o_orderkey >= p_partkey * 37 AND o_orderkey < p_partkey * 37 + p_size) x GROUP BY symbol"""

@@ -147,6 +147,15 @@ def test_interval_join_finds_every_range(spark, tmp_path):
     assert sorted((r.address, r.lo, r.hi) for r in got.collect()) == want
 
 
+def test_relocations_cross_bins(spark, tmp_path):
+    orders, part = list(range(0, 20_000, 3)), [(k, k % 50 + 1) for k in range(1, 500)]
+    spark.createDataFrame([(k,) for k in orders], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(part, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    want = {k: [o for o in range(37 * k, 37 * k + n) if o % 3 == 0 and o < 20_000] for k, n in part}
+    got = registry.queries()["relocations_in_symbol"](spark, str(tmp_path)).collect()
+    assert {r.symbol: list(map(int, r.offsets.split(","))) for r in got} == {k: v for k, v in want.items() if v}
+
+
 def test_globs():
     import re
 
