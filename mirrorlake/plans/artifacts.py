@@ -97,7 +97,7 @@ def shared_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(part, per.node == part.p_partkey).groupBy("n_roots").agg(F.count("*").alias("nodes"), F.sum("p_size").cast("long").alias("bytes"))
 
 
-UNDIRECTED = "SELECT DISTINCT src AS a, dst AS b FROM calls WHERE dst % 3 <> 0 AND src <> dst"
+UNDIRECTED = "SELECT DISTINCT src AS a, dst AS b FROM calls WHERE src <> dst"
 
 
 @register(
@@ -106,7 +106,7 @@ UNDIRECTED = "SELECT DISTINCT src AS a, dst AS b FROM calls WHERE dst % 3 <> 0 A
 SELECT node, min(other) AS component FROM r GROUP BY node""",
 )
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(_calls(spark, sf_dir).where("dst % 3 <> 0 AND src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
+    return graph.components(_calls(spark, sf_dir).where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
 
 
 def _colour_oracle(rounds: int) -> str:

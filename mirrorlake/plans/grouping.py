@@ -96,4 +96,4 @@ CROSS JOIN (SELECT r_regionkey AS k FROM region UNION ALL SELECT r_regionkey + 5
 @sql("component_budget")
 def component_budget(d) -> str:
     # components in order are skipped if they don't fit alone, and taken while the running total of those left fits
-    return """SELECT gid, n, upto <= 60 AS taken FROM (SELECT md5(text) AS gid, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY min(doc_id)) AS BIGINT) AS upto FROM documents GROUP BY md5(text) HAVING count(*) BETWEEN 2 AND 5) x"""
+    return """SELECT gid, n, n <= 60 AND upto <= 60 AS taken FROM (SELECT md5(text) AS gid, count(*) AS n, CAST(sum(CASE WHEN count(*) <= 60 THEN count(*) ELSE 0 END) OVER (ORDER BY min(doc_id)) AS BIGINT) AS upto FROM documents GROUP BY md5(text) HAVING count(*) >= 2) x"""

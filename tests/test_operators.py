@@ -1,6 +1,7 @@
 """Operators without an oracle, against plain versions on small inputs."""
 
 import itertools
+import os
 import random
 
 import pytest
@@ -156,6 +157,21 @@ def test_relocations_cross_bins(spark, tmp_path):
     assert {r.symbol: list(map(int, r.offsets.split(","))) for r in got} == {k: v for k, v in want.items() if v}
 
 
+def test_no_row_is_left_out(spark, tmp_path):
+    part = [(k, "b", "t", 6, f"n{k}") for k in range(1, 260)]
+    spark.createDataFrame(part, "p_partkey long, p_brand string, p_type string, p_size int, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    texts = [*["big"] * 70, *["six"] * 6, "a b\na c\n" + "w " * 60 + "\n" + "w " * 59 + "v"]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r.node, r.component) for r in run("connected_components")} == {(k, 1) for k in range(1, 260)}
+    assert len(run("no_self_overlap")) == 259 * 258 // 2
+    assert sorted((r.n, r.taken) for r in run("component_budget")) == [(6, True), (70, False)]
+    assert len(run("substitution_edits")) == len(run("verify_pairs")) > 1
+    full = "/root/testdata/sf0.001"
+    if os.path.isdir(full):
+        assert registry.queries()["guard_asymmetric"](spark, full).count() == spark.read.parquet(f"{full}/orders.parquet").count()
+
+
 def test_globs():
     import re
 
