@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..sources.relations import K, exact_members, fingerprints, kgrams, postings, tokens, unit_groups, unit_tokens, units
 from .sql import sql
 
-CAP, BUDGET = 64, 200_000
+CAP, BUDGET = 64, 1_000_000
 
 
 @sql("kgram_hashes", tokens, kgrams)
@@ -79,7 +79,9 @@ def shingles(d) -> str:
 
 
 #: Seeds of the permutations x -> (a x + b) mod (2**31 - 1), made by rule.
-SEEDS, BANDS = 16, 8
+SEEDS, BANDS = 128, 64
+#: Files that a band, or units that a skeleton, may be held by.
+LIST_CAP = 256
 
 
 def seeds(d) -> str:
@@ -107,7 +109,7 @@ def band_sizes(d) -> str:
 def lsh_pairs(d) -> str:
     """Distinct pairs that share a band whose list isn't over the cap, with the share of equal values."""
     return f"""SELECT p.a, p.b, count_if(x.v = y.v) * 1e0 / {SEEDS} AS estimate FROM (
-  SELECT DISTINCT l.doc_id AS a, r.doc_id AS b FROM bands l JOIN band_sizes z ON l.band = z.band AND l.v1 = z.v1 AND l.v2 = z.v2 AND z.held BETWEEN 2 AND {CAP}
+  SELECT DISTINCT l.doc_id AS a, r.doc_id AS b FROM bands l JOIN band_sizes z ON l.band = z.band AND l.v1 = z.v1 AND l.v2 = z.v2 AND z.held BETWEEN 2 AND {LIST_CAP}
   JOIN bands r ON l.band = r.band AND l.v1 = r.v1 AND l.v2 = r.v2 AND l.doc_id < r.doc_id) p
   JOIN minhashes x ON x.doc_id = p.a JOIN minhashes y ON y.doc_id = p.b AND x.s = y.s GROUP BY p.a, p.b"""
 
@@ -132,7 +134,7 @@ def near_miss_band(d) -> str:
 
 @sql("signed_cap", units)
 def signed_cap(d) -> str:
-    return "SELECT unit_id, extent FROM (SELECT unit_id, extent, row_number() OVER (ORDER BY extent DESC, unit_id) AS k FROM units WHERE extent >= 40) x WHERE k <= 5000"
+    return "SELECT unit_id, extent FROM (SELECT unit_id, extent, row_number() OVER (ORDER BY extent DESC, unit_id) AS k FROM units WHERE extent >= 40) x WHERE k <= 100000"
 
 
 @sql("group_fingerprint", exact_members)

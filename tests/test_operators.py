@@ -172,6 +172,26 @@ def test_no_row_is_left_out(spark, tmp_path):
         assert registry.queries()["guard_asymmetric"](spark, full).count() == spark.read.parquet(f"{full}/orders.parquet").count()
 
 
+def test_minhash_pairs_by_brute_force(spark, tmp_path):
+    rng = random.Random(9)
+    texts = ["one and the same text of some words"] * 80
+    for _ in range(12):
+        words = [f"w{rng.randint(0, 300)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join([*words[:40], *(f"v{rng.randint(0, 300)}" for _ in range(20))])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    values = {}
+    for r in registry.queries()["minhash_signatures"](spark, str(tmp_path)).collect():
+        values.setdefault(r.doc_id, {})[r.seed] = r.v
+    assert {len(v) for v in values.values()} == {128}
+    want = {}
+    for a, b in itertools.combinations(sorted(values), 2):
+        equal = [values[a][s] == values[b][s] for s in range(1, 129)]
+        if any(equal[i] and equal[i + 1] for i in range(0, 128, 2)) and sum(equal) / 128 >= 0.3:
+            want[a, b] = sum(equal)
+    assert len(want) >= 80 * 79 // 2 + 10
+    assert {(r.a, r.b): round(128 * float(r.estimate)) for r in registry.queries()["minhash_lsh_pairs"](spark, str(tmp_path)).collect()} == want
+
+
 def test_globs():
     import re
 
