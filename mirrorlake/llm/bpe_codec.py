@@ -128,7 +128,7 @@ def word_bpe(path: str) -> WordBpe:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    batches(docs.sparkSession, 1000, "4m")
+    batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 

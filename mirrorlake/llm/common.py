@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from urllib.parse import urlparse
 
@@ -36,21 +38,28 @@ def fold(mod: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Bound the Arrow batches that Python workers get, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-    except Exception:  # an older Spark has only the bound on rows
-        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+#: Bounds of the Arrow batches that Python workers get: rows and bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, "4m"
+
+
+def batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, one bound for all operators; what its user has set stays."""
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one is made only where none is set."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where none is set a local session, all on one machine, makes its own; a cluster's has none that all share, and this raises.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="mirrorlake-shared-")
         _MADE.append(urlparse(root).path)
@@ -142,6 +151,17 @@ def put_bytes(path: str, data: bytes) -> None:
     system.move(part, at)
 
 
+#: Seconds after which a machine's copy of a shared file is removed when the next one is made; maps of it stay valid.
+COPY_AGE = 6 * 3600
+
+
+def _drop_old_copies() -> None:
+    for entry in os.scandir(tempfile.gettempdir()):
+        if entry.name.startswith("mirrorlake-") and entry.is_file() and time.time() - entry.stat().st_mtime > COPY_AGE:
+            with contextlib.suppress(FileNotFoundError):
+                os.unlink(entry.path)
+
+
 def local_path(path: str) -> str:
     """A path that can be memory-mapped: the file itself on a mounted folder, else one copy per machine."""
     url = urlparse(path)
@@ -151,6 +171,7 @@ def local_path(path: str) -> str:
 
     copy = os.path.join(tempfile.gettempdir(), "mirrorlake-" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex)
     if not os.path.exists(copy):
+        _drop_old_copies()
         system, at = fs.FileSystem.from_uri(path)
         with system.open_input_stream(at) as src, open(f"{copy}.{os.getpid()}", "wb") as out:
             shutil.copyfileobj(src, out)
@@ -165,7 +186,7 @@ def filter_texts(docs: DataFrame, accept) -> DataFrame:
     """Rows of ``docs``, all columns as they are, whose text ``accept`` (list of texts, null as empty, to a mask) takes; no shuffle."""
     import pyarrow as pa
 
-    batches(docs.sparkSession, 1000, "2m")
+    batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def work(stream):

@@ -278,7 +278,7 @@ def train(texts: DataFrame, tag: str, classes: int = 1, rare_below: int = 0, spl
     the continuation counts only, which is what ``Reader.class_log_probabilities`` reads.  An empty table gives an empty model, by which every token is unknown.
     """
     spark = texts.sparkSession
-    batches(spark, 1000, "4m")
+    batches(spark)
     root = shared_dir(spark, tag)
     from pyspark.sql import functions as F
 

@@ -31,7 +31,7 @@ def fit(texts: DataFrame, tag: str = "lm") -> Layout:
 
 def score(docs: DataFrame, model: Layout) -> DataFrame:
     """``docs``: text, doc_id, held_out.  Per document: tokens, known tokens, an add-0.1 unigram score and the model's log10 probability."""
-    batches(docs.sparkSession, 1000, "4m")
+    batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((n, pa.int64()) for n in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

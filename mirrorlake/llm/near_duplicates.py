@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash signatures and a multi-index Hamming join.
 
-A document is the set of its distinct shingles of ``words`` words.  Equal sets are one class, and one
-representative (the least doc_id) stands for it from here on.  A signature is ``CHUNKS`` x ``WIDE`` MinHash
+A document is the set of its distinct shingles of ``words`` words.  Equal sets are one class, which has a
+node number of its own and stands for its documents from here on.  A signature is ``CHUNKS`` x ``WIDE`` MinHash
 values of 16 bits; the distance of two signatures is the number of values that differ.
 
 Multi-index join.  Two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 values have, by the
@@ -9,6 +9,9 @@ pigeonhole principle, a chunk in which at most ERRORS differ.  Every way of leav
 a chunk is enumerated as a key, so such a pair meets under a key for certain.  With 10 chunks of 5 and
 one error, sets of similarity 0.8 meet but for a chance of 2e-6.
 
+A bucket that many classes share is dealt out over salts (a salt for every ``BLOCK`` of its members) before anything is
+joined to it, so no key's rows meet in one task.
+
 Buckets are not expanded into pairs.  In ``ROUNDS`` rounds each member of a bucket is set beside the
 bucket's hub only (the member of least rank in that round's order), of its hubs the two most promising
 are verified on the full sets, and components are formed.  A bucket all of whose members are in one
@@ -22,8 +25,9 @@ shared folder and mapped by the workers, which compare exact sizes of intersecti
 candidates arise: neither sets nor untested pairs are shuffled.
 
 Documents without words have an empty set and link with nothing; with fewer words than a shingle the
-whole sequence is the one shingle.  Rows with a null doc_id link with nothing.  Rows that repeat a doc_id
-count as one document.  An empty table gives no rows; extra columns are ignored.
+whole sequence is the one shingle.  Rows with a null doc_id link with nothing.  Rows that repeat a doc_id are
+one document: each row has its own set and all of them are linked.  Texts of any length are taken whole.  An
+empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,18 +39,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, local_path, put_bytes, settle, shared_dir, worker_cache
 from .components import components
-from .kneser_ney import SHARD_BYTES, block_batches, mix, text_batches, word_hash, words_of
+from .kneser_ney import SHARD_BYTES, mix, text_batches, word_hash, words_of
 
 CHUNKS, WIDE, ERRORS = 10, 5, 1
 VALUES = CHUNKS * WIDE
 #: Pairs further apart are not verified: similarity 0.8 gives 10 differing values in the mean, and more than this with a chance of about 1e-7.
 FARTHEST = 26
-ROUNDS, PER_ROUND, BLOCK = 2, 2, 2048
+ROUNDS, BLOCK = 2, 2048
+#: Of a worker: files of sets mapped at once, and members of sets unpacked at once.
+MOST_MAPS, RECENT = 512, 4_000_000
 PROFILE = "doc_id long, n_shingles long, set_hash binary, signature binary"
 
 _SEEDS = np.random.default_rng(20240501).integers(1, 2**63, (VALUES, 2), dtype=np.uint64) | np.uint64(1)
@@ -114,7 +120,7 @@ def signatures(h: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
     """Per document: the size of its set, a 128-bit hash of the set and its signature."""
-    batches(docs.sparkSession, 1000, "4m")
+    batches(docs.sparkSession)
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -172,41 +178,34 @@ def distances(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
 
 
 def store_sets(docs: DataFrame, wanted: DataFrame, words: int, root: str) -> SetFiles:
-    """Write the sets of the ``wanted`` (node) documents as files in the shared folder, in shards of bounded size."""
-    needed = docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long")).join(few(wanted.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").select("text", "doc_id")
+    """Write the sets of the ``wanted`` classes (doc_id of a row that has it, set_hash, node) as files in the shared folder, in shards of bounded size."""
+    spark = docs.sparkSession
+    needed = docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long")).join(few(wanted), "doc_id").select("text", "node", "set_hash")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
 
     def build(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for others, texts in text_batches(stream, words_of, 200_000):
             h, count = shingle_sets(texts, words)
-            data = np.ascontiguousarray((h >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-            ids, ends = np.array([o[0] for o in others], np.int64), np.cumsum(count)
-            to = shard_of(ids, shards)
-            blocks = []
-            for s in np.unique(to).tolist():
-                at = np.flatnonzero(to == s)
-                blocks.append((s, np.int64(len(at)).tobytes() + ids[at].tobytes() + count[at].astype(np.int64).tobytes() + b"".join(data[5 * (ends[k] - count[k]) : 5 * ends[k]] for k in at.tolist())))
-            yield from block_batches(iter(blocks))
+            ends = np.cumsum(count).tolist()
+            full, short = h.tobytes(), np.ascontiguousarray((h >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+            # a doc_id may stand on several rows: the one whose set it is
+            kept = [(node, short[5 * (e - n) : 5 * e]) for (node, wants), e, n in zip(others, ends, count.tolist(), strict=True) if xxhash.xxh3_128_digest(full[8 * (e - n) : 8 * e]) == wants]
+            nodes = np.array([k[0] for k in kept], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(nodes, shards).astype(np.int32)), pa.array(nodes), pa.array([k[1] for k in kept], pa.binary())], names=["shard", "node", "members"])
 
     def keep(table: pa.Table) -> pa.Table:
-        ids, counts, data = [], [], []
-        for cell in table.column("payload"):
-            raw = cell.as_py()
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            ids.append(np.frombuffer(raw, np.int64, n, 8))
-            counts.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
-            ends = np.cumsum(counts[-1])
-            data += [raw[8 + 16 * n + 5 * (e - c) : 8 + 16 * n + 5 * e] for e, c in zip(ends.tolist(), counts[-1].tolist(), strict=True)]
-        ids, counts = np.concatenate(ids), np.concatenate(counts)
-        ids, first = np.unique(ids, return_index=True)
+        ids, first = np.unique(table.column("node").to_numpy(), return_index=True)  # rows of one node are equal
+        data = [table.column("members")[k].as_py() for k in first.tolist()]
+        ends = np.concatenate(([0], np.cumsum([len(x) // 5 for x in data]))).astype(np.int64)
         shard = table.column("shard")[0].as_py()
-        ends = np.concatenate(([0], np.cumsum(counts[first])))
-        put_bytes(f"{root}/sets-{shard}", ids.tobytes() + ends.tobytes() + b"".join(data[k] for k in first.tolist()))
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(ids)], pa.int64())})
+        put_bytes(f"{root}/sets-{shard}", np.int64(len(ids)).tobytes() + ids.tobytes() + ends.tobytes() + b"".join(data))
+        return pa.table({"shard": pa.array([shard], pa.int32())})
 
-    rows = needed.mapInArrow(build, "shard int, payload binary").groupBy("shard").applyInArrow(keep, "shard int, n long").collect()
-    return SetFiles(root, shards, tuple(sorted((r.shard, r.n) for r in rows)))
+    settle(spark, needed.mapInArrow(build, "shard int, node long, members binary").repartition(shards, "shard").groupBy("shard").applyInArrow(keep, "shard int"), f"{root}/stored")
+    return SetFiles(root, shards)
 
 
 def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
@@ -217,34 +216,39 @@ def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
 class SetFiles:
     root: str
     shards: int
-    sizes: tuple[tuple[int, int], ...]
 
 
 class Sets:
     """Full sets (sorted 40-bit hashes), mapped from the shared folder."""
 
     def __init__(self, files: SetFiles):
-        self.files, self.sizes = files, dict(files.sizes)
+        self.files = files
         self.maps: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.recent: dict[int, np.ndarray] = {}
+        self.held = 0
 
     def get(self, node: int) -> np.ndarray:
         found = self.recent.get(node)
         if found is None:
             s = int(shard_of(np.array([node], np.int64), self.files.shards)[0])
             if s not in self.maps:
-                raw, n = np.memmap(local_path(f"{self.files.root}/sets-{s}"), np.uint8, "r"), self.sizes[s]
-                self.maps[s] = raw[: 8 * n].view(np.int64), raw[8 * n : 16 * n + 8].view(np.int64), raw[16 * n + 8 :]
+                if len(self.maps) >= MOST_MAPS:
+                    self.maps.pop(next(iter(self.maps)))
+                raw = np.memmap(local_path(f"{self.files.root}/sets-{s}"), np.uint8, "r")
+                n = int(raw[:8].view(np.int64)[0])
+                self.maps[s] = raw[8 : 8 * n + 8].view(np.int64), raw[8 * n + 8 : 16 * n + 16].view(np.int64), raw[16 * n + 16 :]
             ids, ends, data = self.maps[s]
             k = int(np.searchsorted(ids, node))
             a, b = int(ends[k]), int(ends[k + 1])
             wide = np.zeros((b - a, 8), np.uint8)
             wide[:, :5] = data[5 * a : 5 * b].reshape(-1, 5)
             found = wide.view(np.uint64).ravel()
-            if len(found) < 4000:
-                if len(self.recent) > 8000:
+            if len(found) < RECENT // 100:
+                if self.held > RECENT:
                     self.recent.clear()
+                    self.held = 0
                 self.recent[node] = found
+                self.held += len(found)
         return found
 
     def alike(self, a: int, others: list[int], percent: int) -> list[bool]:
@@ -369,6 +373,29 @@ def key_matrix() -> np.ndarray:
     return np.column_stack(columns)
 
 
+def salts() -> Column:
+    """Into how many parts a bucket is dealt."""
+    return F.ceil(F.col("held") / BLOCK).cast("long")
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    """``rows`` (one a key, with held) once for each salt of their bucket."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts() - 1))).drop("held")
+
+
+def shared_documents(made: DataFrame, classes: DataFrame, root: str) -> DataFrame | None:
+    """Links (a, b) between the classes of one doc_id that stands on several rows; None if there is none."""
+    spark = made.sparkSession
+    rows = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    several = rows.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo <> hi")
+    several = settle(spark, several.select("doc_id", F.col("lo").alias("first")), f"{root}/repeated")
+    if several.isEmpty():
+        return None
+    pairs = rows.join(few(several), "doc_id").where("set_hash <> first").select("first", "set_hash").distinct()
+    node = lambda key, name: classes.select(F.col("set_hash").alias(key), F.col("node").alias(name))
+    return settle(spark, pairs.join(node("first", "a"), "first").join(node("set_hash", "b"), "set_hash").select("a", "b"), f"{root}/same-document")
+
+
 def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id reachable over links), kept."""
     spark = docs.sparkSession
@@ -376,15 +403,21 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     made = settle(spark, profiles(docs, words), f"{root}/profiles")
     classes = settle(
         spark,
-        made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")),
+        made.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        .groupBy("set_hash")
+        .agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
+        .withColumn("node", F.monotonically_increasing_id()),  # kept by being written
         f"{root}/classes",
     )
+    same_document = shared_documents(made, classes, root)
     index = settle(spark, entries(classes), f"{root}/index")
     # keys held by one class alone can't make a pair
     shared = index.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    index = settle(spark, index.join(shared, "key"), f"{root}/buckets")
-    files = store_sets(docs, index.select("node").distinct(), words, root)
-    labels = None
+    index = settle(spark, index.join(shared, "key").withColumn("salt", F.pmod(F.xxhash64("node"), salts())), f"{root}/buckets")
+    files = store_sets(docs, index.select("node").distinct().join(classes, "node").select(F.col("least").alias("doc_id"), "set_hash", "node"), words, root)
+    links, labels = same_document, None
+    if links is not None:
+        labels = components(links, f"{root}/components-0")
 
     def component(frame: DataFrame) -> DataFrame:
         if labels is None:
@@ -394,10 +427,9 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     def open_buckets() -> DataFrame:
         """Entries of buckets that hold more than one component."""
         marked = component(index)
-        mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        return marked.join(mixed, "key")
+        mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("held").alias("held")).where("lo <> hi")
+        return marked.join(salted(mixed.select("key", "held")), ["key", "salt"])
 
-    links = None
     for turn in range(ROUNDS + 1):
         at = f"{root}/round-{turn}"
         waiting = settle(spark, open_buckets(), f"{at}/open") if turn else component(index)
@@ -405,8 +437,8 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             break
         if turn < ROUNDS:
             rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-            hubs = waiting.groupBy("key").agg(F.min(rank).alias("h")).select("key", "h.hub", "h.hub_component", "h.r")
-            beside = waiting.join(hubs, "key").where("component <> hub_component").select(F.col("node").alias("a"), F.col("hub").alias("b"), "r").distinct()
+            hubs = waiting.groupBy("key").agg(F.min(rank).alias("h"), F.first("held").alias("held")).select("key", "held", "h.hub", "h.hub_component", "h.r")
+            beside = waiting.join(salted(hubs), ["key", "salt"]).where("component <> hub_component").select(F.col("node").alias("a"), F.col("hub").alias("b"), "r").distinct()
             near = distances(beside.select("a", "b"), classes).withColumn("r", F.xxhash64("b", F.lit(turn)))
             # of the hubs that a member was set beside: the closest, and the one of least rank that seems near
             best = near.groupBy("a").agg(
@@ -416,18 +448,17 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             pairs = best.select("a", F.explode(F.array_distinct(F.array("first.b", "closest.b"))).alias("b"))
             found = verified(settle(spark, pairs, f"{at}/pairs"), files, percent)
         else:
-            blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-            own = F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / BLOCK)).cast("int")
-            spread = waiting.withColumn("blocks", blocks).withColumn("own", own)
-            spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            lo, hi = F.least("own", "other"), F.greatest("own", "other")
-            part = F.when(lo == hi, 2).when(F.col("own") == lo, 0).otherwise(1)
+            spread = waiting.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), salts() - 1)))
+            lo, hi = F.least("salt", "other"), F.greatest("salt", "other")
+            part = F.when(lo == hi, 2).when(F.col("salt") == lo, 0).otherwise(1)
             members = spread.select(F.xxhash64("key", lo, hi).alias("bucket"), "node", "component", "slot", part.cast("int").alias("part"))
             members = members.join(classes.select("node", "signature", "n"), "node")
             found = cross_links(members.repartition("bucket").sortWithinPartitions("bucket"), files, percent)
         found = settle(spark, found, f"{at}/links")
         links = found if links is None else links.unionAll(found)
         labels = components(links, f"{at}/components")
-    joined = made.join(component(classes).select("set_hash", "component"), "set_hash", "left")
-    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    least = component(classes.select("set_hash", "node", "least"))
+    least = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("set_hash", "component_id")
+    joined = made.join(least, "set_hash", "left")
+    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", linked.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -183,7 +183,7 @@ def feature(payload: bytes, seconds: float) -> str:
 
 def store(docs: DataFrame, with_media: bool = True) -> DataFrame:
     """Per document: its payload written as Ogg, read back from those bytes, and features of what was read."""
-    batches(docs.sparkSession, 500, "4m")
+    batches(docs.sparkSession)
     columns = SCHEMA + (", media binary" if with_media else "")
     names = [c.split()[0] for c in columns.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}

@@ -110,7 +110,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, en
     offsets run from 0 without a gap.
     """
     path = tokenizer or vocabulary_path("byte_bpe_50k.json")
-    batches(docs.sparkSession, 500, "4m")
+    batches(docs.sparkSession)
     end = np.uint32(end_id).tobytes()
     kind = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in (c.split()[0] for c in SCHEMA.split(", "))])
 

@@ -7,12 +7,13 @@ their hidden representations is the document's, and a logistic unit scores it:
 
     h = tanh(W x),  a = softmax(w . (tanh(V h) * sigmoid(U h))),  score = sigmoid(c . sum(a h) + b)
 
-Training uses a bounded sample: the ``SAMPLE`` labelled training documents with the least hash of id and
-text, of each at most ``BAG`` passages evenly spaced.  Scoring takes every passage of every document.
+Training uses a bounded sample: the ``SAMPLE`` distinct labelled training documents with the least hash of id
+and text, as far as their texts have ``SAMPLE_BYTES`` in all; each is taken whole.  Scoring takes every passage of
+every document, however long.
 
 Null and empty texts are one empty passage.  Without labels of both classes every score is the share of
-label 1 (0.5 if there is none).  Repeated rows are scored each; a null doc_id stays null; an empty table gives no
-rows; extra columns are ignored.
+label 1 (0.5 if there is none); of several labels of a document the greatest counts.  Repeated rows are scored
+each; a null doc_id stays null and isn't learned from; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, filter_texts, fold
-from .labelled import labelled
+from .labelled import labelled, sample
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 PASSAGE, BUCKETS, HIDDEN, GATE = 600, 256, 24, 12
-SAMPLE, BAG, EPOCHS, RATE, DECAY, THRESHOLD = 4000, 48, 30, 0.01, 1e-4, 0.3
+SAMPLE, SAMPLE_BYTES, EPOCHS, RATE, DECAY, THRESHOLD = 4000, 24 << 20, 30, 0.01, 1e-4, 0.3
 
 
 def _byte_classes() -> np.ndarray:
@@ -157,29 +158,26 @@ def learn(bags: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Network:
     return net
 
 
-def fit(training: DataFrame, sample: int = SAMPLE) -> Network:
-    """``training``: doc_id, text, label (0 or 1).  The sample is encoded by the workers."""
-    batches(training.sparkSession, 1000, "4m")
+def fit(training: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Network:
+    """``training``: doc_id, text, label (0 or 1).  The sample is encoded by the workers, all passages of its documents."""
+    batches(training.sparkSession)
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             if not batch.num_rows:
                 continue
             x, count = encode([(t or "").encode() for t in batch.column(0).to_pylist()])
-            ends = np.cumsum(count)
-            out = []
-            for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True):
-                at = np.unique(np.linspace(a, b - 1, min(BAG, b - a)).round().astype(np.int64))
-                out.append(x[at].tobytes())
+            ends = np.cumsum(count).tolist()
+            out = [x[e - n : e].tobytes() for e, n in zip(ends, count.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["label", "x"])
 
-    rows = training.orderBy(F.xxhash64("doc_id", "text")).limit(sample).select("text", "label").mapInArrow(work, "label int, x binary").collect()
+    rows = sample(training, most, most_bytes).orderBy("doc_id", F.xxhash64("text")).select("text", "label").mapInArrow(work, "label int, x binary").collect()
     return learn([np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in rows], np.array([r.label for r in rows], np.float32))
 
 
 def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """``docs``: text, doc_id, held_out."""
-    batches(docs.sparkSession, 1000, "2m")
+    batches(docs.sparkSession)
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:

@@ -80,7 +80,7 @@ def dealt(text: Column) -> Column:
 
 def measure(docs: DataFrame, model: kneser_ney.Layout) -> DataFrame:
     """``docs``: doc_id, lang, text, text_hash, part.  Per document: the base counts and the log perplexity a word, the end included."""
-    batches(docs.sparkSession, 1000, "2m")
+    batches(docs.sparkSession)
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = kneser_ney.reader(model)

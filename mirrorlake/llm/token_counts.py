@@ -218,7 +218,7 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 1024) -> DataFrame:
     """Per document: bytes of UTF-8, tokens, and whether they are more than ``limit``."""
     path = tokenizer or vocabulary_path("byte_bpe_50k.json")
-    batches(docs.sparkSession, 1000, "4m")
+    batches(docs.sparkSession)
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count

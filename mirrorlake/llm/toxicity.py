@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import batches, filter_texts, fold
 from .kneser_ney import Layout, letters_of, reader, text_batches, train
-from .labelled import labelled
+from .labelled import labelled, sample
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: Expressions seen less often are left to the shared backoff; lengths of spans; the threshold.
 RARE, SPANS, THRESHOLD = 4, (1, 4, 32), 0.7
 #: One in so many training documents is for the curve; of these at most so many are used.
-PART, SAMPLE = 4, 20_000
+PART, SAMPLE, SAMPLE_BYTES = 4, 20_000, 256 << 20
 
 
 @dataclass
@@ -99,7 +99,7 @@ def fit(training: DataFrame) -> Model:
         for others, words in text_batches(stream, letters_of):
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in others], pa.int32()), pa.array(_features_of(layout, words).tolist(), schema.field("x").type)], schema=schema)
 
-    rows = training.where(part).orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE).select("text", "label").mapInArrow(work, "label int, x array<double>").collect()
+    rows = sample(training.where(part), SAMPLE, SAMPLE_BYTES).select("text", "label").mapInArrow(work, "label int, x array<double>").collect()
     y = np.array([r.label for r in rows], float)
     if len(set(y.tolist())) < 2:
         return Model(layout, None)
@@ -108,7 +108,7 @@ def fit(training: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs``: text, doc_id, held_out."""
-    batches(docs.sparkSession, 1000, "4m")
+    batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

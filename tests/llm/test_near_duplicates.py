@@ -65,6 +65,23 @@ def test_empty_table_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [(0, 0, True), (1, 1, True), (2, 1, False)]
 
 
+def test_rows_that_repeat_a_doc_id_keep_their_links(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, b + " z"), (4, a + " q"), (7, c), (8, a.upper()), (9, None), (9, c), (9, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in nd.groups(docs, 2, 80).collect()}
+    assert got == {(i, n): 7 if i in (7, 9) and n else 9 if i == 9 else 1 for i, n in got}
+    assert len(nd.groups(docs, 2, 80).collect()) == len(rows)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(1)
+    long = [f"v{rng.randrange(50_000)}" for _ in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-200])), (3, "x" * 3_000_000), (4, " ".join(long[::-1]))]
+    got = {r.doc_id: r.component_id for r in nd.groups(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_every_pair_within_the_distance_shares_a_key():
     rng = np.random.default_rng(1)
     most = nd.CHUNKS * (nd.ERRORS + 1) - 1
