@@ -1,94 +1,124 @@
-"""Interpolated modified Kneser-Ney bigram models, counted in Spark and stored as sorted arrays.
-
-Counting never puts single n-grams into a shuffle.  A task sorts and sums what it has read, cuts the
-sorted keys into shards by key and sends each shard's part as one packed block; a shard's blocks are
-merged by one task, which writes sorted arrays into the shared folder.  A frequent word or context is
-thus one entry a task before anything is shuffled.  Steps:
-
-1. vocabulary: 64-bit word hashes with counts, in shards that are ranges of the hash; a word's id is its
-   place in that order, so the shards together are one sorted array;
-2. bigrams: keys ``left id << 32 | right id`` with counts, in shards by a mix of the key's upper bits
-   (a context with very many successors is split over shards);
-3. per id: statistics of it as a context and the number of its distinct left neighbours, in ranges of
-   ids.  Each merged shard gives its part, and parts are summed.
-
-Discounts come from counts of counts, which are a few numbers a shard.  Workers map the arrays of the
-shared folder into memory and look up the sorted distinct keys of a batch; what they touch is paged in.
-
-Counts are kept by class (one column a class), so the same arrays serve a plain model (one class) and
-class-conditional models that share their backoff.  Everything covers all documents given; there are no
-cut-offs of rare entries.
+"""Interpolated modified Kneser-Ney models of order 2 or 3, counted in Spark and stored as sorted hash arrays.
+
+Counting never puts single n-grams into a shuffle.  A task sorts and sums what it has read and sends each
+shard's part as one packed block; a shard's blocks are merged by one task, which writes sorted arrays into
+the shared folder.  A frequent word or context is thus one entry a task before anything is shuffled.  Steps:
+
+1. words: 64-bit word hashes with counts, in shards that are ranges of the hash; a word's id is its shard
+   and its place there;
+2. order 3 only, triples (u, v, w) with counts, in shards by v.  A shard holds whole contexts (u, v), so it
+   writes triples and context sums, and sends on the distinct u of each (v, w);
+3. pairs (v, w) in shards by v: with counts (order 2), or with the number of distinct u (order 3).  A shard
+   writes them and sends on sums by v as a context, and the number of distinct v of each w;
+4. those sums, added up by the word's own shard.
+
+A word v that makes up more than a share of all tokens is dealt over several shards by its neighbour, in
+proportion to its count; what is sent on from them adds up, so nothing depends on how they were dealt.
+Where there are more than ``FAN`` shards, blocks go through a middle level: tasks send blocks of ``FAN`` shards at a
+time, which are merged in parts and cut again, so the number of blocks grows with the input, not its square.
+
+A stored array is sorted by a 40-bit hash of the n-gram within its shard (a look-up of an n-gram that isn't there
+finds another's entry with a chance of about 3e-6 in a full shard), with counts in a byte each and larger ones
+aside.  Discounts come from counts of counts.  Workers map the arrays into memory and look up the sorted keys of a batch.
+
+Counts are kept by class (one column a class), so the same arrays serve a plain model (one class), models
+of several parts of a corpus, and class-conditional models that share their backoff.  Everything covers
+all documents given; there are no cut-offs of rare entries.  Nothing of a model but a few global numbers
+goes through the driver.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import batches, local_path, put_bytes, settle, shared_dir, worker_cache
 
 #: The end of a text as a token: holds a space, so that no word equals it.
 END_TOKEN = b" end"
-#: Bytes of text for which one shard is laid out, entries of a task that are sorted at once, ids in a range.
-SHARD_BYTES, RUN, RANGE = 16 << 20, 1_500_000, 1 << 20
-BLOCKS = "shard int, payload binary"
-UNKNOWN = np.uint64(0xFFFFFFFF)
+#: Bytes of text for which one shard is laid out; entries of a task that are sorted at once; shards that a task sends blocks to.
+SHARD_BYTES, RUN, FAN = 16 << 20, 1_500_000, 4096
+#: A word with more than this share of a shard's tokens is dealt over several.
+HOT = 0.25
+BLOCKS = "shard int, payload binary, facts array<long>"
+UNKNOWN = np.uint64(0xFFFFFFFFFFFFFFFF)
+LOW40 = np.uint64((1 << 40) - 1)
 
-# --- packed blocks ---------------------------------------------------------------------------------
+# --- rows of counts: sorted by key, with columns of ids and of counts --------------------------------
 
 
-def pack_block(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct uint64 keys and their counts (rows x classes): differences, byte planes, zstd."""
-    import zstandard
+def mix(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
-    steps = np.diff(keys, prepend=np.uint64(0))
-    small = np.ascontiguousarray(narrow(counts))
-    wide = small.dtype.itemsize
-    head = np.array([len(keys), counts.shape[1], wide], np.uint32).tobytes()
-    planes = steps.view(np.uint8).reshape(-1, 8).T.tobytes() + small.view(np.uint8).reshape(-1, wide * counts.shape[1]).T.tobytes()
-    return head + zstandard.ZstdCompressor(level=1).compress(planes)
+
+def key_of(*ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of an n-gram's ids."""
+    h = ids[0]
+    for x in ids[1:]:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x)
+    return h
+
+
+def sum_by_key(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, one row of ``ids`` for each, and summed counts."""
+    if not len(keys):
+        return keys, ids, counts
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], ids[order[first]], np.add.reduceat(counts[order], first, axis=0)
 
 
 def narrow(counts: np.ndarray) -> np.ndarray:
-    """Counts in four bytes where all of them fit, else in eight."""
-    return counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts.astype(np.int64)
+    """Counts in as few bytes as all of them need."""
+    most = counts.max(initial=0)
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64)
 
 
-def unpack_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def pack(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rows of ids (the first: the shard) and counts: differences of the second id, byte planes, zstd."""
     import zstandard
 
-    n, m, wide = np.frombuffer(data, np.uint32, 3).tolist()
-    planes = zstandard.ZstdDecompressor().decompress(data[12:])
-    steps = np.ascontiguousarray(np.frombuffer(planes, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel()
-    counts = np.ascontiguousarray(np.frombuffer(planes, np.uint8, wide * m * n, 8 * n).reshape(wide * m, n).T).view(np.uint32 if wide == 4 else np.int64).reshape(n, m)
-    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
+    order = np.argsort(ids[:, 1], kind="stable")
+    ids, counts = ids[order], narrow(counts[order])
+    ids[:, 1] = np.diff(ids[:, 1], prepend=np.uint64(0))
+    n, k = ids.shape
+    head = np.array([n, k, counts.shape[1], counts.dtype.itemsize], np.uint32).tobytes()
+    planes = np.ascontiguousarray(np.ascontiguousarray(ids).view(np.uint8).T).tobytes() + np.ascontiguousarray(np.ascontiguousarray(counts).view(np.uint8).T).tobytes()
+    return head + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
-def sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys with their summed counts."""
-    if not len(keys):
-        return keys.astype(np.uint64), counts.reshape(0, counts.shape[-1] if counts.ndim > 1 else 1)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts[order], first, axis=0)
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    n, k, m, wide = np.frombuffer(data, np.uint32, 4).tolist()
+    planes = zstandard.ZstdDecompressor().decompress(data[16:])
+    ids = np.frombuffer(planes, np.uint8, 8 * n * k).reshape(8 * k, n).T.copy("C").view(np.uint64)
+    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[wide]
+    counts = np.ascontiguousarray(np.frombuffer(planes, np.uint8, wide * m * n, 8 * n * k).reshape(wide * m, n).T).view(kind)
+    ids[:, 1] = np.cumsum(ids[:, 1], dtype=np.uint64)
+    return ids, counts.astype(np.int64)
 
 
 class Tally:
     """Counts of a task, sorted and summed whenever enough have come in; ``full`` once that many distinct ones are held."""
 
-    def __init__(self, classes: int):
-        self.classes, self.parts, self.size = classes, [], 0
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, counts))
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, ids, counts))
         self.size += len(keys)
         if self.size >= RUN and len(self.parts) > 1:
             self.parts = [self.merged()]
@@ -99,78 +129,166 @@ class Tally:
         """Half a run of distinct keys is left after summing: it is sent on, so that a task of any size holds a run at most."""
         return len(self.parts) == 1 and self.size >= RUN // 2
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros((0, self.classes), np.int64)
-        return sum_by_key(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return sum_by_key(*(np.concatenate([p[i] for p in self.parts]) for i in range(3)))
 
-    def blocks(self, shard_of: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, bytes]]:
-        keys, counts = self.merged()
+    def blocks(self, fan: int) -> Iterator[tuple[int, bytes]]:
+        """A packed block for each group of ``fan`` shards."""
+        if not self.parts:
+            return
+        _, ids, counts = self.merged()
         self.parts, self.size = [], 0
-        yield from cut_blocks(keys, counts, shard_of)
+        yield from cut(ids, counts, fan)
 
 
-def cut_blocks(keys: np.ndarray, counts: np.ndarray, shard_of: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    if not len(keys):
+def cut(ids: np.ndarray, counts: np.ndarray, fan: int = 1) -> Iterator[tuple[int, bytes]]:
+    if not len(ids):
         return
-    shards = shard_of(keys)
-    order = np.argsort(shards, kind="stable")
-    shards = shards[order]
-    first = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1]))).tolist()
-    for a, b in zip(first, [*first[1:], len(shards)], strict=True):
-        at = order[a:b]
-        yield int(shards[a]), pack_block(keys[at], counts[at])
+    group = (ids[:, 0] // np.uint64(fan)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist()
+    for a, b in zip(first, [*first[1:], len(group)], strict=True):
+        yield int(group[a]), pack(ids[order[a:b]], counts[order[a:b]])
 
 
-def block_batches(blocks: Iterator[tuple[int, bytes]], schema: pa.Schema | None = None) -> Iterator[pa.RecordBatch]:
+def block_batches(blocks: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for block in blocks:
         held.append(block)
         size += len(block[1])
         if size > 4 << 20:
-            yield _block_batch(held)
+            yield _rows(held)
             held, size = [], 0
     if held:
-        yield _block_batch(held)
+        yield _rows(held)
 
 
-def _block_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "payload"])
+def _rows(blocks: list[tuple[int, bytes]], facts: list[tuple[int, list[int]]] = ()) -> pa.RecordBatch:
+    more = len(facts)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([b[0] for b in blocks] + [f[0] for f in facts], pa.int32()),
+            pa.array([b[1] for b in blocks] + [None] * more, pa.binary()),
+            pa.array([None] * len(blocks) + [f[1] for f in facts], pa.list_(pa.int64())),
+        ],
+        names=["shard", "payload", "facts"],
+    )
 
 
-def merge_blocks(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-    """All blocks of one shard summed, a few at a time; sums are in eight bytes."""
-    keys, counts, held, size = None, None, [], 0
+def merge(table: pa.Table, keys_of: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All blocks of a group summed, a few at a time: keys (sorted), ids, counts."""
+    whole, held, size = None, [], 0
     column = table.column("payload")
     for i, cell in enumerate(column):
-        held.append(unpack_block(cell.as_py()))
-        size += len(held[-1][0])
+        ids, counts = unpack(cell.as_py())
+        held.append((keys_of(ids), ids, counts))
+        size += len(ids)
         if size >= RUN or i == len(column) - 1:
-            if keys is not None:
-                held.append((keys, counts))
-            keys, counts = sum_by_key(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            held, size = [], len(keys) // 2
-    return table.column("shard")[0].as_py(), keys, counts
+            if whole is not None:
+                held.append(whole)
+            whole = sum_by_key(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+            held, size = [], len(whole[0]) // 2
+    return whole
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+def gathered(blocks: DataFrame, shards: int, keys_of: Callable[[np.ndarray], np.ndarray], store: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``store`` of the blocks of each shard, by way of a middle level where there are many shards.
 
+    Blocks come by groups of ``fan_of(shards)`` shards; rows of facts have a shard below 0 and are groups of their own.
+    """
+    fan = fan_of(shards)
+    if fan > 1:
 
-def hash_shard(shards: int) -> Callable[[np.ndarray], np.ndarray]:
-    """Ranges of a uniform 64-bit hash."""
-    return lambda keys: ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        def again(table: pa.Table) -> pa.Table:
+            if table.column("payload")[0].as_py() is None:
+                return table.select(["shard", "payload", "facts"])
+            _, ids, counts = merge(table, keys_of)
+            return pa.Table.from_batches([_rows(list(cut(ids, counts)))])
+
+        salt = F.when(F.col("shard") < 0, F.lit(0)).otherwise(F.pmod(F.spark_partition_id(), F.lit(fan)))
+        blocks = blocks.withColumn("salt", salt).repartition(shards, "shard", "salt").groupBy("shard", "salt").applyInArrow(again, BLOCKS)
+    return blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(store, schema)
+
+
+def fan_of(shards: int) -> int:
+    """Shards a block: 1 up to ``FAN`` shards, then as many as keep both levels' blocks a task about equal."""
+    return 1 if shards <= FAN else math.isqrt(shards - 1) + 1
 
 
-def pair_shard(shards: int) -> Callable[[np.ndarray], np.ndarray]:
-    return lambda keys: (mix(keys >> np.uint64(24)) % np.uint64(shards)).astype(np.int64)
+# --- stored arrays ------------------------------------------------------------------------------------
 
 
-def id_range(keys: np.ndarray) -> np.ndarray:
-    return (keys // np.uint64(RANGE)).astype(np.int64)
+def counts_bytes(columns: np.ndarray) -> bytes:
+    """Rows x columns of counts: a byte each, larger ones aside."""
+    flat = np.ascontiguousarray(columns.T).ravel()
+    large = np.flatnonzero(flat >= 255)
+    head = np.array([*columns.shape, len(large)], np.int64)
+    return b"".join(x.tobytes() for x in (head, large, flat[large], np.minimum(flat, 255).astype(np.uint8)))
+
+
+class Counts:
+    """What ``counts_bytes`` made, mapped."""
+
+    def __init__(self, raw: np.ndarray):
+        self.n, self.m, k = raw[:24].view(np.int64).tolist()
+        self.large, self.values = raw[24 : 24 + 8 * k].view(np.int64), raw[24 + 8 * k : 24 + 16 * k].view(np.int64)
+        self.cells = raw[24 + 16 * k :]
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        cells = (at[:, None] + self.n * np.arange(self.m)).ravel()
+        found = self.cells[cells].astype(np.int64)
+        big = np.flatnonzero(found == 255)
+        if len(big):
+            found[big] = self.values[np.searchsorted(self.large, cells[big])]
+        return found.reshape(len(at), self.m)
+
+
+def mapped(path: str) -> np.ndarray:
+    return np.asarray(np.memmap(local_path(path), np.uint8, "r"))
+
+
+def put_arrays(path: str, keys: np.ndarray, columns: np.ndarray) -> None:
+    """Entries sorted by the low 40 bits of their keys, with their counts."""
+    keys = keys & LOW40
+    order = np.argsort(keys)
+    keys = keys[order]
+    n = len(keys)
+    put_bytes(path, np.int64(n).tobytes() + (keys >> np.uint64(8)).astype(np.uint32).tobytes() + (keys & np.uint64(255)).astype(np.uint8).tobytes() + bytes(-5 * n % 8) + counts_bytes(columns[order]))
+
+
+class Arrays:
+    """A mapped file of ``put_arrays``."""
+
+    def __init__(self, path: str):
+        raw = mapped(path)
+        self.n = n = int(raw[:8].view(np.int64)[0])
+        self.upper, self.lower = raw[8 : 8 + 4 * n].view(np.uint32), raw[8 + 4 * n : 8 + 5 * n]
+        self.counts = Counts(raw[8 + 5 * n + -5 * n % 8 :])
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys (40 bits, sorted) are there, and their counts (rows x columns)."""
+        upper, lower = (keys >> np.uint64(8)).astype(np.uint32), (keys & np.uint64(255)).astype(np.uint8)
+        at = np.searchsorted(self.upper, upper)
+        behind = np.flatnonzero(at < self.n)
+        while len(behind):  # past entries with equal upper bits and lesser lower ones
+            i = at[behind]
+            behind = behind[(self.upper[i] == upper[behind]) & (self.lower[i] < lower[behind])]
+            at[behind] += 1
+            behind = behind[at[behind] < self.n]
+        hit = np.flatnonzero(at < self.n)
+        i = at[hit]
+        same = (self.upper[i] == upper[hit]) & (self.lower[i] == lower[hit])
+        return hit[same], self.counts.rows(i[same])
+
+
+class Words:
+    """A mapped shard of the vocabulary: sorted hashes with their counts."""
+
+    def __init__(self, path: str):
+        raw = mapped(path)
+        n = int(raw[:8].view(np.int64)[0])
+        self.keys, self.counts = raw[8 : 8 + 8 * n].view(np.uint64), Counts(raw[8 + 8 * n :])
 
 
 # --- words ------------------------------------------------------------------------------------------
@@ -196,7 +314,7 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def text_batches(stream: Iterator[pa.RecordBatch], split: Callable[[str | None], list[bytes]] = words_of, rows: int = 200_000) -> Iterator[tuple[list, list[list[bytes]]]]:
+def text_batches(stream: Iterator[pa.RecordBatch], split: Callable[[str | None], list[bytes]] = words_of, rows: int = 300_000) -> Iterator[tuple[list, list[list[bytes]]]]:
     """Rows and the words of their texts, in groups of bounded size (one text at least)."""
     keep, words, n = [], [], 0
     for batch in stream:
@@ -218,27 +336,33 @@ def text_batches(stream: Iterator[pa.RecordBatch], split: Callable[[str | None],
 
 @dataclass
 class Layout:
-    """Where a model lies and its global numbers; small, sent to the workers with the code."""
+    """Where a model lies and its global numbers; of constant size, sent to the workers with the code."""
 
     root: str
+    order: int
     classes: int
     shards: int
-    vocab: list[int]  # entries of each vocabulary shard
-    totals: list[int]  # tokens by class
-    rare_below: int
-    pair_sizes: dict[int, tuple[int, int]] | None = None  # entries and the bytes of a count, by shard
-    pair_discounts: list[list[float]] | None = None  # by class
-    lower_discounts: list[float] | None = None
-    lower_counts: list[int] | None = None  # entries with 1, 2, 3 or more distinct left neighbours
-    lower_total: int = 0
-    id_files: dict[int, int] | None = None  # bytes of an entry, by file
-    class_discounts: list[list[float]] | None = None
-    class_taken: list[float] | None = None  # discounted share of all tokens, by class
+    rare_below: int = 0
+    size: int = 0  # distinct tokens
+    totals: list[int] = field(default_factory=list)  # tokens by class
+    word_discounts: list[list[float]] = field(default_factory=list)  # by class, as the three below
+    word_taken: list[float] = field(default_factory=list)
+    triple_discounts: list[float] = field(default_factory=list)
+    pair_discounts: list[list[float]] = field(default_factory=list)
+    lower_discounts: list[list[float]] = field(default_factory=list)  # of all classes together, then by class
+    lower_taken: list[float] = field(default_factory=list)
+    lower_totals: list[int] = field(default_factory=list)
+    ready: bool = False
 
     @property
-    def size(self) -> int:
-        """Distinct tokens."""
-        return sum(self.vocab)
+    def begin(self) -> int:
+        """The id of what stands before a text."""
+        return self.shards << 32
+
+    @property
+    def lowers(self) -> int:
+        """Columns of the lowest order."""
+        return self.classes + 1 if self.classes > 1 else 1
 
 
 def discounts(counts: list[int]) -> list[float]:
@@ -249,41 +373,52 @@ def discounts(counts: list[int]) -> list[float]:
     return [min(max(d, 0.05), top) for d, top in zip(raw, (1.0, 1.95, 2.9), strict=True)]
 
 
-def context_sums(keys: np.ndarray, counts: np.ndarray, rare_below: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts of sorted bigram keys with, by class: the total, the entries with 1, 2, 3 or more, and the counts of rare entries."""
-    if not len(keys):
-        return keys, np.zeros((0, 5 * counts.shape[1]), np.int64)
-    left = keys >> np.uint64(32)
-    first = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
-    firm = counts.sum(1) >= rare_below
+def count_of_counts(columns: np.ndarray) -> list[int]:
+    """Entries of each column with a count of 1, 2, 3, 4."""
+    return [int(np.count_nonzero(c == k)) for c in columns.T for k in (1, 2, 3, 4)]
 
-    def total(column: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(column.astype(np.int64), first)
 
+def context_sums(keys: np.ndarray, counts: np.ndarray, rare_below: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at which runs of equal sorted keys begin and, by class: their total, entries with 1, 2, 3 or more, and counts of rare entries."""
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    firm = counts.sum(1) >= rare_below
     columns = list(counts.T)
-    kinds = [columns, [firm & (c == 1) for c in columns], [firm & (c == 2) for c in columns], [firm & (c >= 3) for c in columns], [np.where(firm, 0, c) for c in columns]]
-    return left[first], np.stack([total(c) for kind in kinds for c in kind], axis=1)
+    kinds = [columns, [firm & (c == 1) for c in columns], [firm & (c == 2) for c in columns], [firm & (c >= 3) for c in columns]]
+    if rare_below:
+        kinds.append([np.where(firm, 0, c) for c in columns])
+    return first, np.stack([np.add.reduceat(c.astype(np.int64), first) for kind in kinds for c in kind], axis=1)
+
 
+def hash_shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of a uniform 64-bit hash."""
+    return (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
 
-def _count_of_counts(column: np.ndarray) -> list[int]:
-    return [int(np.count_nonzero(column == k)) for k in (1, 2, 3, 4)]
 
+def dealt(word: np.ndarray, other: np.ndarray, splits: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of pairs by ``word``, which has ``splits`` parts by its neighbour ``other``."""
+    several = np.flatnonzero(splits > 1)
+    if len(several):
+        part = mix(other[several]) % splits[several].astype(np.uint64)
+        word = word.copy()
+        word[several] += part * np.uint64(0x9E3779B97F4A7C15)
+    return mix(word) % np.uint64(shards)
 
-def train(texts: DataFrame, tag: str, classes: int = 1, rare_below: int = 0, split: Callable[[str | None], list[bytes]] = words_of, once: bool = False, contexts: bool = True) -> Layout:
+
+def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_below: int = 0, split: Callable[[str | None], list[bytes]] = words_of, once: bool = False) -> Layout:
     """Count a model over ``texts``: a column text and, if there are several classes, an int column class.
 
     Expressions seen fewer than ``rare_below`` times in all classes together give their whole count to
-    the shared backoff.  With ``once`` a word counts once a text in its class's counts (bigrams count as
-    they stand), so that a text repeating a word isn't more evidence than one using it.  Without ``contexts`` bigrams give
-    the continuation counts only, which is what ``Reader.class_log_probabilities`` reads.  An empty table gives an empty model, by which every token is unknown.
+    the shared backoff.  With ``once`` a word counts once a text in its class's counts (pairs count as
+    they stand), so that a text repeating a word isn't more evidence than one using it.  Order 3 has one class.
+    Null texts have no words but the end.  An empty table gives an empty model, by which every token is unknown.
     """
+    assert order == 2 or classes == 1
     spark = texts.sparkSession
     batches(spark)
-    root = shared_dir(spark, tag)
-    from pyspark.sql import functions as F
-
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
+    layout = Layout(shared_dir(spark, tag), order, classes, shards, rare_below)
+    root, fan = layout.root, fan_of(shards)
 
     def classed(counts: np.ndarray, label: int) -> np.ndarray:
         out = np.zeros((len(counts), classes), np.int64)
@@ -291,7 +426,7 @@ def train(texts: DataFrame, tag: str, classes: int = 1, rare_below: int = 0, spl
         return out
 
     def count_words(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(classes)
+        tally = Tally()
         for others, words in text_batches(stream, split):
             for label in range(classes):
                 seen: Counter[bytes] = Counter()
@@ -300,122 +435,235 @@ def train(texts: DataFrame, tag: str, classes: int = 1, rare_below: int = 0, spl
                         seen.update(set(w) if once else w)
                         seen[END_TOKEN] += 1
                 keys = np.fromiter(map(word_hash, seen), np.uint64, len(seen))
-                tally.add(*sum_by_key(keys, classed(np.fromiter(seen.values(), np.int64, len(seen)), label)))
+                tally.add(keys, np.stack([hash_shard(keys, shards), keys], axis=1), classed(np.fromiter(seen.values(), np.int64, len(seen)), label))
             if tally.full:
-                yield from block_batches(tally.blocks(hash_shard(shards)))
-        yield from block_batches(tally.blocks(hash_shard(shards)))
+                yield from block_batches(tally.blocks(fan))
+        yield from block_batches(tally.blocks(fan))
 
     def store_words(table: pa.Table) -> pa.Table:
-        shard, keys, counts = merge_blocks(table)
-        put_bytes(f"{root}/words-{shard}", keys.tobytes() + np.ascontiguousarray(counts.T).tobytes())
-        kept = counts[counts.sum(1) >= rare_below]
-        facts = {
-            "n": len(keys),
-            "total": counts.sum(0).tolist(),
-            "coc": [_count_of_counts(c) for c in counts.T],
-            "kept": [[int(np.count_nonzero(c == 1)), int(np.count_nonzero(c == 2)), int(np.count_nonzero(c >= 3))] for c in kept.T],
-            "rare": counts[counts.sum(1) < rare_below].sum(0).tolist(),
-        }
-        return pa.table({"shard": pa.array([shard], pa.int32()), "facts": [json.dumps(facts)]})
-
-    facts = {r.shard: json.loads(r.facts) for r in texts.mapInArrow(count_words, BLOCKS).groupBy("shard").applyInArrow(store_words, "shard int, facts string").collect()}
-    layout = Layout(root, classes, shards, [facts[s]["n"] if s in facts else 0 for s in range(shards)], [sum(f["total"][c] for f in facts.values()) for c in range(classes)], rare_below)
-    layout.class_discounts, layout.class_taken = [], []
+        keys, ids, counts = merge(table, lambda ids: ids[:, 1])
+        put_bytes(f"{root}/words-{int(ids[0, 0])}", np.int64(len(keys)).tobytes() + keys.tobytes() + counts_bytes(counts))
+        rare = counts.sum(1) < rare_below
+        kept = [int(np.count_nonzero(c)) for column in counts[~rare].T for c in (column == 1, column == 2, column >= 3)]
+        facts = [len(keys), *counts.sum(0).tolist(), *count_of_counts(counts), *kept, *counts[rare].sum(0).tolist()]
+        return pa.table({"shard": pa.array([int(ids[0, 0])], pa.int32()), "facts": pa.array([facts], pa.list_(pa.int64()))})
+
+    stored = gathered(texts.mapInArrow(count_words, BLOCKS), shards, lambda ids: ids[:, 1], store_words, "shard int, facts array<long>")
+    facts = summed(stored, 1 + 9 * classes)
+    layout.size, layout.totals = facts[0], facts[1 : 1 + classes]
+    coc, kept, rare = (facts[1 + a * classes : 1 + b * classes] for a, b in ((1, 5), (5, 8), (8, 9)))
     for c in range(classes):
-        d = discounts([sum(f["coc"][c][k] for f in facts.values()) for k in range(4)])
-        taken = sum(d[k] * f["kept"][c][k] for f in facts.values() for k in range(3)) + sum(f["rare"][c] for f in facts.values())
-        layout.class_discounts.append(d)
-        layout.class_taken.append(taken / max(1, layout.totals[c]))
+        d = discounts(coc[4 * c : 4 * c + 4])
+        layout.word_discounts.append(d)
+        layout.word_taken.append((sum(x * n for x, n in zip(d, kept[3 * c : 3 * c + 3], strict=True)) + rare[c]) / max(1, layout.totals[c]))
 
-    def count_pairs(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, model = Tally(classes), reader(layout)
+    def count_ngrams(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, model = Tally(), reader(layout)
         for others, words in text_batches(stream, split):
-            ids, ends = model.ids(words)
-            keys = model.pairs(ids, ends)
+            slots, ends = model.slots(words)
+            before = previous(slots, ends)
+            grams = [slots] if order == 2 else [before, slots]
+            grams = [previous(before, ends) if order == 3 else before, *grams]
+            ids = [model.ids[g] for g in grams]
+            keys = key_of(*ids)
+            mid = grams[-2]  # the word whose shard it is: v of (u, v, w) and of (v, w)
             label = np.zeros(len(keys), np.int64) if classes == 1 else np.repeat([o[0] for o in others], np.diff(ends, prepend=-1))
             for c in range(classes):
-                own = np.sort(keys[label == c])
-                if len(own):
+                at = np.flatnonzero(label == c) if classes > 1 else np.arange(len(keys))
+                at = at[np.argsort(keys[at])]
+                if len(at):
+                    own = keys[at]
                     first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                    tally.add(own[first], classed(np.diff(np.append(first, len(own))), c))
+                    n, at = np.diff(np.append(first, len(own))), at[first]
+                    shard = dealt(ids[-2][at], ids[0 if order == 3 else -1][at], model.splits[mid[at]], shards)
+                    tally.add(own[first], np.stack([shard, ids[-2][at], *[x[at] for k, x in enumerate(ids) if k != order - 2]], axis=1), classed(n, c))
             if tally.full:
-                yield from block_batches(tally.blocks(pair_shard(shards)))
-        yield from block_batches(tally.blocks(pair_shard(shards)))
+                yield from block_batches(tally.blocks(fan))
+        yield from block_batches(tally.blocks(fan))
+
+    def triple_key(ids: np.ndarray) -> np.ndarray:  # rows: shard, v, u, w
+        return key_of(ids[:, 2], ids[:, 1], ids[:, 3])
+
+    def pair_key(ids: np.ndarray) -> np.ndarray:  # rows: shard, v, w
+        return key_of(ids[:, 1], ids[:, 2])
+
+    def store_triples(table: pa.Table) -> pa.Table:
+        keys, ids, counts = merge(table, triple_key)
+        shard = int(ids[0, 0])
+        put_arrays(f"{root}/triples-{shard}", keys, counts)
+        facts = count_of_counts(counts) + [0] * 4
+        context = key_of(ids[:, 2], ids[:, 1])
+        order = np.argsort(context)
+        first, sums = context_sums(context[order], counts[order])
+        put_arrays(f"{root}/contexts-{shard}", context[order][first], sums)
+        del keys, counts, context, sums
+        pairs = key_of(ids[:, 1], ids[:, 3])
+        order = np.argsort(pairs)
+        first = np.flatnonzero(np.concatenate(([True], pairs[order][1:] != pairs[order][:-1])))
+        n, ids = np.diff(np.append(first, len(order))), ids[order[first]]
+        to = dealt(ids[:, 1], ids[:, 3], reader(layout).splits_of(ids[:, 1]), shards)
+        blocks = list(cut(np.stack([to, ids[:, 1], ids[:, 3]], axis=1), n[:, None], fan))
+        return pa.Table.from_batches([_rows(blocks, [(-1 - shard % 64, facts)])])
 
     def store_pairs(table: pa.Table) -> pa.Table:
-        shard, keys, counts = merge_blocks(table)
-        after, neighbours = np.unique(keys & UNKNOWN, return_counts=True)
-        rows = [(2 * s + 1, p) for s, p in cut_blocks(after, neighbours[:, None], id_range)]
-        facts = {"n": len(keys), "coc": [_count_of_counts(c) for c in counts.T]}
-        if contexts:
-            small = narrow(counts)
-            facts["wide"] = small.dtype.itemsize
-            put_bytes(f"{root}/pairs-{shard}", keys.tobytes() + np.ascontiguousarray(small.T).tobytes())
-            del small
-            rows += [(2 * s, p) for s, p in cut_blocks(*context_sums(keys, counts, rare_below), id_range)]
-        coc = json.dumps(facts)
-        return pa.table({"shard": pa.array([r[0] for r in rows] + [-1 - shard], pa.int32()), "payload": pa.array([r[1] for r in rows] + [coc.encode()], pa.binary())})
-
-    parts = settle(spark, texts.mapInArrow(count_pairs, BLOCKS).groupBy("shard").applyInArrow(store_pairs, BLOCKS), f"{root}/parts")
-    facts = {-1 - r.shard: json.loads(r.payload) for r in parts.where("shard < 0").collect()}
-    layout.pair_sizes = {s: (f["n"], f.get("wide", 0)) for s, f in facts.items()}
-    layout.pair_discounts = [discounts([sum(f["coc"][c][k] for f in facts.values()) for k in range(4)]) for c in range(classes)]
-
-    def store_ids(table: pa.Table) -> pa.Table:
-        shard, keys, sums = merge_blocks(table)
-        dense = np.zeros((RANGE, sums.shape[1]), np.int64)
-        dense[(keys % np.uint64(RANGE)).astype(np.int64)] = sums
-        small = narrow(dense)
-        put_bytes(f"{root}/{'after' if shard % 2 else 'context'}-{shard // 2}", np.ascontiguousarray(small.T).tobytes())
-        coc = [*_count_of_counts(sums[:, 0]), int(np.count_nonzero(sums[:, 0] >= 3)), int(sums[:, 0].sum())] if shard % 2 else []
-        return pa.table({"shard": pa.array([shard], pa.int32()), "facts": [json.dumps({"coc": coc, "wide": small.dtype.itemsize})]})
-
-    facts = {r.shard: json.loads(r.facts) for r in parts.where("shard >= 0").groupBy("shard").applyInArrow(store_ids, "shard int, facts string").collect()}
-    layout.id_files = {s: f["wide"] for s, f in facts.items()}
-    coc = [sum(f["coc"][k] for f in facts.values() if f["coc"]) for k in range(6)]
-    layout.lower_discounts = discounts(coc)
-    layout.lower_counts, layout.lower_total = [coc[0], coc[1], coc[4]], coc[5]
+        if table.column("payload")[0].as_py() is None:
+            total = np.sum(table.column("facts").to_pylist(), axis=0).tolist()
+            return pa.Table.from_batches([_rows([], [(table.column("shard")[0].as_py(), total)])])
+        keys, ids, counts = merge(table, pair_key)
+        shard = int(ids[0, 0])
+        put_arrays(f"{root}/pairs-{shard}", keys, counts)
+        facts = ([0] * 4 if layout.order == 3 else []) + count_of_counts(counts)
+        order = np.argsort(ids[:, 1])
+        left = ids[order, 1]
+        first, sums = context_sums(left, counts[order], rare_below)
+        home = lambda x: x >> np.uint64(32)  # noqa: E731  the shard of the word itself
+        rows = [(2 * s, p) for s, p in cut(np.stack([home(left[first]), left[first]], axis=1), sums)]
+        order = np.argsort(ids[:, 2])
+        right = ids[order, 2]
+        first = np.flatnonzero(np.concatenate(([True], right[1:] != right[:-1])))
+        firsts = [np.diff(np.append(first, len(right)))] + ([np.add.reduceat((c > 0).astype(np.int64)[order], first) for c in counts.T] if classes > 1 else [])
+        rows += [(2 * s + 1, p) for s, p in cut(np.stack([home(right[first]), right[first]], axis=1), np.stack(firsts, axis=1))]
+        return pa.Table.from_batches([_rows(rows, [(-1, facts)])])
+
+    counted = texts.mapInArrow(count_ngrams, BLOCKS)
+    if order == 3:
+        counted = gathered(counted, shards, triple_key, store_triples, BLOCKS)
+    parts = settle(spark, gathered(counted, shards, pair_key, store_pairs, BLOCKS), f"{root}/parts")
+    facts = summed(parts.where("shard < 0"), 8 if order == 3 else 4 * classes)
+    if order == 3:
+        layout.triple_discounts = discounts(facts[:4])
+        facts = facts[4:]
+    layout.pair_discounts = [discounts(facts[4 * c : 4 * c + 4]) for c in range(classes)]
+
+    def store_sums(table: pa.Table) -> pa.Table:
+        keys, ids, sums = merge(table, lambda ids: ids[:, 1])
+        shard, after = int(ids[0, 0]), table.column("shard")[0].as_py() % 2
+        dense = np.zeros((int(keys[-1] & np.uint64(0xFFFFFFFF)) + 1, sums.shape[1]), np.int64)
+        dense[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)] = sums
+        put_bytes(f"{root}/{'after' if after else 'context'}-{shard}", counts_bytes(dense))
+        facts = [*count_of_counts(sums), *np.count_nonzero(sums >= 3, axis=0).tolist(), *sums.sum(0).tolist()] if after else [0] * (6 * layout.lowers)
+        return pa.table({"shard": pa.array([shard], pa.int32()), "facts": pa.array([facts], pa.list_(pa.int64()))})
+
+    blocks = parts.where("shard >= 0").repartition(2 * shards, "shard")
+    facts = summed(blocks.groupBy("shard").applyInArrow(store_sums, "shard int, facts array<long>"), 6 * layout.lowers)
+    m = layout.lowers
+    for c in range(m):
+        coc, more, total = facts[4 * c : 4 * c + 4], facts[4 * m + c], facts[5 * m + c]
+        d = discounts(coc)
+        layout.lower_discounts.append(d)
+        layout.lower_totals.append(total)
+        layout.lower_taken.append((d[0] * coc[0] + d[1] * coc[1] + d[2] * more) / total if total else 1.0)
+    layout.ready = True
     return layout
 
 
+def summed(rows: DataFrame, width: int) -> list[int]:
+    """Sums of the column facts, by place."""
+    found = rows.agg(*[F.sum(F.col("facts")[k]).alias(f"f{k}") for k in range(width)]).first()
+    return [int(x or 0) for x in found]
+
+
+def previous(slots: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The slot before each, that of the begin (0) at the start of a text."""
+    out = np.concatenate((np.zeros(1, slots.dtype), slots[:-1])) if len(slots) else slots
+    out[ends[:-1] + 1] = 0
+    return out
+
+
 # --- reading ----------------------------------------------------------------------------------------
 
 
 class Reader:
-    """A model's arrays mapped into a worker's memory.  Ids: 0 begins a text, 1 and up are the vocabulary."""
+    """A model's arrays mapped into a worker's memory.
 
-    def __init__(self, layout: Layout, keep: int = 250_000):
-        self.layout, self.keep = layout, keep
-        self.first = np.concatenate(([0], np.cumsum(layout.vocab))).astype(np.int64)
-        self.maps: dict[str, np.ndarray] = {}
-        self.known: dict[bytes, int] = {}
+    Words in use have slots: places in this worker's arrays of what the model knows of single words.  Slot
+    0 begins a text, slot 1 is for all unknown words.
+    """
 
-    def map(self, name: str, kind, shape=None) -> np.ndarray:
-        found = self.maps.get(name)
-        if found is None:
-            found = self.maps[name] = np.memmap(local_path(f"{self.layout.root}/{name}"), kind, "r")
+    def __init__(self, layout: Layout, keep: int = 250_000, most_maps: int = 4096):
+        self.layout, self.keep, self.most_maps = layout, keep, most_maps
+        self.files: dict[tuple[str, int], object] = {}
+        self.known: dict[bytes, int] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.known.clear()
+        self.ids, self.counts = np.zeros(0, np.uint64), np.zeros((0, self.layout.classes), np.int64)
+        self.contexts = np.zeros((0, (5 if self.layout.rare_below else 4) * self.layout.classes), np.int64)
+        self.afters = np.zeros((0, self.layout.lowers), np.int64)
+        self._take(np.array([self.layout.begin, UNKNOWN], np.uint64))
+        if self.layout.totals:  # as many texts begin as end
+            end = self.find(np.array([word_hash(END_TOKEN)], np.uint64))
+            self.splits[0] = self.splits_of(end)[0]
+
+    def open(self, kind: str, shard: int):
+        """A file of the model, or None where the shard has none; few are kept open."""
+        found = self.files.get((kind, shard), False)
+        if found is False:
+            if len(self.files) >= self.most_maps:
+                self.files.pop(next(iter(self.files)))
+            path = f"{self.layout.root}/{kind}-{shard}"
+            try:
+                found = Words(path) if kind == "words" else Counts(mapped(path)) if kind in ("context", "after") else Arrays(path)
+            except FileNotFoundError:
+                found = None
+            self.files[kind, shard] = found
         return found
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of word hashes, -1 where unknown."""
-        out = np.full(len(hashes), -1, np.int64)
+        """Ids of word hashes."""
+        out = np.full(len(hashes), UNKNOWN)
         order = np.argsort(hashes)
         hashes = hashes[order]
-        shards = hash_shard(self.layout.shards)(hashes)
-        for s in np.unique(shards).tolist():
-            n = self.layout.vocab[s]
-            if not n:
-                continue
-            a, b = np.searchsorted(shards, [s, s + 1])
-            keys = self.map(f"words-{s}", np.uint64)[:n]
-            at = np.minimum(np.searchsorted(keys, hashes[a:b]), n - 1)
-            out[order[a:b]] = np.where(keys[at] == hashes[a:b], self.first[s] + at + 1, -1)
+        shards = hash_shard(hashes, self.layout.shards).astype(np.int64)
+        for s, a, b in runs(shards):
+            words = self.open("words", s)
+            if words is not None:
+                at = np.minimum(np.searchsorted(words.keys, hashes[a:b]), len(words.keys) - 1)
+                out[order[a:b]] = np.where(words.keys[at] == hashes[a:b], np.uint64(s << 32) | at.astype(np.uint64), UNKNOWN)
         return out
 
-    def ids(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts' words, each text closed by its end token, and the positions of the ends."""
-        if len(self.known) > self.keep:
-            self.known.clear()
+    def of_words(self, kind: str, ids: np.ndarray, width: int) -> np.ndarray:
+        """Rows of a dense array of words (words: their counts; context, after: sums); zeros where there is none."""
+        out = np.zeros((len(ids), width), np.int64)
+        order = np.argsort(ids)
+        home, place = (ids[order] >> np.uint64(32)).astype(np.int64), (ids[order] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        for s, a, b in runs(home):
+            counts = self.open(kind, s) if s <= self.layout.shards else None
+            if counts is not None:
+                counts = counts.counts if kind == "words" else counts
+                here = np.flatnonzero(place[a:b] < counts.n)
+                out[order[a:b][here]] = counts.rows(place[a:b][here])
+        return out
+
+    def splits_of(self, ids: np.ndarray) -> np.ndarray:
+        """Into how many parts pairs of each word are dealt."""
+        return self._splits(self.of_words("words", ids, self.layout.classes), ids)
+
+    def _splits(self, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        layout = self.layout
+        share = HOT * sum(layout.totals) / layout.shards
+        found = np.ceil(counts.sum(1) / max(share, 1)).astype(np.int64)
+        begin = ids == np.uint64(layout.begin)
+        if begin.any() and len(self.ids) > 1 and hasattr(self, "splits"):
+            found[begin] = self.splits[0]
+        return np.clip(found, 1, layout.shards)
+
+    def _take(self, ids: np.ndarray) -> None:
+        layout = self.layout
+        counts = self.of_words("words", ids, layout.classes)
+        self.counts = np.concatenate([self.counts, counts])
+        splits = self._splits(counts, ids)
+        self.splits = np.concatenate([self.splits, splits]) if len(self.ids) else splits
+        self.ids = np.concatenate([self.ids, ids])
+        if layout.ready:
+            self.contexts = np.concatenate([self.contexts, self.of_words("context", ids, self.contexts.shape[1])])
+            self.afters = np.concatenate([self.afters, self.of_words("after", ids, layout.lowers)])
+
+    def slots(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the texts' words, each text closed by its end token, and the positions of the ends."""
+        if len(self.ids) > self.keep:
+            self._reset()
         flat: list[bytes] = []
         ends = np.empty(len(words), np.int64)
         for i, w in enumerate(words):
@@ -426,116 +674,101 @@ class Reader:
         if None in found:
             new = list({w for w, f in zip(flat, found, strict=True) if f is None})
             ids = self.find(np.fromiter(map(word_hash, new), np.uint64, len(new)))
-            fresh = dict(zip(new, ids.tolist(), strict=True))
+            there = ids != UNKNOWN
+            slot = np.where(there, len(self.ids) - 1 + np.cumsum(there), 1).tolist()
+            self._take(ids[there])
+            fresh = dict(zip(new, slot, strict=True))
             found = [fresh[w] if f is None else f for w, f in zip(flat, found, strict=True)]
-            self.known.update((w, i) for w, i in fresh.items() if len(w) < 64)
+            self.known.update((w, s) for w, s in fresh.items() if len(w) < 64)
         return np.array(found, np.int64), ends
 
-    @staticmethod
-    def pairs(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Keys of the pairs that end at each position; a text's first token has the id 0 before it."""
-        left = np.concatenate(([0], ids[:-1])) if len(ids) else ids
-        left[ends[:-1] + 1] = 0
-        return left.astype(np.uint64) << np.uint64(32) | (ids.astype(np.uint64) & UNKNOWN)
-
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts (rows x classes) of sorted distinct keys."""
-        layout = self.layout
-        out = np.zeros((len(keys), layout.classes), np.int64)
-        shards = pair_shard(layout.shards)(keys)
-        order = np.argsort(shards, kind="stable")
-        sorted_shards = shards[order]
-        for s in np.unique(sorted_shards).tolist():
-            n, wide = layout.pair_sizes.get(s, (0, 0))
-            if not n:
-                continue
-            a, b = np.searchsorted(sorted_shards, [s, s + 1])
-            raw = self.map(f"pairs-{s}", np.uint8)
-            stored, counts = raw[: 8 * n].view(np.uint64), raw[8 * n :].view(np.uint32 if wide == 4 else np.int64).reshape(layout.classes, n)
-            wanted = keys[order[a:b]]
-            at = np.minimum(np.searchsorted(stored, wanted), n - 1)
-            hit = stored[at] == wanted
-            out[order[a:b][hit]] = counts[:, at[hit]].T
-        return out
-
-    def by_id(self, kind: str, ids: np.ndarray, columns: int) -> np.ndarray:
-        """Rows of a per-id array; zeros for unknown ids.  ``ids`` are sorted."""
-        out = np.zeros((len(ids), columns), np.int64)
-        ranges = np.where(ids >= 0, ids // RANGE, -1)
-        for r in np.unique(ranges[ranges >= 0]).tolist():
-            wide = self.layout.id_files.get(2 * r + (kind == "after"))
-            if wide is None:
-                continue
-            a, b = np.searchsorted(ranges, [r, r + 1])
-            table = self.map(f"{kind}-{r}", np.uint32 if wide == 4 else np.int64).reshape(columns, RANGE)
-            out[a:b] = table[:, ids[a:b] - r * RANGE].T
+    def look_up(self, kind: str, shards: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
+        """Counts (rows x width) of n-grams, zeros where they aren't stored."""
+        out = np.zeros((len(keys), width), np.int64)
+        order = np.argsort(shards << np.uint64(40) | (keys & LOW40))
+        where, sought = shards[order].astype(np.int64), keys[order] & LOW40
+        for s, a, b in runs(where):
+            arrays = self.open(kind, s)
+            if arrays is not None:
+                hit, rows = arrays.get(sought[a:b])
+                out[order[a + hit]] = rows
         return out
 
-    def word_counts(self, ids: np.ndarray) -> np.ndarray:
-        """Counts (rows x classes) of sorted ids."""
+    def lower(self, column: int = 0) -> np.ndarray:
+        """Continuation probability of every slot, interpolated with an even share for every token and the unknown one."""
         layout = self.layout
-        out = np.zeros((len(ids), layout.classes), np.int64)
-        shard = np.searchsorted(self.first, ids - 1, side="right") - 1
-        for s in np.unique(shard[ids > 0]).tolist():
-            at = np.flatnonzero((shard == s) & (ids > 0))
-            n = layout.vocab[s]
-            counts = self.map(f"words-{s}", np.uint64)[n:].view(np.int64).reshape(layout.classes, n)
-            out[at] = counts[:, ids[at] - 1 - self.first[s]].T
-        return out
-
-    def lower(self, ids: np.ndarray) -> np.ndarray:
-        """Continuation probability of sorted ids, interpolated with an even share for every token and the unknown one."""
+        even, total = 1.0 / (layout.size + 1), layout.lower_totals[column]
+        n = self.afters[:, column]
+        if not total:
+            return np.full(len(n), even)
+        return np.maximum(n - np.array([0, *layout.lower_discounts[column]])[np.minimum(n, 3)], 0) / total + layout.lower_taken[column] * even
+
+    def class_words(self, lower: np.ndarray) -> np.ndarray:
+        """Class-conditional word probabilities (slots x classes) over the shared backoff."""
         layout = self.layout
-        even = 1.0 / (layout.size + 1)
-        if not layout.lower_total:
-            return np.full(len(ids), even)
-        n, d = self.by_id("after", ids, 1)[:, 0], layout.lower_discounts
-        taken = sum(x * c for x, c in zip(d, layout.lower_counts, strict=True)) / layout.lower_total
-        return np.maximum(n - np.array([0, *d])[np.minimum(n, 3)], 0) / layout.lower_total + taken * even
-
-    def class_words(self, ids: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Class-conditional word probabilities (rows x classes) of sorted ids over the shared backoff."""
-        layout = self.layout
-        counts = self.word_counts(ids)
-        counts[counts.sum(1) < layout.rare_below] = 0
-        out = np.empty((len(ids), layout.classes))
+        counts = np.where(self.counts.sum(1, keepdims=True) < layout.rare_below, 0, self.counts)
+        out = np.repeat(lower[:, None], layout.classes, axis=1)
         for c in range(layout.classes):
-            d = np.array([0, *layout.class_discounts[c]])
             if layout.totals[c]:
-                out[:, c] = np.maximum(counts[:, c] - d[np.minimum(counts[:, c], 3)], 0) / layout.totals[c] + layout.class_taken[c] * lower
-            else:
-                out[:, c] = lower
+                d = np.array([0, *layout.word_discounts[c]])
+                out[:, c] = np.maximum(counts[:, c] - d[np.minimum(counts[:, c], 3)], 0) / layout.totals[c] + layout.word_taken[c] * lower
         return out
 
-    def class_log_probabilities(self, ids: np.ndarray) -> np.ndarray:
-        """log10 p(token | class) at each position, a column for each class."""
-        distinct, where = np.unique(ids, return_inverse=True)
-        return np.log10(self.class_words(distinct, self.lower(distinct)))[where.ravel()]
-
-    def log_probabilities(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 p(token | token before) at each position, a column for each class; the lower order is shared by the classes."""
+    def pair_probabilities(self, slots: np.ndarray, ends: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """p(token | token before) at each position, a column for each class; ``lower``: of every slot, a column for each class."""
         layout = self.layout
-        if not len(ids):
-            return np.zeros((0, layout.classes))
-        keys = self.pairs(ids, ends)
-        distinct, where = np.unique(keys, return_inverse=True)
-        left = (distinct >> np.uint64(32)).astype(np.int64)
-        right = (distinct & UNKNOWN).astype(np.int64)
-        left[left == int(UNKNOWN)] = -1
-        right[right == int(UNKNOWN)] = -1
-        words, word_at = np.unique(right, return_inverse=True)
-        base = np.repeat(self.lower(words)[word_at][:, None], layout.classes, axis=1)
-        contexts, context_at = np.unique(left, return_inverse=True)
-        stats = self.by_id("context", contexts, 5 * layout.classes).reshape(len(contexts), 5, layout.classes)[context_at]
-        counts = self.pair_counts(distinct)
+        before = previous(slots, ends)
+        v, w = self.ids[before], self.ids[slots]
+        keys = key_of(v, w)
+        # an unknown word stands in no pair
+        at = np.flatnonzero((before != 1) & (slots != 1))
+        counts = np.zeros((len(slots), layout.classes), np.int64)
+        counts[at] = self.look_up("pairs", dealt(v[at], w[at], self.splits[before[at]], layout.shards), keys[at], layout.classes)
         counts = np.where(counts.sum(1, keepdims=True) >= layout.rare_below, counts, 0)
-        out = np.empty(base.shape)
+        stats = self.contexts[before].reshape(len(slots), -1, layout.classes)
+        out = lower[slots]
         for c in range(layout.classes):
             d, n, total = layout.pair_discounts[c], counts[:, c], stats[:, 0, c]
-            taken = d[0] * stats[:, 1, c] + d[1] * stats[:, 2, c] + d[2] * stats[:, 3, c] + stats[:, 4, c]
-            p = (np.maximum(n - np.array([0, *d])[np.minimum(n, 3)], 0) + taken * base[:, c]) / np.maximum(total, 1)
-            out[:, c] = np.log10(np.where(total > 0, p, base[:, c]))
-        return out[where.ravel()]
+            taken = d[0] * stats[:, 1, c] + d[1] * stats[:, 2, c] + d[2] * stats[:, 3, c] + (stats[:, 4, c] if layout.rare_below else 0)
+            p = (np.maximum(n - np.array([0, *d])[np.minimum(n, 3)], 0) + taken * out[:, c]) / np.maximum(total, 1)
+            out[:, c] = np.where(total > 0, p, out[:, c])
+        return out
+
+    def log_probabilities(self, slots: np.ndarray, ends: np.ndarray, own: bool = False) -> np.ndarray:
+        """log10 p(token | tokens before) at each position, a column for each class; with ``own`` each class has its own lowest order."""
+        layout = self.layout
+        if not len(slots):
+            return np.zeros((0, layout.classes))
+        if not layout.size:
+            return np.zeros((len(slots), layout.classes))
+        lower = np.stack([self.lower(c + 1 if own and layout.classes > 1 else 0) for c in range(layout.classes)], axis=1)
+        out = self.pair_probabilities(slots, ends, lower)
+        if layout.order == 3:
+            v = previous(slots, ends)
+            u = previous(v, ends)
+            context = key_of(self.ids[u], self.ids[v])
+            known = np.flatnonzero((u != 1) & (v != 1))
+            shard = np.zeros(len(slots), np.uint64)
+            shard[known] = dealt(self.ids[v[known]], self.ids[u[known]], self.splits[v[known]], layout.shards)
+            stats = np.zeros((len(slots), 4), np.int64)
+            stats[known] = self.look_up("contexts", shard[known], context[known], 4)
+            known = known[(slots[known] != 1) & (stats[known, 0] > 0)]
+            keys = key_of(self.ids[u[known]], self.ids[v[known]], self.ids[slots[known]])
+            n = np.zeros(len(slots), np.int64)
+            n[known] = self.look_up("triples", shard[known], keys, 1)[:, 0]
+            d, total = layout.triple_discounts, stats[:, 0]
+            taken = stats[:, 1:] @ np.array(d)
+            p = (np.maximum(n - np.array([0, *d])[np.minimum(n, 3)], 0) + taken * out[:, 0]) / np.maximum(total, 1)
+            out[:, 0] = np.where(total > 0, p, out[:, 0])
+        return np.log10(out)
+
+
+def runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Sorted values with the ranges in which each stands."""
+    if len(values):
+        edge = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True]))).tolist()
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            yield int(values[a]), a, b
 
 
 @worker_cache("kneser-ney")

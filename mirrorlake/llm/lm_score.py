@@ -1,11 +1,11 @@
-"""Language-model scores by an interpolated modified Kneser-Ney bigram model counted in Spark.
+"""Language-model scores by an interpolated modified Kneser-Ney trigram model counted in Spark.
 
-The model (``kneser_ney``) is counted over the training texts, stored as sorted arrays in the shared
-folder and memory-mapped by the workers, which score whole texts.  Order 2 is what fits the disk budget
-of the query: the distinct trigrams of a corpus are nearly as many as its tokens.
+The model (``kneser_ney``) is counted over the training texts, stored as sorted hash arrays in the shared
+folder and memory-mapped by the workers, which score whole texts.
 
-Null and empty texts hold one token, the end.  Repeated rows are scored each; an empty training set
-leaves every token unknown; an empty table gives no rows; extra columns are ignored.
+Null and empty texts hold one token, the end; texts of any length are scored whole.  Repeated rows, and rows that
+repeat a doc_id, are scored each; a null doc_id stays null and counts as the empty text in the fold; an empty
+training set leaves every token unknown; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 ADDED = 0.1
 
 
-def fit(texts: DataFrame, tag: str = "lm") -> Layout:
-    return train(texts.select(F.col("text").cast("string").alias("text")), tag)
+def fit(texts: DataFrame, tag: str = "lm", order: int = 3) -> Layout:
+    return train(texts.select(F.col("text").cast("string").alias("text")), tag, order)
 
 
 def score(docs: DataFrame, model: Layout) -> DataFrame:
@@ -38,10 +38,9 @@ def score(docs: DataFrame, model: Layout) -> DataFrame:
         m = reader(model)
         total, size = model.totals[0], model.size
         for others, words in text_batches(stream):
-            ids, ends = m.ids(words)
-            distinct, where = np.unique(ids, return_inverse=True)
-            counts = m.word_counts(distinct)[:, 0]
-            base = np.log10((counts + ADDED) / (total + ADDED * (size + 1)))[where]
+            slots, ends = m.slots(words)
+            counts = m.counts[:, 0]
+            base = np.log10((counts + ADDED) / (total + ADDED * (size + 1)))[slots]
             first = np.concatenate(([0], ends[:-1] + 1))
             sums = lambda x: np.add.reduceat(x, first)
             doc, held = zip(*others, strict=True)
@@ -50,10 +49,10 @@ def score(docs: DataFrame, model: Layout) -> DataFrame:
                     pa.array(doc, pa.int64()),
                     pa.array(held, pa.bool_()),
                     pa.array(ends - first + 1),
-                    pa.array(sums((counts > 0)[where].astype(np.int64))),
+                    pa.array(sums((counts > 0)[slots].astype(np.int64))),
                     pa.array(np.full(len(doc), total, np.int64)),
                     pa.array(sums(base)),
-                    pa.array(sums(m.log_probabilities(ids, ends)[:, 0])),
+                    pa.array(sums(m.log_probabilities(slots, ends)[:, 0])),
                 ],
                 schema=schema,
             )

@@ -1,13 +1,17 @@
 """Licences, Ogg storage, quality rules, the quality model, toxicity and the pipeline."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from mirrorlake.llm import byte_model, kneser_ney, license_scan, ogg_audio, quality_model, quality_rules, queries, toxicity
+from mirrorlake.llm import kneser_ney, license_scan, ogg_audio, quality_model, quality_rules, queries, toxicity
+from mirrorlake.llm.labelled import labelled, sample
 
 RNG = random.Random(8)
 WORDS = ["".join(RNG.choice("aeioutnrslhd") for _ in range(RNG.randint(2, 8))) for _ in range(400)]
@@ -94,16 +98,53 @@ def test_base_counts():
     assert quality_rules.base_counts("a b c", "a b c".encode())[:2] == (1, 5)
 
 
-def test_byte_model_is_a_distribution():
-    texts = [prose(50).encode() for _ in range(20)] + [b"", b"\xff"]
-    keys, counts = np.unique(byte_model.trigrams(texts)[0], return_counts=True)
-    p = byte_model.probabilities(keys.astype(np.int64), counts).reshape(65536, 256)
-    assert np.allclose(p[np.unique(keys >> 8)].sum(1), 1, atol=1e-4) and np.allclose(p[12345].sum(), 1, atol=1e-4)
-    logs = np.log10(p.ravel())
-    for text, mean in zip(texts, byte_model.mean_log10(texts, logs), strict=True):
-        full = b"\0\0" + text + b"\0"
-        plain = [logs[full[i] << 16 | full[i + 1] << 8 | full[i + 2]] for i in range(len(full) - 2)]
-        assert mean == pytest.approx(np.mean(plain), rel=1e-4)
+def plain_bands(rows, parts):
+    """(doc_id, kept) by dictionaries: texts scored by the other part's pair model, bands of the distinct sound texts."""
+    tokens = lambda t: kneser_ney.words_of(t) + [kneser_ney.END_TOKEN]
+    size = len({w for _, t, _ in rows for w in tokens(t)})
+
+    def model(texts):
+        top = Counter(g for t in texts for g in zip([None, *tokens(t)], tokens(t)))
+        low = Counter(w for _, w in top)
+        disc = lambda level: kneser_ney.discounts([list(level.values()).count(k) for k in (1, 2, 3, 4)])
+        cut = lambda d, c: [0, *d][min(c, 3)]
+        d1, d2, after = disc(low), disc(top), {}
+        for (v, _), c in top.items():
+            after.setdefault(v, []).append(c)
+        taken = sum(cut(d1, c) for c in low.values()) / len(top)
+
+        def p(v, w):
+            below = max(low[w] - cut(d1, low[w]), 0) / len(top) + taken / (size + 1)
+            held = after.get(v)
+            return (max(top[v, w] - cut(d2, top[v, w]), 0) + sum(cut(d2, c) for c in held) * below) / sum(held) if held else below
+
+        return lambda t: -sum(math.log10(p(*g)) for g in zip([None, *tokens(t)], tokens(t))) / len(tokens(t))
+
+    score = [model([t for i, t, _ in rows if parts[i] != k]) for k in (0, 1)]
+    measured = []
+    for i, t, lang in rows:
+        n, _, _, _, r = quality_rules.base_counts(t, t.encode())
+        measured.append((i, t, lang, parts[i], n < 50 or 100 * r > 50 * n, score[parts[i]](t), len(tokens(t))))
+    kept = {}
+    for lang, part in {(m[2], m[3]) for m in measured}:
+        mine = [m for m in measured if m[2:4] == (lang, part)]
+        sound = list({m[1]: (m[5], m[6]) for m in mine if not m[4]}.values())
+        at = lambda x, q: sorted(x)[max(0, math.ceil(q * len(x)) - 1)]  # noqa: E731  as Spark's approximate percentile, exact at this size
+        middle = at([s for s, _ in sound], 0.5)
+        off = [(s - middle) * n**0.5 for s, n in sound]
+        low, high = quality_rules.LOW * min(at(off, 0.25), -quality_rules.FLOOR), quality_rules.HIGH * max(at(off, 0.75), quality_rules.FLOOR)
+        kept |= {m[0]: not m[4] and middle + low / m[6] ** 0.5 <= m[5] <= middle + high / m[6] ** 0.5 for m in mine}
+    return kept
+
+
+def test_verdicts_equal_the_plain_version(spark):
+    rng = random.Random(11)
+    rows = [(i, prose(rng.randint(20, 150)), "en" if i % 3 else "de") for i in range(80)] + [(100 + i, " ".join(f"{rng.random()}" for _ in range(60)), "en") for i in range(4)]
+    rows += [(200 + i, "one two three " * 30, "de") for i in range(2)] + [(300 + i, rows[0][1], "en") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    parts = {r.doc_id: r.part for r in docs.select("doc_id", quality_rules.dealt(F.col("text")).alias("part")).collect()}
+    got = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+    assert set(parts.values()) == {0, 1} and got == plain_bands(rows, parts) and 0 < sum(got.values()) < len(got)
 
 
 def test_perplexity_bands_keep_prose(spark):
@@ -202,10 +243,66 @@ def test_span_features():
 
 
 def test_blocks_round_trip():
-    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64))
-    counts = np.arange(2 * len(keys)).reshape(-1, 2)
-    k, c = kneser_ney.unpack_block(kneser_ney.pack_block(keys, counts))
-    assert (k == keys).all() and (c == counts).all()
+    rng = np.random.default_rng(1)
+    for n in (1, 1000):
+        ids = rng.integers(0, 2**63, (n, 3), dtype=np.uint64)
+        counts = np.arange(2 * n).reshape(-1, 2)
+        back, c = kneser_ney.unpack(kneser_ney.pack(ids, counts))
+        order = np.argsort(ids[:, 1])
+        assert (back == ids[order]).all() and (c == counts[order]).all()
+
+
+def test_class_probabilities_equal_the_plain_version(spark):
+    """Words a text once over the shared backoff, pairs over the words, rare expressions left to the backoff."""
+    rng = random.Random(2)
+    rows = [(prose(rng.randint(1, 40)) + (" vexgrub snarlwit" * rng.randint(1, 3) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(60)]
+    layout = kneser_ney.train(spark.createDataFrame(rows, "text string, class int").repartition(3), "plain-toxicity", classes=2, rare_below=toxicity.RARE, split=kneser_ney.letters_of, once=True)
+    texts = [[*kneser_ney.letters_of(t), kneser_ney.END_TOKEN] for t, _ in rows]
+    words = [Counter(w for t, (_, y) in zip(texts, rows) if y == c for w in set(t)) for c in (0, 1)]
+    pairs = [Counter(g for t, (_, y) in zip(texts, rows) if y == c for g in zip([None, *t], t)) for c in (0, 1)]
+    rare = lambda table, x: table[0][x] + table[1][x] < toxicity.RARE
+    disc = lambda level: kneser_ney.discounts([list(level.values()).count(k) for k in (1, 2, 3, 4)])
+    cut = lambda d, c: [0, *d][min(c, 3)]
+    both = set(pairs[0]) | set(pairs[1])
+    after = Counter(w for _, w in both)
+    d1, size = disc(after), len(set(words[0]) | set(words[1]))
+    low = lambda w: max(after[w] - cut(d1, after[w]), 0) / len(both) + sum(cut(d1, c) for c in after.values()) / len(both) / (size + 1)
+
+    def single(w, c):
+        d, total = disc(words[c]), sum(words[c].values())
+        taken = sum(n if rare(words, x) else cut(d, n) for x, n in words[c].items()) / total
+        return (0 if rare(words, w) else max(words[c][w] - cut(d, words[c][w]), 0)) / total + taken * low(w)
+
+    def pair(v, w, c):
+        d, held = disc(pairs[c]), {g: n for g, n in pairs[c].items() if g[0] == v}
+        if not held:
+            return single(w, c)
+        taken = sum(n if rare(pairs, g) else cut(d, n) for g, n in held.items())
+        n = 0 if rare(pairs, (v, w)) else pairs[c][v, w]
+        return (max(n - cut(d, n), 0) + taken * single(w, c)) / sum(held.values())
+
+    model = kneser_ney.Reader(layout)
+    some = [texts[0][:-1], ["never".encode(), *texts[4][:3]]]
+    slots, ends = model.slots(some)
+    got = model.pair_probabilities(slots, ends, model.class_words(model.lower()))
+    closed = [[*t, kneser_ney.END_TOKEN] for t in some]
+    want = [[pair(v, w, c) for c in (0, 1)] for t in closed for v, w in zip([None, *t], t)]
+    assert got == pytest.approx(np.array(want), rel=1e-9)
+
+
+def test_of_several_labels_the_greatest_counts(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    assert sorted((r.doc_id, r.label) for r in labelled(docs, labels, "toxic").collect()) == [(1, 1), (2, 0)]
+
+
+def test_samples_are_the_least_hashed_whole_texts(spark):
+    rows = [(i, f"text {i} " * (i % 7 + 1), i % 2) for i in range(300)]
+    table = spark.createDataFrame(rows + rows[:100] * 3, "doc_id long, text string, label int").repartition(5)
+    hashed = sorted((r.h, r.doc_id, r.text) for r in table.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).distinct().collect())
+    assert sorted(r.text for r in sample(table, 40, 1 << 20).collect()) == sorted(t for _, _, t in hashed[:40])
+    assert sample(table, 1000, 1 << 20).count() == 300
+    assert sum(len(r.text) for r in sample(table, 40, 500).collect()) <= 500
 
 
 def test_every_operator_has_its_query():

@@ -20,45 +20,48 @@ def tokens(text):
     return [w.lower() if w.isascii() else w.encode().lower() for w in (text or "").split()]
 
 
-def plain(train, tests):
+def plain(train, tests, order=3):
+    """Interpolated modified Kneser-Ney by dictionaries; a text has order - 1 begin marks (None)."""
     words = [kneser_ney.words_of(t) + [kneser_ney.END_TOKEN] for t in train]
     unigrams = Counter(w for t in words for w in t)
-    pairs = Counter(p for t in words for p in zip([None, *t], t))
     total, size = sum(unigrams.values()), len(unigrams)
+    grams = lambda t: zip(*([None] * (order - 1 - k) + t for k in range(order)))
+    top = Counter(g for t in words for g in grams(t))
+    levels = [top]
+    while len(next(iter(levels[0]))) > 1:
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
 
     def disc(values):
         c = Counter(values)
         return kneser_ney.discounts([c[k] for k in (1, 2, 3, 4)])
 
-    d2 = disc(pairs.values())
-    after = Counter(w for _, w in pairs)
-    d1 = disc(after.values())
     cut = lambda d, c: ([0, *d])[min(c, 3)]
-    contexts = defaultdict(list)
-    for (v, _), c in pairs.items():
-        contexts[v].append(c)
-    taken1 = sum(cut(d1, c) for c in after.values()) / len(pairs)
-
-    def p1(w):
-        return max(after[w] - cut(d1, after[w]), 0) / len(pairs) + taken1 / (size + 1)
-
-    def p2(v, w):
-        if v not in contexts:
-            return p1(w)
-        n = sum(contexts[v])
-        c = pairs[v, w]
-        return (max(c - cut(d2, c), 0) + sum(cut(d2, x) for x in contexts[v]) * p1(w)) / n
+    ds, contexts = [disc(level.values()) for level in levels], [defaultdict(list) for _ in levels]
+    for level, held in zip(levels, contexts):
+        for g, c in level.items():
+            held[g[:-1]].append(c)
+
+    def p(gram):
+        k = len(gram) - 1
+        below = p(gram[1:]) if k else 1 / (size + 1)
+        held = contexts[k].get(gram[:-1])
+        if not held:
+            return below
+        c = levels[k][gram]
+        return (max(c - cut(ds[k], c), 0) + sum(cut(ds[k], x) for x in held) * below) / sum(held)
 
     out = []
     for t in tests:
         ws = kneser_ney.words_of(t) + [kneser_ney.END_TOKEN]
         base = sum(math.log10((unigrams[w] + 0.1) / (total + 0.1 * (size + 1))) for w in ws)
-        out.append((len(ws), sum(w in unigrams for w in ws), total, base, sum(math.log10(p2(v, w)) for v, w in zip([None, *ws], ws))))
+        out.append((len(ws), sum(w in unigrams for w in ws), total, base, sum(math.log10(p(g)) for g in grams(ws))))
     return out
 
 
-def test_scores_equal_the_plain_version(spark, monkeypatch):
+@pytest.mark.parametrize("fan", [4096, 2])
+def test_scores_equal_the_plain_version(spark, monkeypatch, fan):
     monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 2000)  # several shards
+    monkeypatch.setattr(kneser_ney, "FAN", fan)  # with and without the middle level of merging
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3)
     got = {r.doc_id: r for r in lm_score.score_held_out(docs).collect()}
@@ -71,15 +74,39 @@ def test_scores_equal_the_plain_version(spark, monkeypatch):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9), i
 
 
+def test_pairs_equal_the_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(kneser_ney, "RUN", 40)  # blocks are sent on early
+    layout = lm_score.fit(spark.createDataFrame([(t,) for t in TEXTS], "text string"), "pairs-test", 2)
+    model = kneser_ney.Reader(layout)
+    slots, ends = model.slots([kneser_ney.words_of(t) for t in TEXTS])
+    logs = model.log_probabilities(slots, ends)[:, 0]
+    for t, a, b in zip(plain(TEXTS, TEXTS, 2), [0, *(ends[:-1] + 1)], ends, strict=True):
+        assert logs[a : b + 1].sum() == pytest.approx(t[4], rel=1e-9)
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a b"), (1, "a b"), (1, "c"), (1, "c"), (2, None)]
+    got = lm_score.score_held_out(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (1, 2), (1, 2), (1, 3), (2, 1)]
+
+
+def test_counts_beyond_a_byte():
+    rows = kneser_ney.np.array([[1, 300], [255, 0], [254, 1 << 40]])
+    held = kneser_ney.Counts(kneser_ney.np.frombuffer(kneser_ney.counts_bytes(rows), kneser_ney.np.uint8))
+    assert held.rows(kneser_ney.np.array([2, 0, 1, 1])).tolist() == rows[[2, 0, 1, 1]].tolist()
+
+
 def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(t,) for t in TEXTS], "text string")
     layout = lm_score.fit(docs, "sum-test")
     model = kneser_ney.Reader(layout)
     vocab = sorted({w for t in TEXTS for w in kneser_ney.words_of(t)} | {kneser_ney.END_TOKEN, b"never seen"})
-    for left in (vocab[0], vocab[5]):
-        ids, ends = model.ids([[left, w] for w in vocab])
-        logs = model.log_probabilities(ids, ends)[:, 0]
-        assert sum(10 ** logs[3 * i + 1] for i in range(len(vocab))) == pytest.approx(1, abs=1e-9)
+    for left in ([vocab[0]], [vocab[5], vocab[7]], [b"w0", b"w1"]):
+        slots, ends = model.slots([[*left, w] for w in vocab])
+        logs = model.log_probabilities(slots, ends)[:, 0]
+        each = len(left) + 2
+        assert sum(10 ** logs[each * i + len(left)] for i in range(len(vocab))) == pytest.approx(1, abs=1e-9)
 
 
 def test_empty_tables(spark):
