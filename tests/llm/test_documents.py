@@ -38,21 +38,6 @@ def test_odd_rows_pass_every_operator(spark, odd):
     assert {r.score for r in toxicity.classify(odd, unlabelled).collect()} == {0.0}
 
 
-def test_licences(spark):
-    texts = {
-        1: "Hello there. Licensed under the Apache License, Version 2.0.\nThe end",
-        2: "Released under the MIT License. This work is licensed under the GNU General Public License, version 3.",
-        3: "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.",
-        4: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-        5: "Either version 2 of the License, or (at your option) any later version.",
-        6: "nothing",
-    }
-    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert [got[i].licences for i in range(1, 7)] == ["Apache-2.0", "GPL-3.0,MIT", "CC-BY-NC-4.0", "MIT", "", ""]
-    assert [got[i].n_left_over for i in range(1, 7)] == [0, 0, 0, 0, 1, 0]
-    assert got[1].sequence == "-<Apache2>-"
-
-
 def bitwise_crc(data):
     c = 0
     for b in data:
