@@ -9,8 +9,8 @@ pigeonhole principle, a chunk in which at most ERRORS differ.  Every way of leav
 a chunk is enumerated as a key, so such a pair meets under a key for certain.  With 10 chunks of 5 and
 one error, sets of similarity 0.8 meet but for a chance of 2e-6.
 
-A bucket that many classes share is dealt out over salts (a salt for every ``BLOCK`` of its members) before anything is
-joined to it, so no key's rows meet in one task.
+Buckets of more than ``BLOCK`` members are few (at most the index's rows by ``BLOCK``), so what belongs to such a bucket is
+broadcast to its members, or joined by salts where even these are too many; no key's rows meet in one task.
 
 Buckets are not expanded into pairs.  In ``ROUNDS`` rounds each member of a bucket is set beside the
 bucket's hub only (the member of least rank in that round's order), of its hubs the two most promising
@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,6 +53,8 @@ FARTHEST = 26
 ROUNDS, BLOCK = 2, 2048
 #: Of a worker: files of sets mapped at once, and members of sets unpacked at once.
 MOST_MAPS, RECENT = 512, 4_000_000
+#: Rows (a few numbers each) that may be broadcast.
+MOST_BROADCAST = 2_000_000
 PROFILE = "doc_id long, n_shingles long, set_hash binary, signature binary"
 
 _SEEDS = np.random.default_rng(20240501).integers(1, 2**63, (VALUES, 2), dtype=np.uint64) | np.uint64(1)
@@ -287,7 +289,7 @@ def verified(pairs: DataFrame, files: SetFiles, percent: int) -> DataFrame:
     return pairs.select("a", "b").mapInArrow(compare, "a long, b long")
 
 
-def few(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+def few(ids: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """Ids that are broadcast if a count shows them to be few (a long each), else joined by a shuffle."""
     return F.broadcast(ids) if ids.count() <= most else ids
 
@@ -378,9 +380,17 @@ def salts() -> Column:
     return F.ceil(F.col("held") / BLOCK).cast("long")
 
 
-def salted(rows: DataFrame) -> DataFrame:
-    """``rows`` (one a key, with held) once for each salt of their bucket."""
-    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts() - 1))).drop("held")
+def with_bucket(rows: DataFrame, made: Callable[[DataFrame], DataFrame], most_large: int) -> DataFrame:
+    """``rows`` (key, node, held) joined by key with ``made`` of them, one row a key.  ``most_large``: a bound of the number of large buckets."""
+    small, large = rows.where(F.col("held") <= BLOCK), rows.where(F.col("held") > BLOCK)
+    joined = small.join(made(small), "key")
+    if not most_large:
+        return joined
+    per_key = made(large)
+    if most_large <= MOST_BROADCAST:
+        return joined.unionByName(large.join(F.broadcast(per_key), "key"))
+    salted = per_key.join(large.groupBy("key").agg(F.first("held").alias("h")), "key").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("h") / BLOCK).cast("long") - 1))).drop("h")
+    return joined.unionByName(large.withColumn("salt", F.pmod(F.xxhash64("node"), salts())).join(salted, ["key", "salt"]).drop("salt"))
 
 
 def shared_documents(made: DataFrame, classes: DataFrame, root: str) -> DataFrame | None:
@@ -413,7 +423,8 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     index = settle(spark, entries(classes), f"{root}/index")
     # keys held by one class alone can't make a pair
     shared = index.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    index = settle(spark, index.join(shared, "key").withColumn("salt", F.pmod(F.xxhash64("node"), salts())), f"{root}/buckets")
+    index = settle(spark, index.join(shared, "key"), f"{root}/buckets")
+    most_large = index.where(F.col("held") > BLOCK).count() // BLOCK
     files = store_sets(docs, index.select("node").distinct().join(classes, "node").select(F.col("least").alias("doc_id"), "set_hash", "node"), words, root)
     links, labels = same_document, None
     if links is not None:
@@ -426,9 +437,8 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     def open_buckets() -> DataFrame:
         """Entries of buckets that hold more than one component."""
-        marked = component(index)
-        mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("held").alias("held")).where("lo <> hi")
-        return marked.join(salted(mixed.select("key", "held")), ["key", "salt"])
+        mixed = lambda rows: rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        return with_bucket(component(index), mixed, most_large)
 
     for turn in range(ROUNDS + 1):
         at = f"{root}/round-{turn}"
@@ -437,8 +447,8 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             break
         if turn < ROUNDS:
             rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-            hubs = waiting.groupBy("key").agg(F.min(rank).alias("h"), F.first("held").alias("held")).select("key", "held", "h.hub", "h.hub_component", "h.r")
-            beside = waiting.join(salted(hubs), ["key", "salt"]).where("component <> hub_component").select(F.col("node").alias("a"), F.col("hub").alias("b"), "r").distinct()
+            hubs = lambda rows, rank=rank: rows.groupBy("key").agg(F.min(rank).alias("h")).select("key", "h.hub", "h.hub_component", "h.r")
+            beside = with_bucket(waiting, hubs, most_large).where("component <> hub_component").select(F.col("node").alias("a"), F.col("hub").alias("b"), "r").distinct()
             near = distances(beside.select("a", "b"), classes).withColumn("r", F.xxhash64("b", F.lit(turn)))
             # of the hubs that a member was set beside: the closest, and the one of least rank that seems near
             best = near.groupBy("a").agg(
@@ -448,7 +458,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             pairs = best.select("a", F.explode(F.array_distinct(F.array("first.b", "closest.b"))).alias("b"))
             found = verified(settle(spark, pairs, f"{at}/pairs"), files, percent)
         else:
-            spread = waiting.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), salts() - 1)))
+            spread = waiting.withColumn("salt", F.pmod(F.xxhash64("node"), salts())).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), salts() - 1)))
             lo, hi = F.least("salt", "other"), F.greatest("salt", "other")
             part = F.when(lo == hi, 2).when(F.col("salt") == lo, 0).otherwise(1)
             members = spread.select(F.xxhash64("key", lo, hi).alias("bucket"), "node", "component", "slot", part.cast("int").alias("part"))
