@@ -18,8 +18,8 @@ Where there are more than ``FAN`` shards, blocks go through a middle level: task
 time, which are merged in parts and cut again, so the number of blocks grows with the input, not its square.
 
 A stored array is sorted by a 40-bit hash of the n-gram within its shard (a look-up of an n-gram that isn't there
-finds another's entry with a chance of about 3e-6 in a full shard), with counts in a byte each and larger ones
-aside.  Discounts come from counts of counts.  Workers map the arrays into memory and look up the sorted keys of a batch.
+finds another's entry with a chance of about 3e-6 in a full shard): a directory of the upper 16 bits, the lower 24, and counts
+in a byte each, larger ones aside.  Discounts come from counts of counts.  Workers map the arrays into memory and look up the sorted keys of a batch.
 
 Counts are kept by class (one column a class), so the same arrays serve a plain model (one class), models
 of several parts of a corpus, and class-conditional models that share their backoff.  Everything covers
@@ -30,26 +30,27 @@ goes through the driver.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, local_path, put_bytes, settle, shared_dir, worker_cache
+from .common import batches, local_path, put_bytes, shared_dir, worker_cache
 
-#: The end of a text as a token: holds a space, so that no word equals it.
-END_TOKEN = b" end"
+#: The hash of the end of a text as a token.
+END = np.uint64(0xE2D0F7E87AC1B35D)
 #: Bytes of text for which one shard is laid out; entries of a task that are sorted at once; shards that a task sends blocks to.
 SHARD_BYTES, RUN, FAN = 16 << 20, 1_500_000, 4096
 #: A word with more than this share of a shard's tokens is dealt over several.
 HOT = 0.25
 BLOCKS = "shard int, payload binary, facts array<long>"
 UNKNOWN = np.uint64(0xFFFFFFFFFFFFFFFF)
-LOW40 = np.uint64((1 << 40) - 1)
+#: Stored keys are the upper 40 bits of a hash; of these the upper 16 have a directory.
+KEPT, BELOW, LOW24 = np.uint64(24), np.uint64(24), np.uint64((1 << 24) - 1)
 
 # --- rows of counts: sorted by key, with columns of ids and of counts --------------------------------
 
@@ -86,15 +87,16 @@ def narrow(counts: np.ndarray) -> np.ndarray:
 
 
 def pack(ids: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rows of ids (the first: the shard) and counts: differences of the second id, byte planes, zstd."""
+    """Rows of ids (the first: the shard) and counts: differences of the second id, planes of the bytes in use, zstd."""
     import zstandard
 
-    order = np.argsort(ids[:, 1], kind="stable")
+    order = np.argsort(ids[:, 1])
     ids, counts = ids[order], narrow(counts[order])
     ids[:, 1] = np.diff(ids[:, 1], prepend=np.uint64(0))
     n, k = ids.shape
-    head = np.array([n, k, counts.shape[1], counts.dtype.itemsize], np.uint32).tobytes()
-    planes = np.ascontiguousarray(np.ascontiguousarray(ids).view(np.uint8).T).tobytes() + np.ascontiguousarray(np.ascontiguousarray(counts).view(np.uint8).T).tobytes()
+    used = np.bitwise_or.reduce(ids, axis=0).view(np.uint8) > 0
+    head = np.array([n, k, counts.shape[1], counts.dtype.itemsize], np.uint32).tobytes() + used.tobytes()
+    planes = np.ascontiguousarray(ids.view(np.uint8)[:, used].T).tobytes() + np.ascontiguousarray(np.ascontiguousarray(counts).view(np.uint8).T).tobytes()
     return head + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
@@ -102,10 +104,13 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
     n, k, m, wide = np.frombuffer(data, np.uint32, 4).tolist()
-    planes = zstandard.ZstdDecompressor().decompress(data[16:])
-    ids = np.frombuffer(planes, np.uint8, 8 * n * k).reshape(8 * k, n).T.copy("C").view(np.uint64)
+    used = np.flatnonzero(np.frombuffer(data, np.bool_, 8 * k, 16))
+    planes = zstandard.ZstdDecompressor().decompress(data[16 + 8 * k :])
+    ids = np.zeros((n, 8 * k), np.uint8)
+    ids[:, used] = np.frombuffer(planes, np.uint8, len(used) * n).reshape(len(used), n).T
+    ids = ids.view(np.uint64)
     kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[wide]
-    counts = np.ascontiguousarray(np.frombuffer(planes, np.uint8, wide * m * n, 8 * n * k).reshape(wide * m, n).T).view(kind)
+    counts = np.frombuffer(planes, np.uint8, wide * m * n, len(used) * n).reshape(wide * m, n).T.copy("C").view(kind)
     ids[:, 1] = np.cumsum(ids[:, 1], dtype=np.uint64)
     return ids, counts.astype(np.int64)
 
@@ -145,7 +150,7 @@ def cut(ids: np.ndarray, counts: np.ndarray, fan: int = 1) -> Iterator[tuple[int
     if not len(ids):
         return
     group = (ids[:, 0] // np.uint64(fan)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.uint16) if group.max() < 1 << 16 else group, kind="stable")
     group = group[order]
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist()
     for a, b in zip(first, [*first[1:], len(group)], strict=True):
@@ -249,12 +254,12 @@ def mapped(path: str) -> np.ndarray:
 
 
 def put_arrays(path: str, keys: np.ndarray, columns: np.ndarray) -> None:
-    """Entries sorted by the low 40 bits of their keys, with their counts."""
-    keys = keys & LOW40
-    order = np.argsort(keys)
-    keys = keys[order]
+    """Entries of sorted 64-bit keys, by the upper 40 bits of these, with their counts."""
+    keys = keys >> KEPT
     n = len(keys)
-    put_bytes(path, np.int64(n).tobytes() + (keys >> np.uint64(8)).astype(np.uint32).tobytes() + (keys & np.uint64(255)).astype(np.uint8).tobytes() + bytes(-5 * n % 8) + counts_bytes(columns[order]))
+    first = np.concatenate(([0], np.cumsum(np.bincount((keys >> BELOW).astype(np.int64), minlength=1 << 16))))
+    parts = (np.int64(n), first.astype(np.uint32), np.uint32(0), (keys >> np.uint64(8)).astype(np.uint16), keys.astype(np.uint8), np.zeros(-3 * n % 8, np.uint8))
+    put_bytes(path, b"".join(x.tobytes() for x in parts) + counts_bytes(columns))
 
 
 class Arrays:
@@ -263,20 +268,30 @@ class Arrays:
     def __init__(self, path: str):
         raw = mapped(path)
         self.n = n = int(raw[:8].view(np.int64)[0])
-        self.upper, self.lower = raw[8 : 8 + 4 * n].view(np.uint32), raw[8 + 4 * n : 8 + 5 * n]
-        self.counts = Counts(raw[8 + 5 * n + -5 * n % 8 :])
+        at = 8 + 4 * ((1 << 16) + 2)
+        self.first = raw[8 : at - 4].view(np.uint32)
+        self.upper, self.lower = raw[at : at + 2 * n].view(np.uint16), raw[at + 2 * n : at + 3 * n]
+        self.counts = Counts(raw[at + 3 * n + -3 * n % 8 :])
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the keys (40 bits, sorted) are there, and their counts (rows x columns)."""
-        upper, lower = (keys >> np.uint64(8)).astype(np.uint32), (keys & np.uint64(255)).astype(np.uint8)
-        at = np.searchsorted(self.upper, upper)
-        behind = np.flatnonzero(at < self.n)
+        bucket = (keys >> BELOW).astype(np.int64)
+        upper, lower = (keys >> np.uint64(8)).astype(np.uint16), keys.astype(np.uint8)
+        at, end = self.first[bucket].astype(np.int64), self.first[bucket + 1].astype(np.int64)
+        stop = end.copy()
+        last = max(self.n - 1, 0)
+        for _ in range(int((end - at).max(initial=0)).bit_length()):  # the first entry with no lesser upper bits, by halving
+            middle = (at + stop) >> 1
+            less = (at < stop) & (self.upper[np.minimum(middle, last)] < upper)
+            stop = np.where(less, stop, np.minimum(middle, stop))
+            at = np.where(less, middle + 1, at)
+        behind = np.flatnonzero(at < end)
         while len(behind):  # past entries with equal upper bits and lesser lower ones
             i = at[behind]
             behind = behind[(self.upper[i] == upper[behind]) & (self.lower[i] < lower[behind])]
             at[behind] += 1
-            behind = behind[at[behind] < self.n]
-        hit = np.flatnonzero(at < self.n)
+            behind = behind[at[behind] < end[behind]]
+        hit = np.flatnonzero(at < end)
         i = at[hit]
         same = (self.upper[i] == upper[hit]) & (self.lower[i] == lower[hit])
         return hit[same], self.counts.rows(i[same])
@@ -299,13 +314,18 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def lowered(text: bytes) -> bytes:
+    """A-Z lowered: the words are those of ``words_of``."""
+    return text.lower()
+
+
 #: Bytes of ASCII other than letters become spaces.
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def letters_of(text: str | None) -> list[bytes]:
+def letters(text: bytes) -> bytes:
     """Lower-cased runs of letters (and of all beyond ASCII): punctuation and digits fall away."""
-    return text.lower().encode().translate(_LETTERS).split() if text else []
+    return text.decode().lower().encode().translate(_LETTERS)
 
 
 def word_hash(word: bytes) -> int:
@@ -314,7 +334,7 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def text_batches(stream: Iterator[pa.RecordBatch], split: Callable[[str | None], list[bytes]] = words_of, rows: int = 300_000) -> Iterator[tuple[list, list[list[bytes]]]]:
+def text_batches(stream: Iterator[pa.RecordBatch], split: Callable[[str | None], list[bytes]] = words_of, rows: int = 200_000) -> Iterator[tuple[list, list[list[bytes]]]]:
     """Rows and the words of their texts, in groups of bounded size (one text at least)."""
     keep, words, n = [], [], 0
     for batch in stream:
@@ -331,6 +351,67 @@ def text_batches(stream: Iterator[pa.RecordBatch], split: Callable[[str | None],
         yield keep, words
 
 
+#: White space becomes a space; the multiplier of word hashes (odd, so it has an inverse); bytes that are hashed at once, bytes of a group of texts.
+_BLANKS = bytes(32 if b in b" \t\n\v\f\r" else b for b in range(256))
+PRIME, PIECE, GROUP = 0x9E3779B97F4A7C15, 1 << 20, 2 << 20
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """PRIME**k and its inverse for k below ``n``, modulo 2**64."""
+    step = lambda x: np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n - 1, x, np.uint64))))
+    return step(PRIME), step(pow(PRIME, -1, 1 << 64))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``data`` (polynomials in their bytes, mixed), and where the words begin."""
+    data = data.translate(_BLANKS)
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > PIECE:  # cut at a space
+            end = data.rfind(b" ", at, at + PIECE) + 1 or data.find(b" ", at + PIECE) + 1 or len(data)
+        x = np.frombuffer(data, np.uint8, end - at, at)
+        inside = x != 32
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        first, last = edge[::2], edge[1::2]
+        power, inverse = _powers(1 << max(PIECE, len(x)).bit_length())
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.where(inside, x + np.uint64(1), np.uint64(0)) * power[: len(x)], dtype=np.uint64)))
+        hashes.append(mix((sums[last] - sums[first]) * inverse[first]))
+        starts.append(first + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of texts (cleaned), each text's words and its end, and the positions of the ends."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    words, starts = word_hashes(b" ".join(texts))
+    upto = np.searchsorted(starts, np.cumsum(size + 1))
+    ends = upto + np.arange(len(texts))
+    out = np.empty(len(words) + len(texts), np.uint64)
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[ends], out[inside] = END, words
+    return out, ends
+
+
+def hashed(stream: Iterator[pa.RecordBatch], clean: Callable[[bytes], bytes] = lowered) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Rows with the token hashes of their texts and the positions of the ends, in groups of bounded size (one text at least)."""
+    keep, texts, size = [], [], 0
+    for batch in stream:
+        others = list(zip(*[batch.column(i).to_pylist() for i in range(1, batch.num_columns)], strict=True)) if batch.num_columns > 1 else [()] * batch.num_rows
+        for text, other in zip(batch.column(0).cast(pa.binary()), others, strict=True):
+            texts.append(clean(text.as_py() or b""))
+            keep.append(other)
+            size += len(texts[-1])
+            if size >= GROUP:
+                yield keep, *token_hashes(texts)
+                keep, texts, size = [], [], 0
+    if keep:
+        yield keep, *token_hashes(texts)
+
+
 # --- training ---------------------------------------------------------------------------------------
 
 
@@ -404,7 +485,7 @@ def dealt(word: np.ndarray, other: np.ndarray, splits: np.ndarray, shards: int)
     return mix(word) % np.uint64(shards)
 
 
-def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_below: int = 0, split: Callable[[str | None], list[bytes]] = words_of, once: bool = False) -> Layout:
+def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_below: int = 0, clean: Callable[[bytes], bytes] = lowered, once: bool = False) -> Layout:
     """Count a model over ``texts``: a column text and, if there are several classes, an int column class.
 
     Expressions seen fewer than ``rare_below`` times in all classes together give their whole count to
@@ -427,15 +508,15 @@ def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_bel
 
     def count_words(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
-        for others, words in text_batches(stream, split):
-            for label in range(classes):
-                seen: Counter[bytes] = Counter()
-                for other, w in zip(others, words, strict=True):
-                    if classes == 1 or other[0] == label:
-                        seen.update(set(w) if once else w)
-                        seen[END_TOKEN] += 1
-                keys = np.fromiter(map(word_hash, seen), np.uint64, len(seen))
-                tally.add(keys, np.stack([hash_shard(keys, shards), keys], axis=1), classed(np.fromiter(seen.values(), np.int64, len(seen)), label))
+        for others, hashes, ends in hashed(stream, clean):
+            text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
+            label = np.array([o[0] for o in others])[text] if classes > 1 else None
+            if once:
+                at = np.unique(mix(hashes + text.astype(np.uint64) * np.uint64(PRIME)), return_index=True)[1]
+                hashes, label = hashes[at], label[at] if classes > 1 else None
+            for c in range(classes):
+                keys, n = np.unique(hashes[label == c] if classes > 1 else hashes, return_counts=True)
+                tally.add(keys, np.stack([hash_shard(keys, shards), keys], axis=1), classed(n, c))
             if tally.full:
                 yield from block_batches(tally.blocks(fan))
         yield from block_batches(tally.blocks(fan))
@@ -459,8 +540,8 @@ def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_bel
 
     def count_ngrams(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, model = Tally(), reader(layout)
-        for others, words in text_batches(stream, split):
-            slots, ends = model.slots(words)
+        for others, hashes, ends in hashed(stream, clean):
+            slots = model.slots(hashes)
             before = previous(slots, ends)
             grams = [slots] if order == 2 else [before, slots]
             grams = [previous(before, ends) if order == 3 else before, *grams]
@@ -491,7 +572,7 @@ def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_bel
         keys, ids, counts = merge(table, triple_key)
         shard = int(ids[0, 0])
         put_arrays(f"{root}/triples-{shard}", keys, counts)
-        facts = count_of_counts(counts) + [0] * 4
+        facts = count_of_counts(counts) + [0] * (width - 4)
         context = key_of(ids[:, 2], ids[:, 1])
         order = np.argsort(context)
         first, sums = context_sums(context[order], counts[order])
@@ -507,12 +588,11 @@ def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_bel
 
     def store_pairs(table: pa.Table) -> pa.Table:
         if table.column("payload")[0].as_py() is None:
-            total = np.sum(table.column("facts").to_pylist(), axis=0).tolist()
-            return pa.Table.from_batches([_rows([], [(table.column("shard")[0].as_py(), total)])])
+            return pa.Table.from_batches([_rows([], [added(table)])])
         keys, ids, counts = merge(table, pair_key)
         shard = int(ids[0, 0])
         put_arrays(f"{root}/pairs-{shard}", keys, counts)
-        facts = ([0] * 4 if layout.order == 3 else []) + count_of_counts(counts)
+        facts = [0] * triples + count_of_counts(counts) + [0] * sums_width
         order = np.argsort(ids[:, 1])
         left = ids[order, 1]
         first, sums = context_sums(left, counts[order], rare_below)
@@ -523,30 +603,33 @@ def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_bel
         first = np.flatnonzero(np.concatenate(([True], right[1:] != right[:-1])))
         firsts = [np.diff(np.append(first, len(right)))] + ([np.add.reduceat((c > 0).astype(np.int64)[order], first) for c in counts.T] if classes > 1 else [])
         rows += [(2 * s + 1, p) for s, p in cut(np.stack([home(right[first]), right[first]], axis=1), np.stack(firsts, axis=1))]
-        return pa.Table.from_batches([_rows(rows, [(-1, facts)])])
+        return pa.Table.from_batches([_rows(rows, [(-1 - shard % 64, facts)])])
+
+    def store_sums(table: pa.Table) -> pa.Table:
+        if table.column("payload")[0].as_py() is None:
+            shard, facts = added(table)
+        else:
+            keys, ids, sums = merge(table, lambda ids: ids[:, 1])
+            shard, after = int(ids[0, 0]), table.column("shard")[0].as_py() % 2
+            dense = np.zeros((int(keys[-1] & np.uint64(0xFFFFFFFF)) + 1, sums.shape[1]), np.int64)
+            dense[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)] = sums
+            put_bytes(f"{root}/{'after' if after else 'context'}-{shard}", counts_bytes(dense))
+            own = [*count_of_counts(sums), *np.count_nonzero(sums >= 3, axis=0).tolist(), *sums.sum(0).tolist()] if after else [0] * sums_width
+            facts = [0] * (width - sums_width) + own
+        return pa.table({"shard": pa.array([shard], pa.int32()), "facts": pa.array([facts], pa.list_(pa.int64()))})
 
+    m, triples = layout.lowers, 4 if order == 3 else 0
+    sums_width = 6 * m
+    width = triples + 4 * classes + sums_width  # of the facts: counts of counts of triples, of pairs by class, and what the lowest order needs
     counted = texts.mapInArrow(count_ngrams, BLOCKS)
     if order == 3:
         counted = gathered(counted, shards, triple_key, store_triples, BLOCKS)
-    parts = settle(spark, gathered(counted, shards, pair_key, store_pairs, BLOCKS), f"{root}/parts")
-    facts = summed(parts.where("shard < 0"), 8 if order == 3 else 4 * classes)
+    parts = gathered(counted, shards, pair_key, store_pairs, BLOCKS).repartition(2 * shards, "shard")
+    facts = summed(parts.groupBy("shard").applyInArrow(store_sums, "shard int, facts array<long>"), width)
     if order == 3:
         layout.triple_discounts = discounts(facts[:4])
-        facts = facts[4:]
-    layout.pair_discounts = [discounts(facts[4 * c : 4 * c + 4]) for c in range(classes)]
-
-    def store_sums(table: pa.Table) -> pa.Table:
-        keys, ids, sums = merge(table, lambda ids: ids[:, 1])
-        shard, after = int(ids[0, 0]), table.column("shard")[0].as_py() % 2
-        dense = np.zeros((int(keys[-1] & np.uint64(0xFFFFFFFF)) + 1, sums.shape[1]), np.int64)
-        dense[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)] = sums
-        put_bytes(f"{root}/{'after' if after else 'context'}-{shard}", counts_bytes(dense))
-        facts = [*count_of_counts(sums), *np.count_nonzero(sums >= 3, axis=0).tolist(), *sums.sum(0).tolist()] if after else [0] * (6 * layout.lowers)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "facts": pa.array([facts], pa.list_(pa.int64()))})
-
-    blocks = parts.where("shard >= 0").repartition(2 * shards, "shard")
-    facts = summed(blocks.groupBy("shard").applyInArrow(store_sums, "shard int, facts array<long>"), 6 * layout.lowers)
-    m = layout.lowers
+    layout.pair_discounts = [discounts(facts[triples + 4 * c :][:4]) for c in range(classes)]
+    facts = facts[width - sums_width :]
     for c in range(m):
         coc, more, total = facts[4 * c : 4 * c + 4], facts[4 * m + c], facts[5 * m + c]
         d = discounts(coc)
@@ -557,6 +640,11 @@ def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_bel
     return layout
 
 
+def added(table: pa.Table) -> tuple[int, list[int]]:
+    """The rows of facts of one group as one."""
+    return table.column("shard")[0].as_py(), np.sum(table.column("facts").to_pylist(), axis=0).tolist()
+
+
 def summed(rows: DataFrame, width: int) -> list[int]:
     """Sums of the column facts, by place."""
     found = rows.agg(*[F.sum(F.col("facts")[k]).alias(f"f{k}") for k in range(width)]).first()
@@ -576,25 +664,31 @@ def previous(slots: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class Reader:
     """A model's arrays mapped into a worker's memory.
 
-    Words in use have slots: places in this worker's arrays of what the model knows of single words.  Slot
-    0 begins a text, slot 1 is for all unknown words.
+    The distinct words of a group of texts have slots: places in arrays of what the model knows of single
+    words.  Slot 0 begins a text.
     """
 
-    def __init__(self, layout: Layout, keep: int = 250_000, most_maps: int = 4096):
-        self.layout, self.keep, self.most_maps = layout, keep, most_maps
+    def __init__(self, layout: Layout, most_maps: int = 4096):
+        self.layout, self.most_maps = layout, most_maps
         self.files: dict[tuple[str, int], object] = {}
-        self.known: dict[bytes, int] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known.clear()
-        self.ids, self.counts = np.zeros(0, np.uint64), np.zeros((0, self.layout.classes), np.int64)
-        self.contexts = np.zeros((0, (5 if self.layout.rare_below else 4) * self.layout.classes), np.int64)
-        self.afters = np.zeros((0, self.layout.lowers), np.int64)
-        self._take(np.array([self.layout.begin, UNKNOWN], np.uint64))
-        if self.layout.totals:  # as many texts begin as end
-            end = self.find(np.array([word_hash(END_TOKEN)], np.uint64))
-            self.splits[0] = self.splits_of(end)[0]
+        begin = np.array([layout.begin], np.uint64)
+        self.context_width = (5 if layout.rare_below else 4) * layout.classes
+        self.begin_context = self.of_words("context", begin, self.context_width) if layout.ready else None
+        self.begin_splits = self._splits(self.of_words("words", self.find(np.array([END])), layout.classes))  # as many texts begin as end
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Slots of tokens, given by their hashes; what the model knows of them is in this reader until the next call."""
+        layout = self.layout
+        distinct, slots = np.unique(hashes, return_inverse=True)
+        ids = self.find(distinct)
+        zero = np.zeros((1, layout.classes), np.int64)
+        self.counts = np.concatenate([zero, self.of_words("words", ids, layout.classes)])
+        self.splits = np.concatenate([self.begin_splits, self._splits(self.counts[1:])])
+        if layout.ready:
+            self.contexts = np.concatenate([self.begin_context, self.of_words("context", ids, self.context_width)])
+            self.afters = np.concatenate([np.zeros((1, layout.lowers), np.int64), self.of_words("after", ids, layout.lowers)])
+        self.ids = np.concatenate([np.array([layout.begin], np.uint64), ids])
+        return slots.ravel() + 1
 
     def open(self, kind: str, shard: int):
         """A file of the model, or None where the shard has none; few are kept open."""
@@ -611,82 +705,45 @@ class Reader:
         return found
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of word hashes."""
+        """Ids of sorted word hashes."""
         out = np.full(len(hashes), UNKNOWN)
-        order = np.argsort(hashes)
-        hashes = hashes[order]
-        shards = hash_shard(hashes, self.layout.shards).astype(np.int64)
-        for s, a, b in runs(shards):
+        for s, a, b in runs(hash_shard(hashes, self.layout.shards).astype(np.int64)):
             words = self.open("words", s)
             if words is not None:
                 at = np.minimum(np.searchsorted(words.keys, hashes[a:b]), len(words.keys) - 1)
-                out[order[a:b]] = np.where(words.keys[at] == hashes[a:b], np.uint64(s << 32) | at.astype(np.uint64), UNKNOWN)
+                out[a:b] = np.where(words.keys[at] == hashes[a:b], np.uint64(s << 32) | at.astype(np.uint64), UNKNOWN)
         return out
 
     def of_words(self, kind: str, ids: np.ndarray, width: int) -> np.ndarray:
-        """Rows of a dense array of words (words: their counts; context, after: sums); zeros where there is none."""
+        """Rows of an array by id (words: their counts; context, after: sums); zeros where there is none."""
         out = np.zeros((len(ids), width), np.int64)
-        order = np.argsort(ids)
-        home, place = (ids[order] >> np.uint64(32)).astype(np.int64), (ids[order] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        known = np.flatnonzero(ids != UNKNOWN)
+        if (ids[known][1:] < ids[known][:-1]).any():
+            known = known[np.argsort(ids[known])]
+        home, place = (ids[known] >> np.uint64(32)).astype(np.int64), (ids[known] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         for s, a, b in runs(home):
-            counts = self.open(kind, s) if s <= self.layout.shards else None
+            counts = self.open(kind, s)
             if counts is not None:
                 counts = counts.counts if kind == "words" else counts
                 here = np.flatnonzero(place[a:b] < counts.n)
-                out[order[a:b][here]] = counts.rows(place[a:b][here])
+                out[known[a:b][here]] = counts.rows(place[a:b][here])
         return out
 
     def splits_of(self, ids: np.ndarray) -> np.ndarray:
         """Into how many parts pairs of each word are dealt."""
-        return self._splits(self.of_words("words", ids, self.layout.classes), ids)
+        found = self._splits(self.of_words("words", ids, self.layout.classes))
+        found[ids == np.uint64(self.layout.begin)] = self.begin_splits[0]
+        return found
 
-    def _splits(self, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        layout = self.layout
-        share = HOT * sum(layout.totals) / layout.shards
-        found = np.ceil(counts.sum(1) / max(share, 1)).astype(np.int64)
-        begin = ids == np.uint64(layout.begin)
-        if begin.any() and len(self.ids) > 1 and hasattr(self, "splits"):
-            found[begin] = self.splits[0]
-        return np.clip(found, 1, layout.shards)
-
-    def _take(self, ids: np.ndarray) -> None:
-        layout = self.layout
-        counts = self.of_words("words", ids, layout.classes)
-        self.counts = np.concatenate([self.counts, counts])
-        splits = self._splits(counts, ids)
-        self.splits = np.concatenate([self.splits, splits]) if len(self.ids) else splits
-        self.ids = np.concatenate([self.ids, ids])
-        if layout.ready:
-            self.contexts = np.concatenate([self.contexts, self.of_words("context", ids, self.contexts.shape[1])])
-            self.afters = np.concatenate([self.afters, self.of_words("after", ids, layout.lowers)])
-
-    def slots(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of the texts' words, each text closed by its end token, and the positions of the ends."""
-        if len(self.ids) > self.keep:
-            self._reset()
-        flat: list[bytes] = []
-        ends = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            flat += w
-            flat.append(END_TOKEN)
-            ends[i] = len(flat) - 1
-        found = list(map(self.known.get, flat))
-        if None in found:
-            new = list({w for w, f in zip(flat, found, strict=True) if f is None})
-            ids = self.find(np.fromiter(map(word_hash, new), np.uint64, len(new)))
-            there = ids != UNKNOWN
-            slot = np.where(there, len(self.ids) - 1 + np.cumsum(there), 1).tolist()
-            self._take(ids[there])
-            fresh = dict(zip(new, slot, strict=True))
-            found = [fresh[w] if f is None else f for w, f in zip(flat, found, strict=True)]
-            self.known.update((w, s) for w, s in fresh.items() if len(w) < 64)
-        return np.array(found, np.int64), ends
+    def _splits(self, counts: np.ndarray) -> np.ndarray:
+        share = HOT * sum(self.layout.totals) / self.layout.shards
+        return np.clip(np.ceil(counts.sum(1) / max(share, 1)).astype(np.int64), 1, self.layout.shards)
 
     def look_up(self, kind: str, shards: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
         """Counts (rows x width) of n-grams, zeros where they aren't stored."""
         out = np.zeros((len(keys), width), np.int64)
-        order = np.argsort(shards << np.uint64(40) | (keys & LOW40))
-        where, sought = shards[order].astype(np.int64), keys[order] & LOW40
+        order = np.argsort(shards << np.uint64(40) | keys >> KEPT)
+        where, sought = shards[order].astype(np.int64), keys[order] >> KEPT
         for s, a, b in runs(where):
             arrays = self.open(kind, s)
             if arrays is not None:
@@ -720,8 +777,7 @@ class Reader:
         before = previous(slots, ends)
         v, w = self.ids[before], self.ids[slots]
         keys = key_of(v, w)
-        # an unknown word stands in no pair
-        at = np.flatnonzero((before != 1) & (slots != 1))
+        at = np.flatnonzero((v != UNKNOWN) & (w != UNKNOWN))  # an unknown word stands in no pair
         counts = np.zeros((len(slots), layout.classes), np.int64)
         counts[at] = self.look_up("pairs", dealt(v[at], w[at], self.splits[before[at]], layout.shards), keys[at], layout.classes)
         counts = np.where(counts.sum(1, keepdims=True) >= layout.rare_below, counts, 0)
@@ -747,12 +803,12 @@ class Reader:
             v = previous(slots, ends)
             u = previous(v, ends)
             context = key_of(self.ids[u], self.ids[v])
-            known = np.flatnonzero((u != 1) & (v != 1))
+            known = np.flatnonzero((self.ids[u] != UNKNOWN) & (self.ids[v] != UNKNOWN))
             shard = np.zeros(len(slots), np.uint64)
             shard[known] = dealt(self.ids[v[known]], self.ids[u[known]], self.splits[v[known]], layout.shards)
             stats = np.zeros((len(slots), 4), np.int64)
             stats[known] = self.look_up("contexts", shard[known], context[known], 4)
-            known = known[(slots[known] != 1) & (stats[known, 0] > 0)]
+            known = known[(self.ids[slots[known]] != UNKNOWN) & (stats[known, 0] > 0)]
             keys = key_of(self.ids[u[known]], self.ids[v[known]], self.ids[slots[known]])
             n = np.zeros(len(slots), np.int64)
             n[known] = self.look_up("triples", shard[known], keys, 1)[:, 0]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, fold
-from .kneser_ney import Layout, reader, text_batches, train
+from .kneser_ney import Layout, hashed, reader, train
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: The added count of the base score.
@@ -37,8 +37,8 @@ def score(docs: DataFrame, model: Layout) -> DataFrame:
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = reader(model)
         total, size = model.totals[0], model.size
-        for others, words in text_batches(stream):
-            slots, ends = m.slots(words)
+        for others, hashes, ends in hashed(stream):
+            slots = m.slots(hashes)
             counts = m.counts[:, 0]
             base = np.log10((counts + ADDED) / (total + ADDED * (size + 1)))[slots]
             first = np.concatenate(([0], ends[:-1] + 1))

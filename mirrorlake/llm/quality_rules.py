@@ -98,7 +98,8 @@ def measure(docs: DataFrame, model: kneser_ney.Layout) -> DataFrame:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             counts = [base_counts(t, t.encode()) for t in texts]
             failed = [n < LEAST_WORDS or 100 * r > MOST_REPEATED * n for n, _, _, _, r in counts]
-            slots, ends = m.slots(list(map(kneser_ney.words_of, texts)))
+            hashes, ends = kneser_ney.token_hashes([kneser_ney.lowered(t.encode()) for t in texts])
+            slots = m.slots(hashes)
             first = np.concatenate(([0], ends[:-1] + 1))
             size = ends - first + 1
             sums = np.add.reduceat(m.log_probabilities(slots, ends, own=True), first)

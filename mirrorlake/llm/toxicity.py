@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, filter_texts, fold
-from .kneser_ney import Layout, letters_of, reader, text_batches, train
+from .kneser_ney import Layout, hashed, letters, reader, token_hashes, train
 from .labelled import labelled, sample
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -42,11 +42,11 @@ class Model:
     layout: Layout
     curve: tuple[np.ndarray, np.ndarray, np.ndarray] | None  # centre, scale, weights (the constant last)
 
-    def scores(self, words: list[list[bytes]]) -> np.ndarray:
+    def scores(self, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if self.curve is None:
-            return np.zeros(len(words))
+            return np.zeros(len(ends))
         centre, scale, w = self.curve
-        return 1 / (1 + np.exp(-np.clip((_features_of(self.layout, words) - centre) / scale @ w[:-1] + w[-1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((_features_of(self.layout, hashes, ends) - centre) / scale @ w[:-1] + w[-1], -30, 30)))
 
 
 def features(evidence: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -65,9 +65,9 @@ def features(evidence: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _features_of(layout: Layout, words: list[list[bytes]]) -> np.ndarray:
+def _features_of(layout: Layout, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     m = reader(layout)
-    slots, ends = m.slots(words)
+    slots = m.slots(hashes)
     single = m.class_words(m.lower())
     logs, pairs = np.log10(single)[slots], np.log10(m.pair_probabilities(slots, ends, single))
     return np.concatenate([features(x[:, 1] - x[:, 0], ends) for x in (logs, pairs)], axis=1)
@@ -91,14 +91,14 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
 def fit(training: DataFrame) -> Model:
     """``training``: doc_id, text, label (0 or 1)."""
     part = (F.floor(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) / 7) % PART) == 0
-    layout = train(training.where(~part).select("text", F.col("label").alias("class")), "toxicity-model", classes=2, rare_below=RARE, split=letters_of, once=True)
+    layout = train(training.where(~part).select("text", F.col("label").alias("class")), "toxicity-model", classes=2, rare_below=RARE, clean=letters, once=True)
     if not all(layout.totals):
         return Model(layout, None)
     schema = pa.schema([("label", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for others, words in text_batches(stream, letters_of):
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in others], pa.int32()), pa.array(_features_of(layout, words).tolist(), schema.field("x").type)], schema=schema)
+        for others, hashes, ends in hashed(stream, letters):
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in others], pa.int32()), pa.array(_features_of(layout, hashes, ends).tolist(), schema.field("x").type)], schema=schema)
 
     rows = sample(training.where(part), SAMPLE, SAMPLE_BYTES).select("text", "label").mapInArrow(work, "label int, x array<double>").collect()
     y = np.array([r.label for r in rows], float)
@@ -113,9 +113,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for others, words in text_batches(stream, letters_of):
+        for others, hashes, ends in hashed(stream, letters):
             doc, held = zip(*others, strict=True)
-            s = model.scores(words)
+            s = model.scores(hashes, ends)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(held, pa.bool_()), pa.array(s), pa.array((s >= threshold).astype(np.int32))], schema=schema)
 
     return docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long"), "held_out").mapInArrow(work, SCHEMA)
@@ -123,7 +123,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Whole rows of ``docs`` whose texts score less than ``threshold``."""
-    return filter_texts(docs, lambda texts: model.scores(list(map(letters_of, texts))) < threshold)
+    return filter_texts(docs, lambda texts: model.scores(*token_hashes([letters(t.encode()) for t in texts])) < threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1) -> DataFrame:

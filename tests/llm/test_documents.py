@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mirrorlake.llm import kneser_ney, license_scan, ogg_audio, quality_model, quality_rules, queries, toxicity
 from mirrorlake.llm.labelled import labelled, sample
 
+END = b" end"  # no word
 RNG = random.Random(8)
 WORDS = ["".join(RNG.choice("aeioutnrslhd") for _ in range(RNG.randint(2, 8))) for _ in range(400)]
 
@@ -85,7 +86,7 @@ def test_base_counts():
 
 def plain_bands(rows, parts):
     """(doc_id, kept) by dictionaries: texts scored by the other part's pair model, bands of the distinct sound texts."""
-    tokens = lambda t: kneser_ney.words_of(t) + [kneser_ney.END_TOKEN]
+    tokens = lambda t: kneser_ney.words_of(t) + [END]
     size = len({w for _, t, _ in rows for w in tokens(t)})
 
     def model(texts):
@@ -241,8 +242,8 @@ def test_class_probabilities_equal_the_plain_version(spark):
     """Words a text once over the shared backoff, pairs over the words, rare expressions left to the backoff."""
     rng = random.Random(2)
     rows = [(prose(rng.randint(1, 40)) + (" vexgrub snarlwit" * rng.randint(1, 3) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(60)]
-    layout = kneser_ney.train(spark.createDataFrame(rows, "text string, class int").repartition(3), "plain-toxicity", classes=2, rare_below=toxicity.RARE, split=kneser_ney.letters_of, once=True)
-    texts = [[*kneser_ney.letters_of(t), kneser_ney.END_TOKEN] for t, _ in rows]
+    layout = kneser_ney.train(spark.createDataFrame(rows, "text string, class int").repartition(3), "plain-toxicity", classes=2, rare_below=toxicity.RARE, clean=kneser_ney.letters, once=True)
+    texts = [[*kneser_ney.letters(t.encode()).split(), END] for t, _ in rows]
     words = [Counter(w for t, (_, y) in zip(texts, rows) if y == c for w in set(t)) for c in (0, 1)]
     pairs = [Counter(g for t, (_, y) in zip(texts, rows) if y == c for g in zip([None, *t], t)) for c in (0, 1)]
     rare = lambda table, x: table[0][x] + table[1][x] < toxicity.RARE
@@ -268,9 +269,10 @@ def test_class_probabilities_equal_the_plain_version(spark):
 
     model = kneser_ney.Reader(layout)
     some = [texts[0][:-1], ["never".encode(), *texts[4][:3]]]
-    slots, ends = model.slots(some)
+    hashes, ends = kneser_ney.token_hashes([b" ".join(t) for t in some])
+    slots = model.slots(hashes)
     got = model.pair_probabilities(slots, ends, model.class_words(model.lower()))
-    closed = [[*t, kneser_ney.END_TOKEN] for t in some]
+    closed = [[*t, END] for t in some]
     want = [[pair(v, w, c) for c in (0, 1)] for t in closed for v, w in zip([None, *t], t)]
     assert got == pytest.approx(np.array(want), rel=1e-9)
 

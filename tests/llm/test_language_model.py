@@ -10,6 +10,7 @@ import pytest
 from mirrorlake.llm import kneser_ney, lm_score
 from mirrorlake.llm.common import fold
 
+END = b" end"  # no word
 random.seed(3)
 WORDS = [f"w{i}" for i in range(40)]
 TEXTS = [" ".join(random.choices(WORDS, weights=[1 / (i + 1) for i in range(40)], k=random.randint(0, 60))) for _ in range(60)]
@@ -22,7 +23,7 @@ def tokens(text):
 
 def plain(train, tests, order=3):
     """Interpolated modified Kneser-Ney by dictionaries; a text has order - 1 begin marks (None)."""
-    words = [kneser_ney.words_of(t) + [kneser_ney.END_TOKEN] for t in train]
+    words = [kneser_ney.words_of(t) + [END] for t in train]
     unigrams = Counter(w for t in words for w in t)
     total, size = sum(unigrams.values()), len(unigrams)
     grams = lambda t: zip(*([None] * (order - 1 - k) + t for k in range(order)))
@@ -52,7 +53,7 @@ def plain(train, tests, order=3):
 
     out = []
     for t in tests:
-        ws = kneser_ney.words_of(t) + [kneser_ney.END_TOKEN]
+        ws = kneser_ney.words_of(t) + [END]
         base = sum(math.log10((unigrams[w] + 0.1) / (total + 0.1 * (size + 1))) for w in ws)
         out.append((len(ws), sum(w in unigrams for w in ws), total, base, sum(math.log10(p(g)) for g in grams(ws))))
     return out
@@ -79,7 +80,8 @@ def test_pairs_equal_the_plain_version(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "RUN", 40)  # blocks are sent on early
     layout = lm_score.fit(spark.createDataFrame([(t,) for t in TEXTS], "text string"), "pairs-test", 2)
     model = kneser_ney.Reader(layout)
-    slots, ends = model.slots([kneser_ney.words_of(t) for t in TEXTS])
+    hashes, ends = kneser_ney.token_hashes([(t or "").encode().lower() for t in TEXTS])
+    slots = model.slots(hashes)
     logs = model.log_probabilities(slots, ends)[:, 0]
     for t, a, b in zip(plain(TEXTS, TEXTS, 2), [0, *(ends[:-1] + 1)], ends, strict=True):
         assert logs[a : b + 1].sum() == pytest.approx(t[4], rel=1e-9)
@@ -91,6 +93,20 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (1, 2), (1, 2), (1, 3), (2, 1)]
 
 
+def test_word_hashes():
+    rng = random.Random(4)
+    blanks = " \t\n\x0b\x0c\r"
+    texts = ["".join(rng.choice("abé\x00ÿ" + blanks) for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["", " ", "ab" * 100, "one"]
+    for piece in (1 << 20, 16):
+        kneser_ney.PIECE, kept = piece, kneser_ney.PIECE
+        hashes, ends = kneser_ney.token_hashes([t.encode() for t in texts])
+        kneser_ney.PIECE = kept
+        words = [w for t in texts for w in [*t.encode().split(), None]]
+        assert len(hashes) == len(words) and [k for k, w in enumerate(words) if w is None] == ends.tolist()
+        number = dict(zip(words, hashes.tolist()))
+        assert [number[w] for w in words] == hashes.tolist() and len(set(number.values())) == len(number)
+
+
 def test_counts_beyond_a_byte():
     rows = kneser_ney.np.array([[1, 300], [255, 0], [254, 1 << 40]])
     held = kneser_ney.Counts(kneser_ney.np.frombuffer(kneser_ney.counts_bytes(rows), kneser_ney.np.uint8))
@@ -101,12 +117,12 @@ def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(t,) for t in TEXTS], "text string")
     layout = lm_score.fit(docs, "sum-test")
     model = kneser_ney.Reader(layout)
-    vocab = sorted({w for t in TEXTS for w in kneser_ney.words_of(t)} | {kneser_ney.END_TOKEN, b"never seen"})
+    vocab = sorted({w for t in TEXTS for w in kneser_ney.words_of(t)} | {b"never-seen"})
     for left in ([vocab[0]], [vocab[5], vocab[7]], [b"w0", b"w1"]):
-        slots, ends = model.slots([[*left, w] for w in vocab])
-        logs = model.log_probabilities(slots, ends)[:, 0]
+        hashes, ends = kneser_ney.token_hashes([b" ".join([*left, w]) for w in vocab] + [b" ".join(left)])
+        logs = model.log_probabilities(model.slots(hashes), ends)[:, 0]
         each = len(left) + 2
-        assert sum(10 ** logs[each * i + len(left)] for i in range(len(vocab))) == pytest.approx(1, abs=1e-9)
+        assert sum(10 ** logs[each * i + len(left)] for i in range(len(vocab) + 1)) == pytest.approx(1, abs=1e-9)
 
 
 def test_empty_tables(spark):
