@@ -34,6 +34,20 @@ class Spark:
         pattern = TOKEN.replace("\\", "\\\\")
         return f"(SELECT {keys}, CAST(pos AS BIGINT) AS pos, tok FROM {table} LATERAL VIEW posexplode(regexp_extract_all({text}, '{pattern}', 0)) x AS pos, tok)"
 
+    def array(self, items: list[str]) -> str:
+        return f"array({', '.join(items)})"
+
+    def unnested(self, table: str, keys: str, array: str, place: str, value: str) -> str:
+        """Elements of an array with their places from 1 on."""
+        return f"(SELECT {keys}, CAST({place} + 1 AS BIGINT) AS {place}, {value} FROM {table} LATERAL VIEW posexplode({array}) x AS {place}, {value})"
+
+    def least_pair(self, x: str, y: str, over: str) -> str:
+        """The least pair of a window as a struct of x and y."""
+        return f"min(struct({x} AS x, {y} AS y)) OVER {over}"
+
+    def head_lines(self, x: str, n: int) -> str:
+        return f"substring_index({x}, '\\n', {n})"
+
     def series(self, lo: str, hi: str, name: str) -> str:
         return f"(SELECT CAST({name} AS BIGINT) AS {name} FROM (SELECT explode(sequence({lo}, {hi})) AS {name}))"
 
@@ -109,6 +123,18 @@ class Duck:
     def tokens(self, table: str, keys: str, text: str) -> str:
         return f"(SELECT {keys}, CAST(pos - 1 AS BIGINT) AS pos, parts[pos] AS tok FROM (SELECT {keys}, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT {keys}, regexp_extract_all({text}, '{TOKEN}') AS parts FROM {table})))"
 
+    def array(self, items: list[str]) -> str:
+        return f"[{', '.join(items)}]"
+
+    def unnested(self, table: str, keys: str, array: str, place: str, value: str) -> str:
+        return f"(SELECT {keys}, CAST({place} AS BIGINT) AS {place}, held[{place}] AS {value} FROM (SELECT {keys}, held, unnest(range(1, len(held) + 1)) AS {place} FROM (SELECT {keys}, {array} AS held FROM {table})))"
+
+    def least_pair(self, x: str, y: str, over: str) -> str:
+        return f"min(struct_pack(x := {x}, y := {y})) OVER {over}"
+
+    def head_lines(self, x: str, n: int) -> str:
+        return f"array_to_string(string_split({x}, chr(10))[1:{n}], chr(10))"
+
     def series(self, lo: str, hi: str, name: str) -> str:
         return f"(SELECT CAST({name} AS BIGINT) AS {name} FROM (SELECT unnest(range({lo}, {hi} + 1)) AS {name}))"
 

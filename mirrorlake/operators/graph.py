@@ -21,10 +21,15 @@ def _sweep() -> None:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written to the shared folder (spark.checkpoint.dir) and read back; a folder is made only where none is set."""
+    """Cut the lineage: the rows are written to the shared folder (spark.checkpoint.dir) and read back.
+
+    Where none is set a local session makes its own folder; on a cluster there is none that all share, and this raises.
+    """
     spark = frame.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _MADE:
             _MADE.append(tempfile.mkdtemp(prefix="mirrorlake-"))
         root = _MADE[0]
@@ -34,7 +39,10 @@ def cut(frame: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node): every node that a root reaches, itself included.  ``edges``: src, dst; ``roots``: root.  Cycles end, since only new rows go on."""
+    """(root, node): every node that a root reaches, itself included.  ``edges``: src, dst; ``roots``: root.
+
+    Each round writes its new rows only; cycles end, since only new rows go on.
+    """
     edges = cut(edges.select("src", "dst").distinct())
     seen = front = cut(roots.select("root", F.col("root").alias("node")).distinct())
     while True:
@@ -42,22 +50,35 @@ def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
         front = cut(step.join(seen, ["root", "node"], "left_anti"))
         if front.isEmpty():
             return seen
-        seen = cut(seen.unionAll(front))
+        seen = seen.unionAll(front)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable over undirected ``edges`` (a, b).  Labels hook to lesser labels, then skip along them."""
-    both = cut(edges.select("a", "b").unionAll(edges.select("b", "a")).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component"))
-    while True:
-        labels = cut(labels)
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
-        lower = labels.join(near, "node").select("node", "component", F.least("component", "seen").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("component").alias("beyond"))
-        moved = cut(lower.join(jump, "new", "left").select("node", F.col("component").alias("old"), F.least("new", "beyond").alias("component")))
-        labels = moved.select("node", "component")
-        if moved.where("old <> component").isEmpty():
-            return labels
+    """(node, component): the least node reachable over undirected ``edges`` (a, b).
+
+    Every node hooks to its least neighbour if that is lesser, hooks are followed to their ends by doubling, and the edges
+    are contracted: a round leaves local minima only, at most half of the nodes that still have an edge.
+    """
+    every = cut(edges.select("a", "b").distinct())
+    left = cut(every.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rounds = []
+    while not left.isEmpty():
+        hooks = cut(left.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("y")))
+        while True:
+            beyond = hooks.select(F.col("x").alias("y"), F.col("y").alias("z"))
+            twice = cut(hooks.join(beyond, "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")))
+            hooks = twice.select("x", "y")
+            if twice.where("moved").isEmpty():
+                break
+        rounds.append(hooks)
+        ends = left
+        for side in ("a", "b"):
+            ends = ends.join(hooks.select(F.col("x").alias(side), F.col("y").alias(f"to_{side}")), side, "left").withColumn(side, F.coalesce(f"to_{side}", side)).drop(f"to_{side}")
+        left = cut(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = every.select(F.col("a").alias("node")).union(every.select("b")).distinct().withColumn("component", F.col("node"))
+    for hooks in rounds:
+        labels = labels.join(hooks.withColumnRenamed("x", "component"), "component", "left").select("node", F.coalesce("y", "component").alias("component"))
+    return cut(labels)
 
 
 def colours(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
@@ -120,6 +141,16 @@ def dominators(edges: DataFrame, root: int) -> DataFrame:
 
 
 def retained(tree: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(node, retained): bytes of a node and of all that it dominates.  ``tree``: node, dominator; ``sizes``: node, bytes."""
-    below = reach(tree.select(F.col("dominator").alias("src"), F.col("node").alias("dst")), sizes.select(F.col("node").alias("root")))
-    return below.join(sizes, "node").groupBy(F.col("root").alias("node")).agg(F.sum("bytes").cast("long").alias("retained"))
+    """(node, retained): bytes of a node and of all that it dominates.  ``tree``: node, dominator; ``sizes``: node, bytes.
+
+    By doubling: sums over what lies less than k steps below a node, and ancestors k steps above, give those for 2k.
+    Rounds are the logarithm of the tree's depth, and a round's rows are its nodes.
+    """
+    above = cut(tree.select("node", F.col("dominator").alias("up")).where("node <> up"))
+    nodes = above.select("node").union(above.select("up")).distinct()
+    sums = cut(nodes.join(sizes, "node", "full_outer").select("node", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes")))
+    while not above.isEmpty():
+        below = above.join(sums, "node").groupBy(F.col("up").alias("node")).agg(F.sum("bytes").alias("more"))
+        sums = cut(sums.join(below, "node", "left").select("node", (F.col("bytes") + F.coalesce("more", F.lit(0))).alias("bytes")))
+        above = cut(above.join(above.select(F.col("node").alias("up"), F.col("up").alias("upper")), "up").select("node", F.col("upper").alias("up")))
+    return sums.join(sizes.select("node"), "node", "left_semi").select("node", F.col("bytes").alias("retained"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.relations import exact_members, fingerprints, kgrams, postings, tokens, unit_groups, unit_tokens, units
-from .fingerprinting import CAP, LIST_CAP, LSH
+from .fingerprinting import CAP, LIST_CAP, LSH, minhashes
 from .sql import sql
 
 
@@ -16,12 +16,12 @@ JOIN (SELECT DISTINCT f.doc_id, f.h FROM fingerprints f JOIN postings p ON f.h =
 SEEDS = (tokens, kgrams, fingerprints, postings, seed_pairs)
 
 
-@sql("kgram_seed_pairs", *SEEDS)
+@sql("kgram_seed_pairs", *SEEDS, written=(fingerprints,))
 def kgram_seed_pairs(d) -> str:
     return "SELECT a, b, shared FROM seed_pairs"
 
 
-@sql("kgram_document_pairs", *SEEDS)
+@sql("kgram_document_pairs", *SEEDS, written=(fingerprints,))
 def kgram_document_pairs(d) -> str:
     return """SELECT p.a, p.b, p.shared, round(p.shared * 1e0 / least(x.n, y.n), 6) AS score FROM seed_pairs p
 JOIN (SELECT doc_id, count(DISTINCT h) AS n FROM fingerprints GROUP BY doc_id) x ON p.a = x.doc_id JOIN (SELECT doc_id, count(DISTINCT h) AS n FROM fingerprints GROUP BY doc_id) y ON p.b = y.doc_id
@@ -39,7 +39,7 @@ def fragments(d) -> str:
 FRAGMENTS = (units, unit_tokens, fragments)
 
 
-@sql("renamed_fragment_pairs", *FRAGMENTS)
+@sql("renamed_fragment_pairs", *FRAGMENTS, written=(fragments,))
 def renamed_fragment_pairs(d) -> str:
     return f"""SELECT a.unit_id AS a, b.unit_id AS b, a.raw = b.raw AS exact FROM fragments a JOIN (SELECT digest FROM fragments GROUP BY digest HAVING count(*) BETWEEN 2 AND {CAP}) k ON a.digest = k.digest
 JOIN fragments b ON a.digest = b.digest AND a.unit_id < b.unit_id"""
@@ -84,10 +84,10 @@ def fold_window_matches(d) -> str:
 @sql("maximal_equal_runs", units)
 def maximal_equal_runs(d) -> str:
     # equal lines of two files on a diagonal, gaps and islands by position less row number
-    return """SELECT a, b, CAST(shift AS BIGINT) AS shift, CAST(min(pa) AS BIGINT) AS first_a, CAST(count(*) AS BIGINT) AS run_length FROM (
+    return f"""SELECT a, b, CAST(shift AS BIGINT) AS shift, CAST(min(pa) AS BIGINT) AS first_a, CAST(count(*) AS BIGINT) AS run_length FROM (
   SELECT a, b, shift, pa, pa - row_number() OVER (PARTITION BY a, b, shift ORDER BY pa) AS island FROM (
     SELECT x.file_id AS a, y.file_id AS b, x.k AS pa, y.k - x.k AS shift FROM (SELECT file_id, md5(line) AS h, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS k, count(*) OVER (PARTITION BY md5(line)) AS held FROM units) x
-    JOIN (SELECT file_id, md5(line) AS h, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS k FROM units) y ON x.h = y.h AND x.file_id < y.file_id WHERE x.held <= 64) p) q GROUP BY a, b, shift, island HAVING count(*) >= 2"""
+    JOIN (SELECT file_id, md5(line) AS h, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS k FROM units) y ON x.h = y.h AND x.file_id < y.file_id WHERE x.held <= {LIST_CAP}) p) q GROUP BY a, b, shift, island HAVING count(*) >= 2"""
 
 
 COVERED = """SELECT * FROM islands i WHERE NOT EXISTS (SELECT 1 FROM islands o WHERE o.a = i.a AND o.b = i.b AND o.start_a <= i.start_a AND o.end_a >= i.end_a AND o.start_b <= i.start_b AND o.end_b >= i.end_b
@@ -113,7 +113,7 @@ def skeleton_pairs(d) -> str:
 SELECT a.unit_id AS a, b.unit_id AS b FROM s a JOIN (SELECT h FROM s GROUP BY h HAVING count(*) BETWEEN 2 AND {LIST_CAP}) k ON a.h = k.h JOIN s b ON a.h = b.h AND a.unit_id < b.unit_id AND greatest(a.n, b.n) <= 3 * least(a.n, b.n)"""
 
 
-@sql("lift_pairs", *LSH, *SEEDS[1:], units, windows, window_pairs)
+@sql("lift_pairs", *LSH, *SEEDS[1:], units, windows, window_pairs, written=(minhashes, fingerprints))
 def lift_pairs(d) -> str:
     # distinct pairs of three sources; each counted once, by the first gate that drops it
     return """SELECT reason, count(*) AS pairs FROM (SELECT p.a, p.b, CASE WHEN x.source = y.source THEN 'nested' WHEN x.lang <> y.lang THEN 'alternatives' WHEN greatest(x.n_chars, y.n_chars) > 3 * least(x.n_chars, y.n_chars) THEN 'divergent' ELSE 'kept' END AS reason
@@ -188,7 +188,7 @@ def ungrouped_units(d) -> str:
     return "SELECT lang, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM exact_members m WHERE m.doc_id = d.doc_id) GROUP BY lang"
 
 
-@sql("split_pairs", exact_members, *LSH)
+@sql("split_pairs", exact_members, *LSH, written=(minhashes,))
 def split_pairs(d) -> str:
     # near pairs whose ends share no group, folded by their contents
     return """SELECT least(x.h, y.h) AS h1, greatest(x.h, y.h) AS h2, count(*) AS pairs, round(min(p.estimate), 6) AS weakest FROM lsh_pairs p JOIN (SELECT doc_id, md5(text) AS h FROM documents) x ON p.a = x.doc_id

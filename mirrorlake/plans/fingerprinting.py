@@ -31,8 +31,9 @@ def pairs_available(d) -> str:
 @sql("rarest_first_budget", tokens, kgrams, fingerprints, postings)
 def rarest_first_budget(d) -> str:
     # lists by length and key: admitted while their pairs, added up, fit the budget
-    return f"""SELECT n AS list_length, count_if(upto <= {BUDGET}) AS admitted, count_if(upto > {BUDGET}) AS cut FROM (
-  SELECT n, CAST(sum(CAST(floor(n * (n - 1) / 2) AS BIGINT)) OVER (ORDER BY n, h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto FROM postings WHERE n BETWEEN 2 AND {CAP}) x GROUP BY n"""
+    # lists of one length cost the same, so how many of them still fit follows from what the shorter ones cost (a row a length)
+    return f"""SELECT n AS list_length, admitted, lists - admitted AS cut FROM (SELECT n, lists, CAST(least(lists, greatest(0, floor(({BUDGET} - (upto - lists * pairs)) * 1e0 / pairs))) AS BIGINT) AS admitted FROM (
+  SELECT n, lists, pairs, CAST(sum(lists * pairs) OVER (ORDER BY n) AS BIGINT) AS upto FROM (SELECT n, count(*) AS lists, CAST(floor(n * (n - 1) / 2) AS BIGINT) AS pairs FROM postings WHERE n BETWEEN 2 AND {CAP} GROUP BY n) l) c) x"""
 
 
 @sql("token_hash", tokens)
@@ -84,57 +85,55 @@ SEEDS, BANDS = 128, 64
 LIST_CAP = 256
 
 
-def seeds(d) -> str:
-    return f"SELECT s, (s * 1103515245 + 12345) % 2147483647 AS a, (s * 69069 + 1) % 2147483647 AS b FROM {d.series('1', str(SEEDS), 's')} q"
-
-
 def minhashes(d) -> str:
-    return "SELECT doc_id, s, min((a * (x % 65536) + b + x) % 2147483647) AS v FROM shingles CROSS JOIN seeds GROUP BY doc_id, s"
+    """The least value of each permutation, side by side in one aggregate."""
+    values = [f"min(({(s * 1103515245 + 12345) % 2147483647} * (x % 65536) + {(s * 69069 + 1) % 2147483647} + x) % 2147483647)" for s in range(1, SEEDS + 1)]
+    return f"SELECT doc_id, {d.array(values)} AS sig FROM shingles GROUP BY doc_id"
 
 
-@sql("minhash_signatures", tokens, shingles, seeds, minhashes)
+@sql("minhash_signatures", tokens, shingles, minhashes)
 def minhash_signatures(d) -> str:
-    return "SELECT doc_id, CAST(s AS BIGINT) AS seed, v FROM minhashes"
+    return f"SELECT doc_id, seed, v FROM {d.unnested('minhashes', 'doc_id', 'sig', 'seed', 'v')} u"
 
 
 def bands(d) -> str:
     """Two values a band: the first with the next."""
-    return "SELECT doc_id, CAST(floor((s - 1) / 2) AS BIGINT) AS band, max(CASE WHEN s % 2 = 1 THEN v END) AS v1, max(CASE WHEN s % 2 = 0 THEN v END) AS v2 FROM minhashes GROUP BY doc_id, CAST(floor((s - 1) / 2) AS BIGINT)"
+    pairs = d.array([f"{d.part('sig', 2 * k + 1)} || '-' || {d.part('sig', 2 * k + 2)}" for k in range(BANDS)])
+    return f"SELECT doc_id, band, v FROM {d.unnested('minhashes', 'doc_id', pairs, 'band', 'v')} u"
 
 
 def band_sizes(d) -> str:
-    return "SELECT band, v1, v2, count(*) AS held FROM bands GROUP BY band, v1, v2"
+    return "SELECT band, v, count(*) AS held FROM bands GROUP BY band, v"
 
 
 def lsh_pairs(d) -> str:
     """Distinct pairs that share a band whose list isn't over the cap, with the share of equal values."""
-    return f"""SELECT p.a, p.b, count_if(x.v = y.v) * 1e0 / {SEEDS} AS estimate FROM (
-  SELECT DISTINCT l.doc_id AS a, r.doc_id AS b FROM bands l JOIN band_sizes z ON l.band = z.band AND l.v1 = z.v1 AND l.v2 = z.v2 AND z.held BETWEEN 2 AND {LIST_CAP}
-  JOIN bands r ON l.band = r.band AND l.v1 = r.v1 AND l.v2 = r.v2 AND l.doc_id < r.doc_id) p
-  JOIN minhashes x ON x.doc_id = p.a JOIN minhashes y ON y.doc_id = p.b AND x.s = y.s GROUP BY p.a, p.b"""
+    return f"""SELECT p.a, p.b, {d.equal_places("x.sig", "y.sig")} * 1e0 / {SEEDS} AS estimate FROM (
+  SELECT DISTINCT l.doc_id AS a, r.doc_id AS b FROM bands l JOIN band_sizes z ON l.band = z.band AND l.v = z.v AND z.held BETWEEN 2 AND {LIST_CAP}
+  JOIN bands r ON l.band = r.band AND l.v = r.v AND l.doc_id < r.doc_id) p JOIN minhashes x ON x.doc_id = p.a JOIN minhashes y ON y.doc_id = p.b"""
 
 
-LSH = (tokens, shingles, seeds, minhashes, bands, band_sizes, lsh_pairs)
+LSH = (tokens, shingles, minhashes, bands, band_sizes, lsh_pairs)
 
 
-@sql("minhash_lsh_pairs", *LSH)
+@sql("minhash_lsh_pairs", *LSH, written=(minhashes,))
 def minhash_lsh_pairs(d) -> str:
     return "SELECT a, b, round(estimate, 6) AS estimate FROM lsh_pairs WHERE estimate >= 0.3"
 
 
-@sql("estimated_jaccard", *LSH)
+@sql("estimated_jaccard", *LSH, written=(minhashes,))
 def estimated_jaccard(d) -> str:
     return "SELECT round(estimate, 6) AS estimate, count(*) AS pairs FROM lsh_pairs GROUP BY 1"
 
 
-@sql("near_miss_band", *LSH)
+@sql("near_miss_band", *LSH, written=(minhashes,))
 def near_miss_band(d) -> str:
-    return "SELECT a, b, round(estimate, 6) AS estimate FROM (SELECT *, row_number() OVER (ORDER BY a, b) AS k FROM lsh_pairs WHERE estimate >= 0.2 AND estimate < 0.3) x WHERE k <= 1000"
+    return "SELECT a, b, round(estimate, 6) AS estimate FROM lsh_pairs WHERE estimate >= 0.2 AND estimate < 0.3 ORDER BY a, b LIMIT 1000"
 
 
 @sql("signed_cap", units)
 def signed_cap(d) -> str:
-    return "SELECT unit_id, extent FROM (SELECT unit_id, extent, row_number() OVER (ORDER BY extent DESC, unit_id) AS k FROM units WHERE extent >= 40) x WHERE k <= 100000"
+    return "SELECT unit_id, extent FROM units WHERE extent >= 40 ORDER BY extent DESC, unit_id LIMIT 100000"
 
 
 @sql("group_fingerprint", exact_members)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.relations import exact_members, tokens, unit_groups, units
-from .fingerprinting import LSH
+from .fingerprinting import LSH, minhashes
 from .sql import sql
 
 
@@ -32,7 +32,7 @@ def language_counts(d) -> str:
     return "SELECT lang AS language, count(*) AS files FROM documents GROUP BY lang"
 
 
-@sql("funnel_counts", *LSH)
+@sql("funnel_counts", *LSH, written=(minhashes,))
 def funnel_counts(d) -> str:
     return """SELECT 1 AS stage, 'signed' AS name, count(DISTINCT doc_id) AS passed FROM minhashes UNION ALL SELECT 2, 'candidates', count(*) FROM lsh_pairs
 UNION ALL SELECT 3, 'gate', count(*) FROM lsh_pairs WHERE estimate >= 0.3 UNION ALL SELECT 4, 'strong', count(*) FROM lsh_pairs WHERE estimate >= 0.7"""

@@ -19,8 +19,8 @@ JOIN touched x ON p.a = x.path JOIN touched y ON p.b = y.path WHERE p.support *
 @sql("history_summary", *HISTORY)
 def history_summary(d) -> str:
     # percentiles by nearest rank
-    return """SELECT kind, n, median_size, p90_size FROM (SELECT c.kind, count(*) AS n, max(CASE WHEN r = CAST(ceil(total * 0.5) AS BIGINT) THEN n_paths END) AS median_size, max(CASE WHEN r = CAST(ceil(total * 0.9) AS BIGINT) THEN n_paths END) AS p90_size FROM (
-  SELECT k.kind, s.n_paths, row_number() OVER (PARTITION BY k.kind ORDER BY s.n_paths, k.id) AS r, count(*) OVER (PARTITION BY k.kind) AS total FROM commits k JOIN commit_sizes s ON k.id = s.id) c GROUP BY c.kind) x"""
+    return """SELECT k.kind, count(*) AS n, CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY s.n_paths) AS BIGINT) AS median_size, CAST(percentile_disc(0.9) WITHIN GROUP (ORDER BY s.n_paths) AS BIGINT) AS p90_size
+FROM commits k JOIN commit_sizes s ON k.id = s.id GROUP BY k.kind"""
 
 
 @sql("commit_kind", commits)
@@ -56,17 +56,18 @@ SEAM = (*HISTORY[:2], seam_paths, touches, partial_touch)
 
 def breaches(d) -> str:
     """The first fix within the next 20 commits that touches a member left out; of several members the least."""
+    # the 20 next commits lie in the commit's own bin of 20 and the next: two rows, each joined by seam and bin
     return """SELECT id, seam, seq, CAST(fix_seq AS BIGINT) AS fix_seq, member FROM (SELECT a.id, a.seam, a.seq, f.seq AS fix_seq, f.member, row_number() OVER (PARTITION BY a.id, a.seam ORDER BY f.seq, f.member) AS r
-  FROM partial_touch a JOIN (SELECT *, CAST(floor(seq / 20) AS BIGINT) AS bin FROM touches WHERE kind = 'fix') f ON a.seam = f.seam AND f.bin BETWEEN CAST(floor((a.seq + 1) / 20) AS BIGINT) AND CAST(floor((a.seq + 20) / 20) AS BIGINT)
-  AND f.seq BETWEEN a.seq + 1 AND a.seq + 20 WHERE NOT EXISTS (SELECT 1 FROM touches t WHERE t.id = a.id AND t.seam = a.seam AND t.member = f.member)) x WHERE r = 1"""
+  FROM (SELECT id, seam, seq, CAST(floor(seq / 20) AS BIGINT) AS bin FROM partial_touch UNION ALL SELECT id, seam, seq, CAST(floor(seq / 20) AS BIGINT) + 1 FROM partial_touch) a
+  JOIN (SELECT *, CAST(floor(seq / 20) AS BIGINT) AS bin FROM touches WHERE kind = 'fix') f ON a.seam = f.seam AND a.bin = f.bin AND f.seq BETWEEN a.seq + 1 AND a.seq + 20 WHERE NOT EXISTS (SELECT 1 FROM touches t WHERE t.id = a.id AND t.seam = a.seam AND t.member = f.member)) x WHERE r = 1"""
 
 
-@sql("seam_breaches", *SEAM, breaches)
+@sql("seam_breaches", *SEAM, breaches, written=(touches, partial_touch))
 def seam_breaches(d) -> str:
     return "SELECT id, seam, fix_seq, member FROM breaches"
 
 
-@sql("seam_metrics", *SEAM, breaches)
+@sql("seam_metrics", *SEAM, breaches, written=(touches, partial_touch))
 def seam_metrics(d) -> str:
     return "SELECT a.seam, count(*) AS changes, count(b.id) AS breaches, coalesce(CAST(max(b.seq) AS BIGINT), -1) AS last_breach FROM partial_touch a LEFT JOIN breaches b ON a.id = b.id AND a.seam = b.seam GROUP BY a.seam"
 

@@ -9,19 +9,25 @@ from .sql import sql
 
 @sql("report_order")
 def report_order(d) -> str:
-    return f"SELECT gid, CAST(row_number() OVER (ORDER BY CASE WHEN risk < 0.3 THEN 1 ELSE 0 END, round(priority, 9) DESC NULLS LAST, gid) AS BIGINT) AS place FROM ({PRIORITY}) p"
+    # places within bins of the first keys, after all of the bins before (a row a bin)
+    return f"""WITH p AS (SELECT gid, CASE WHEN risk < 0.3 THEN 1 ELSE 0 END AS low, round(priority, 9) AS worth, coalesce(CAST(floor(round(priority, 9) * 1000) AS BIGINT), -1000000) AS bin FROM ({PRIORITY}) q),
+b AS (SELECT low, bin, sum(count(*)) OVER (ORDER BY low, bin DESC) - count(*) AS before FROM p GROUP BY low, bin)
+SELECT p.gid, CAST(b.before + row_number() OVER (PARTITION BY p.low, p.bin ORDER BY p.worth DESC NULLS LAST, p.gid) AS BIGINT) AS place FROM p JOIN b ON p.low = b.low AND p.bin = b.bin"""
 
 
 @sql("report_order_axes", exact_members)
 def report_order_axes(d) -> str:
-    return """SELECT gid, CAST(row_number() OVER (ORDER BY n DESC, gid) AS BIGINT) AS by_instances, CAST(row_number() OVER (ORDER BY dup DESC, gid) AS BIGINT) AS by_duplicated FROM (
-  SELECT gid, count(*) AS n, sum(n_chars) - max(n_chars) AS dup FROM exact_members GROUP BY gid) g"""
+    # as above: bins by instances and the first digits of the id, and by size on a scale of logarithms
+    return """WITH g AS (SELECT gid, n, dup, substr(gid, 1, 2) AS part, CAST(floor(log2(dup + 1) * 64) AS BIGINT) AS bin FROM (SELECT gid, count(*) AS n, sum(n_chars) - max(n_chars) AS dup FROM exact_members GROUP BY gid) x),
+bn AS (SELECT n, part, sum(count(*)) OVER (ORDER BY n DESC, part) - count(*) AS before FROM g GROUP BY n, part), bd AS (SELECT bin, sum(count(*)) OVER (ORDER BY bin DESC) - count(*) AS before FROM g GROUP BY bin)
+SELECT g.gid, CAST(bn.before + row_number() OVER (PARTITION BY g.n, g.part ORDER BY g.gid) AS BIGINT) AS by_instances, CAST(bd.before + row_number() OVER (PARTITION BY g.bin ORDER BY g.dup DESC, g.gid) AS BIGINT) AS by_duplicated
+FROM g JOIN bn ON g.n = bn.n AND g.part = bn.part JOIN bd ON g.bin = bd.bin"""
 
 
 @sql("top_groups", exact_members)
 def top_groups(d) -> str:
     # ten groups, five occurrences of each
-    return """SELECT gid, doc_id, CAST(rn AS BIGINT) AS occurrence FROM exact_members m WHERE rn <= 5 AND EXISTS (SELECT 1 FROM (SELECT gid, row_number() OVER (ORDER BY max(n_chars) DESC, gid) AS r FROM exact_members GROUP BY gid) t WHERE t.gid = m.gid AND t.r <= 10)"""
+    return """SELECT gid, doc_id, CAST(rn AS BIGINT) AS occurrence FROM exact_members m WHERE rn <= 5 AND EXISTS (SELECT 1 FROM (SELECT gid FROM exact_members GROUP BY gid ORDER BY max(n_chars) DESC, gid LIMIT 10) t WHERE t.gid = m.gid)"""
 
 
 @sql("top_priority")
@@ -31,8 +37,8 @@ def top_priority(d) -> str:
 
 @sql("capped_topk", exact_members)
 def capped_topk(d) -> str:
-    # at most two of a group, then at most 30 in the order of visiting
-    return """SELECT gid, doc_id, CAST(k AS BIGINT) AS k FROM (SELECT gid, doc_id, row_number() OVER (ORDER BY gid, doc_id) AS k FROM exact_members WHERE rn <= 2) x WHERE k <= 30"""
+    # at most two of a group, then at most 1,000 in the order of visiting, which alone are numbered
+    return """SELECT gid, doc_id, CAST(row_number() OVER (ORDER BY gid, doc_id) AS BIGINT) AS k FROM (SELECT gid, doc_id FROM exact_members WHERE rn <= 2 ORDER BY gid, doc_id LIMIT 1000) x"""
 
 
 @sql("min_identifier_view", exact_members)
@@ -48,8 +54,10 @@ def retention_topn(d) -> str:
 @sql("precision_at_k", findings)
 def precision_at_k(d) -> str:
     # ties in score: the pessimistic order puts misses first
-    return """SELECT k, round(avg(CASE WHEN r <= k THEN CAST(hit AS DOUBLE) END), 6) AS p_at_k, round(avg(CASE WHEN w <= k THEN CAST(hit AS DOUBLE) END), 6) AS pessimistic FROM (
-  SELECT hit, row_number() OVER (ORDER BY score DESC, finding) AS r, row_number() OVER (ORDER BY score DESC, hit, finding) AS w FROM findings) x CROSS JOIN (SELECT 10 AS k UNION ALL SELECT 50 UNION ALL SELECT 100) ks GROUP BY k"""
+    return """WITH r AS (SELECT hit, row_number() OVER (ORDER BY score DESC, finding) AS r FROM (SELECT * FROM findings ORDER BY score DESC, finding LIMIT 100) x),
+w AS (SELECT hit, row_number() OVER (ORDER BY score DESC, hit, finding) AS r FROM (SELECT * FROM findings ORDER BY score DESC, hit, finding LIMIT 100) x)
+SELECT r.k, r.p AS p_at_k, w.p AS pessimistic FROM (SELECT k, round(avg(CASE WHEN r <= k THEN CAST(hit AS DOUBLE) END), 6) AS p FROM r CROSS JOIN (SELECT 10 AS k UNION ALL SELECT 50 UNION ALL SELECT 100) ks GROUP BY k) r
+JOIN (SELECT k, round(avg(CASE WHEN r <= k THEN CAST(hit AS DOUBLE) END), 6) AS p FROM w CROSS JOIN (SELECT 10 AS k UNION ALL SELECT 50 UNION ALL SELECT 100) ks GROUP BY k) w ON r.k = w.k"""
 
 
 @sql("mean_average_precision", findings)

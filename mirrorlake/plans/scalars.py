@@ -117,7 +117,7 @@ def owner_key(d) -> str:
 @sql("range_overlap")
 def range_overlap(d) -> str:
     return """SELECT a, b, round(greatest(0, least(ea, eb) - greatest(sa, sb) + 1) * 1e0 / (greatest(ea, eb) - least(sa, sb) + 1), 6) AS line_jaccard, CAST(greatest(0, least(ea, eb) - greatest(sa, sb)) AS BIGINT) AS bytes FROM (
-  SELECT p_partkey AS a, lead(p_partkey) OVER (ORDER BY p_partkey) AS b, p_partkey % 40 AS sa, p_partkey % 40 + p_size AS ea, lead(p_partkey % 40) OVER (ORDER BY p_partkey) AS sb, lead(p_partkey % 40 + p_size) OVER (ORDER BY p_partkey) AS eb FROM part) x WHERE b IS NOT NULL"""
+  SELECT p.p_partkey AS a, q.p_partkey AS b, p.p_partkey % 40 AS sa, p.p_partkey % 40 + p.p_size AS ea, q.p_partkey % 40 AS sb, q.p_partkey % 40 + q.p_size AS eb FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1) x"""
 
 
 @sql("safe_ratio")

@@ -29,7 +29,7 @@ def header_majority_vote(d) -> str:
 
 @sql("generated_filter")
 def generated_filter(d) -> str:
-    return f"""SELECT page_id, {d.matches("lower(substr(html, 1, 400))", "@generated|do not edit|<script")} AS generated, CAST(length(html) AS BIGINT) AS size FROM pages"""
+    return f"""SELECT page_id, {d.matches(f"lower({d.head_lines('html', 10)})", "@generated|do not edit|<script")} AS generated, CAST(length(html) AS BIGINT) AS size FROM pages"""
 
 
 @sql("glob_filter")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import Duck, Spark
+from ..operators.graph import cut
 from ..registry import register
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 Dialect = Spark | Duck
+Relation = Callable[[Dialect], str]
 
 
 def plain_counts(text: str) -> str:
@@ -25,30 +28,44 @@ def plain_counts(text: str) -> str:
     return text
 
 
-def view_tables(spark: SparkSession, sf_dir: str, text: str) -> None:
-    """Name the tables that a text mentions; a later call for another folder doesn't change frames made before."""
-    for table in TABLES:
-        if re.search(rf"\b{table}\b", text):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-
-
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    view_tables(spark, sf_dir, text)
-    return spark.sql(text)
-
-
-def sql(name: str, *relations: Callable[[Dialect], str]) -> Callable[[Callable[[Dialect], str]], Callable[[Dialect], str]]:
+    """A text over the tables of a folder, which stand before it as CTEs: the session's views aren't touched."""
+    tables = ",\n".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", text))
+    if not tables:
+        return spark.sql(text)
+    return spark.sql(f"WITH {tables},\n{text[5:]}" if text.startswith("WITH ") else f"WITH {tables}\n{text}")
+
+
+def composed(bodies: dict[str, str], text: str) -> str:
+    """A text with relations before it as CTEs."""
+    ctes = ",\n".join(f"{name} AS (\n{body}\n)" for name, body in bodies.items())
+    if ctes and text.startswith("WITH "):
+        return plain_counts(f"WITH {ctes},\n{text[5:]}")
+    return plain_counts((f"WITH {ctes}\n" if ctes else "") + text)
+
+
+def frame(spark: SparkSession, sf_dir: str, relations: Sequence[Relation], text: str, written: Sequence[Relation] = ()) -> DataFrame:
+    """A text over relations.  Those of ``written``, which it names more than once, are computed once and read back from the shared folder."""
+    bodies, views = {}, []
+    for relation in relations:
+        name, body = relation.__name__, relation(Spark())
+        if relation in written:
+            views.append(f"mirrorlake_{name}_{uuid.uuid4().hex[:8]}")
+            cut(run(spark, sf_dir, composed(bodies, body))).createOrReplaceTempView(views[-1])
+            body = f"SELECT * FROM {views[-1]}"
+        bodies[name] = body
+    found = run(spark, sf_dir, composed(bodies, text))
+    for view in views:
+        spark.catalog.dropTempView(view)
+    return found
+
+
+def sql(name: str, *relations: Relation, written: Sequence[Relation] = ()) -> Callable[[Relation], Relation]:
     """Register a query whose text is given by a function of the dialect; ``relations`` are put before it as CTEs."""
 
-    def put(text: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
-        def whole(d: Dialect) -> str:
-            ctes = ",\n".join(f"{r.__name__} AS (\n{r(d)}\n)" for r in relations)
-            body = text(d)
-            if ctes and body.startswith("WITH "):
-                return plain_counts(f"WITH {ctes},\n{body[5:]}")
-            return plain_counts((f"WITH {ctes}\n" if ctes else "") + body)
-
-        register(name, whole(Duck()))(lambda spark, sf_dir: run(spark, sf_dir, whole(Spark())))
+    def put(text: Relation) -> Relation:
+        oracle = composed({r.__name__: r(Duck()) for r in relations}, text(Duck()))
+        register(name, oracle)(lambda spark, sf_dir: frame(spark, sf_dir, relations, text(Spark()), written))
         return text
 
     return put

@@ -34,8 +34,9 @@ STORE = (before, after, before_groups, after_groups)
 
 @sql("top_churn", *STORE)
 def top_churn(d) -> str:
-    return """WITH b AS (SELECT gid, row_number() OVER (ORDER BY n DESC, gid) AS r FROM before_groups), a AS (SELECT gid, row_number() OVER (ORDER BY n DESC, gid) AS r FROM after_groups)
-SELECT state, count(*) AS n FROM (SELECT CASE WHEN b.r <= 20 AND a.r <= 20 THEN 'still ranked' WHEN b.r <= 20 AND a.gid IS NOT NULL THEN 'outranked' WHEN b.r <= 20 THEN 'closed' WHEN a.r <= 20 AND b.gid IS NOT NULL THEN 'promoted' WHEN a.r <= 20 THEN 'entered' ELSE 'elsewhere' END AS state
+    return """WITH b AS (SELECT g.gid, t.gid IS NOT NULL AS top FROM before_groups g LEFT JOIN (SELECT gid FROM before_groups ORDER BY n DESC, gid LIMIT 20) t ON g.gid = t.gid),
+a AS (SELECT g.gid, t.gid IS NOT NULL AS top FROM after_groups g LEFT JOIN (SELECT gid FROM after_groups ORDER BY n DESC, gid LIMIT 20) t ON g.gid = t.gid)
+SELECT state, count(*) AS n FROM (SELECT CASE WHEN b.top AND a.top THEN 'still ranked' WHEN b.top AND a.gid IS NOT NULL THEN 'outranked' WHEN b.top THEN 'closed' WHEN a.top AND b.gid IS NOT NULL THEN 'promoted' WHEN a.top THEN 'entered' ELSE 'elsewhere' END AS state
 FROM b FULL OUTER JOIN a ON b.gid = a.gid) x GROUP BY state"""
 
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 #: Tokens of a k-gram and hashes of a winnowing window on the tables' prose.
 K, W = 5, 4
+#: Lines of a file, at most, for which ids of units are distinct.
+MOST_LINES = 1 << 24
 
 
 def files(d) -> str:
@@ -15,7 +17,7 @@ def files(d) -> str:
 
 def units(d) -> str:
     """A unit is a line with something on it; its extent runs in characters of the file."""
-    return f"""SELECT doc_id AS file_id, line_no, doc_id * 100000 + line_no AS unit_id, line, CAST(length(line) AS BIGINT) AS extent
+    return f"""SELECT doc_id AS file_id, line_no, doc_id * {MOST_LINES} + line_no AS unit_id, line, CAST(length(line) AS BIGINT) AS extent
 FROM {d.lines("documents", "doc_id", "text")} u WHERE length(trim(line)) > 0"""
 
 
@@ -37,11 +39,9 @@ def kgrams(d) -> str:
 def fingerprints(d) -> str:
     """The least hash of every window of W, the rightmost of equal ones; a file with fewer k-grams gives its least."""
     frame = f"(PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING)"
-    return f"""SELECT DISTINCT doc_id, h, p AS pos FROM (
-  SELECT k.doc_id, k.h, max(k.pos) AS p, w.at FROM kgrams k JOIN (
-    SELECT doc_id, pos AS at, min(h) OVER {frame} AS least, max(pos) OVER {frame} AS upto, count(*) OVER {frame} AS held, count(*) OVER (PARTITION BY doc_id) AS n FROM kgrams
-  ) w ON k.doc_id = w.doc_id AND k.h = w.least AND k.pos BETWEEN w.at AND w.upto
-  WHERE w.held = {W} OR (w.n < {W} AND w.held = w.n) GROUP BY k.doc_id, k.h, w.at) x"""
+    return f"""SELECT DISTINCT doc_id, w.x AS h, -w.y AS pos FROM (
+  SELECT doc_id, {d.least_pair("h", "-pos", frame)} AS w, count(*) OVER {frame} AS held, count(*) OVER (PARTITION BY doc_id) AS n FROM kgrams
+) k WHERE held = {W} OR (n < {W} AND held = n)"""
 
 
 def postings(d) -> str:
@@ -62,8 +62,10 @@ def unit_groups(d) -> str:
 
 
 def commits(d) -> str:
-    return """SELECT o_orderkey AS id, o_orderdate AS committed_at, o_orderpriority AS subject, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS seq,
-  CASE WHEN o_orderpriority LIKE '1-%' THEN 'fix' WHEN o_orderpriority LIKE '2-%' THEN 'feat' ELSE 'other' END AS kind FROM orders"""
+    """Orders by date and key; they are numbered within a date, after all of the dates before (a row a date)."""
+    return """SELECT o_orderkey AS id, o_orderdate AS committed_at, o_orderpriority AS subject, CAST(upto - n + row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS BIGINT) AS seq,
+  CASE WHEN o_orderpriority LIKE '1-%' THEN 'fix' WHEN o_orderpriority LIKE '2-%' THEN 'feat' ELSE 'other' END AS kind FROM orders JOIN (
+  SELECT o_orderdate AS day, count(*) AS n, sum(count(*)) OVER (ORDER BY o_orderdate) AS upto FROM orders GROUP BY o_orderdate) b ON o_orderdate = day"""
 
 
 def commit_paths(d) -> str:

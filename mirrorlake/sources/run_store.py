@@ -13,12 +13,17 @@ class RunStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def write(self, run_id: int, tables: dict[str, DataFrame], variant: str = "default") -> None:
-        """Write a run's tables, then its mark; writing it again replaces what it wrote."""
+        """Write a run's tables, then its mark; writing it again takes the mark away first, so no reader sees a mix."""
+        self._delete(f"{self.root}/_runs/run_id={run_id}")
         for name, frame in tables.items():
             frame.write.mode("overwrite").parquet(f"{self.root}/{name}/run_id={run_id}")
         mark = self.spark.range(1).select(F.lit(variant).alias("variant"), F.current_timestamp().alias("started_at"))
         mark.write.mode("overwrite").parquet(f"{self.root}/_runs/run_id={run_id}")
 
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     def runs(self) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.root}/_runs").parquet(f"{self.root}/_runs")
 

@@ -29,7 +29,8 @@ def tree(spark: SparkSession, root: str, include: list[str] = (), exclude: list[
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     language = F.create_map(*[F.lit(x) for p in LANGUAGES.items() for x in p])
     # the content is read for files of a known language and a fit size only
-    content = F.when(F.col("length") <= max_bytes, F.decode("content", "UTF-8"))
+    raw_text = F.when(F.col("length") <= max_bytes, F.col("content"))
+    content = F.make_valid_utf8(raw_text.cast("string"))  # bytes that aren't UTF-8 become the replacement character
     head = F.lower(F.substring_index(content, "\n", scan_lines))
     generated = head.contains(GENERATED[0])
     for marker in GENERATED[1:]:
@@ -38,11 +39,10 @@ def tree(spark: SparkSession, root: str, include: list[str] = (), exclude: list[
         F.when(language[ext].isNull(), "language")
         .when(matches_any(path, list(exclude)) | (~matches_any(path, list(include)) if include else F.lit(False)), "glob")
         .when(F.col("length") > max_bytes, "oversized")
-        .when(F.substring(content, 1, 8192).contains("\0"), "binary")
+        .when(F.contains(F.substring(raw_text, 1, 8192), F.lit(bytearray(b"\0"))), "binary")
         .when(generated, "generated")
     )
-    named = raw.select(F.xxhash64("path").alias("file_id"), "path", F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("directory"), language[ext].alias("language"), content.alias("content"), F.col("length").alias("size"), reason.alias("dropped"))
-    return named.withColumn("content_hash", F.sha2("content", 256))
+    return raw.select(F.xxhash64("path").alias("file_id"), "path", F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("directory"), language[ext].alias("language"), content.alias("content"), F.col("length").alias("size"), reason.alias("dropped"), F.sha2(raw_text, 256).alias("content_hash"))
 
 
 def settle_headers(files: DataFrame) -> DataFrame:
