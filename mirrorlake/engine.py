@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graph
+from .operators import graph, structural
 from .sources.run_store import RunStore
 
 
@@ -41,6 +41,10 @@ class Engine:
             self.store.write(run_id, found.tables())
         return found
 
+    def scan_structural(self, files: DataFrame, similar: float = 0.7) -> structural.Found:
+        """Groups of exact, renamed and edited copies of functions in the files of a known language."""
+        return structural.find(files, similar)
+
     def report(self, run_id: int, limit: int = 10) -> DataFrame:
         """Groups of a recorded run in order of priority; 0 lifts the limit."""
         groups = self.store.read("groups").where(F.col("run_id") == run_id).orderBy(F.desc("priority"), "group_id")

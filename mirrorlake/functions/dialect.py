@@ -41,6 +41,14 @@ class Spark:
         """Elements of an array with their places from 1 on."""
         return f"(SELECT {keys}, CAST({place} + 1 AS BIGINT) AS {place}, {value} FROM {table} LATERAL VIEW posexplode({array}) x AS {place}, {value})"
 
+    def sorted_pairs(self, a: str, b: str) -> str:
+        """All pairs of a group as sorted structs of a and b."""
+        return f"array_sort(collect_list(struct(CAST({a} AS BIGINT) AS a, CAST({b} AS BIGINT) AS b)))"
+
+    def fold(self, pairs: str, a: str, b: str, when: str, then_a: str, then_b: str) -> str:
+        """A fold over pairs x in their order: what is held (acc, a pair too) changes where ``when`` holds."""
+        return f"aggregate({pairs}, struct(CAST({a} AS BIGINT) AS a, CAST({b} AS BIGINT) AS b), (acc, x) -> CASE WHEN {when} THEN struct({then_a} AS a, {then_b} AS b) ELSE acc END)"
+
     def least_pair(self, x: str, y: str, over: str) -> str:
         """The least pair of a window as a struct of x and y."""
         return f"min(struct({x} AS x, {y} AS y)) OVER {over}"
@@ -129,6 +137,13 @@ class Duck:
     def unnested(self, table: str, keys: str, array: str, place: str, value: str) -> str:
         return f"(SELECT {keys}, CAST({place} AS BIGINT) AS {place}, held[{place}] AS {value} FROM (SELECT {keys}, held, unnest(range(1, len(held) + 1)) AS {place} FROM (SELECT {keys}, {array} AS held FROM {table})))"
 
+    def sorted_pairs(self, a: str, b: str) -> str:
+        return f"list_sort(list({{'a': CAST({a} AS BIGINT), 'b': CAST({b} AS BIGINT)}}))"
+
+    def fold(self, pairs: str, a: str, b: str, when: str, then_a: str, then_b: str) -> str:
+        first = f"{{'a': CAST({a} AS BIGINT), 'b': CAST({b} AS BIGINT)}}"
+        return f"list_reduce([{first}] || {pairs}, lambda acc, x: CASE WHEN {when} THEN {{'a': {then_a}, 'b': {then_b}}} ELSE acc END)"
+
     def least_pair(self, x: str, y: str, over: str) -> str:
         return f"min(struct_pack(x := {x}, y := {y})) OVER {over}"
 

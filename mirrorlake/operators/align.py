@@ -29,6 +29,10 @@ def lcs(a, b, band: int = 64, most_cells: int = 4_000_000) -> int | None:
     return int(row[-1])
 
 
+#: Cells of a full alignment (4 bytes each) that a task holds; larger pairs aren't measured.
+MOST_CELLS = 1 << 24
+
+
 @F.pandas_udf(DoubleType())
 def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 LCS / (n + m); 1 for two empty sequences; null if it isn't measured."""
@@ -42,17 +46,18 @@ def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StructType([StructField("edits", LongType()), StructField("changes", LongType())]))
 def substitution_witness(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Best alignment with 3 for equal and 2 for replaced elements: how many edits, and how many distinct replacements."""
+    """Best alignment with 3 for equal and 2 for replaced elements: how many edits, and how many distinct replacements; null if it isn't measured."""
     rows = []
     for x, y in zip(a, b, strict=True):
         x, y = ([] if x is None else list(x)), ([] if y is None else list(y))
-        if len(x) * len(y) > 1 << 20:
+        if len(x) * len(y) > MOST_CELLS:
             rows.append((None, None))
             continue
-        score = np.zeros((len(x) + 1, len(y) + 1), np.int64)
-        for i, p in enumerate(x, 1):
-            for j, q in enumerate(y, 1):
-                score[i, j] = max(score[i - 1, j], score[i, j - 1], score[i - 1, j - 1] + (3 if p == q else 2))
+        codes: dict = {}
+        a_, b_ = (np.array([codes.setdefault(t, len(codes)) for t in s], np.int64) for s in (x, y))
+        score = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+        for i in range(1, len(x) + 1):  # a row at a time: the best from above or across, then what its left neighbours reach
+            score[i, 1:] = np.maximum.accumulate(np.maximum(score[i - 1, 1:], score[i - 1, :-1] + np.where(b_ == a_[i - 1], 3, 2)))
         i, j, edits, pairs = len(x), len(y), 0, set()
         while i and j:
             step = 3 if x[i - 1] == y[j - 1] else 2

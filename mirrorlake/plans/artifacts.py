@@ -123,16 +123,22 @@ def wl_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.colours(_calls(spark, sf_dir), nodes, 3).groupBy("colour").agg(F.count("*").alias("nodes"), F.min("node").alias("first_node"))
 
 
+#: Dominators by removal: a node dominates what can't be reached from 1 without it; ``depth`` is how many dominate a node.
+DOMINATED = f"""WITH RECURSIVE calls AS ({calls(Duck())}), reached(node) AS (SELECT CAST(1 AS BIGINT) UNION SELECT c.dst FROM reached r JOIN calls c ON c.src = r.node),
+away(gone, node) AS (SELECT node, CAST(1 AS BIGINT) FROM reached WHERE node <> 1 UNION SELECT a.gone, c.dst FROM away a JOIN calls c ON c.src = a.node AND c.dst <> a.gone),
+dom AS (SELECT d.node AS d, n.node AS n FROM reached d CROSS JOIN reached n ANTI JOIN away ON away.gone = d.node AND away.node = n.node), depth AS (SELECT n AS d, count(*) AS depth FROM dom GROUP BY n)"""
+
+
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dominators(_calls(spark, sf_dir).withColumn("graph", F.lit(1).cast("long")), 1).select("node", "dominator")
 
 
-@register("immediate_dominators")
+@register("immediate_dominators", f"{DOMINATED} SELECT n AS node, arg_max(dom.d, depth) AS dominator FROM dom JOIN depth ON dom.d = depth.d WHERE n <> dom.d GROUP BY n")
 def immediate_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir)
 
 
-@register("retained_sizes")
+@register("retained_sizes", f"{DOMINATED} SELECT d AS node, CAST(sum(p_size) AS BIGINT) AS retained FROM dom JOIN part ON n = p_partkey GROUP BY d")
 def retained_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = graph.cut(_tree(spark, sf_dir))
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("bytes"))
@@ -140,7 +146,11 @@ def retained_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.retained(tree, part.join(inside, "node", "left_semi"))
 
 
-@register("toolchain_holders")
+@register(
+    "toolchain_holders",
+    f"""{DOMINATED} SELECT holder, count(*) AS nodes, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT n, max(t.p_size) AS bytes, arg_max(dom.d, depth) AS holder
+  FROM dom JOIN depth ON dom.d = depth.d JOIN part t ON n = t.p_partkey AND t.p_brand = 'Brand#2' JOIN part h ON dom.d = h.p_partkey WHERE n <> dom.d AND (h.p_brand <> 'Brand#2' OR dom.d = 1) GROUP BY n) x GROUP BY holder""",
+)
 def toolchain_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest dominator outside the toolchain (one brand) of each of its nodes, by rounds down the dominator tree."""
     tree = graph.cut(_tree(spark, sf_dir))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.budget import admitted
+from ..operators.graph import cut
+from ..registry import register
 from ..sources.relations import exact_members, tokens, unit_groups, units
 from .fingerprinting import LSH, minhashes
-from .sql import sql
+from .sql import run, sql
 
 
 @sql("exact_groups", exact_members)
@@ -71,8 +77,9 @@ def fold_by_content(d) -> str:
 
 @sql("admissible_members")
 def admissible_members(d) -> str:
-    # greedy: in order of start, a row is kept if it doesn't overlap the last kept; here by the fixed point over equal steps
-    return """SELECT file, count(*) AS kept FROM (SELECT p_brand AS file, floor(p_partkey / 50) AS slot, row_number() OVER (PARTITION BY p_brand, floor(p_partkey / 50) ORDER BY p_partkey) AS r FROM part) x WHERE r = 1 GROUP BY file"""
+    # greedy: in order of start, a member is kept if it begins at or after the end of the last kept; a fold over one file's members
+    kept = d.fold(d.sorted_pairs("p_partkey % 1000", "p_partkey % 1000 + p_size"), "0", "0", "x.a >= acc.b", "acc.a + 1", "x.b")
+    return f"SELECT file, f.a AS kept, f.b AS upto FROM (SELECT p_brand AS file, {kept} AS f FROM part GROUP BY p_brand) k"
 
 
 @sql("confirm_regions", units, unit_groups)
@@ -93,7 +100,18 @@ def medoid_sample(d) -> str:
 CROSS JOIN (SELECT r_regionkey AS k FROM region UNION ALL SELECT r_regionkey + 5 FROM region) s WHERE k < 8 AND i = CAST(floor(k * (n - 1) / 7) AS BIGINT)"""
 
 
-@sql("component_budget")
-def component_budget(d) -> str:
-    # components in order are skipped if they don't fit alone, and taken while the running total of those left fits
-    return """SELECT gid, n, n <= 60 AND upto <= 60 AS taken FROM (SELECT md5(text) AS gid, count(*) AS n, CAST(sum(CASE WHEN count(*) <= 60 THEN count(*) ELSE 0 END) OVER (ORDER BY min(doc_id)) AS BIGINT) AS upto FROM documents GROUP BY md5(text) HAVING count(*) >= 2) x"""
+COMPONENTS = "SELECT md5(text) AS gid, count(*) AS n, min(doc_id) AS root FROM documents WHERE text IS NOT NULL GROUP BY md5(text) HAVING count(*) >= 2"
+UNITS_OF_WORK = 60
+
+
+@register(
+    "component_budget",
+    f"""WITH RECURSIVE c AS ({COMPONENTS}), o AS (SELECT *, row_number() OVER (ORDER BY root) AS k FROM c),
+f(k, gid, n, taken, used) AS (SELECT CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), false, CAST(0 AS BIGINT) UNION ALL SELECT o.k, o.gid, o.n, f.used + o.n <= {UNITS_OF_WORK}, CASE WHEN f.used + o.n <= {UNITS_OF_WORK} THEN f.used + o.n ELSE f.used END FROM f JOIN o ON o.k = f.k + 1)
+SELECT gid, n, taken FROM f WHERE k > 0""",
+)
+def component_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components in the order of their roots are taken while they fit; one that doesn't is skipped, and later ones may still fit."""
+    found = cut(run(spark, sf_dir, COMPONENTS))
+    taken = admitted(found.select(F.col("root").alias("place"), F.col("n").alias("size")), UNITS_OF_WORK)
+    return found.join(F.broadcast(taken), found.root == taken.place, "left").select("gid", "n", F.col("place").isNotNull().alias("taken"))

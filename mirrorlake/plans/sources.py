@@ -32,6 +32,20 @@ def generated_filter(d) -> str:
     return f"""SELECT page_id, {d.matches(f"lower({d.head_lines('html', 10)})", "@generated|do not edit|<script")} AS generated, CAST(length(html) AS BIGINT) AS size FROM pages"""
 
 
+def synthetic(d) -> str:
+    """Generated sources: a file's statements follow from its seed by hashing; 5 % of the files have the seed of one of 128 shared ones."""
+    pick = "CASE " + " ".join(f"WHEN {d.h60('seed || CAST(j AS STRING)')} % 5 = {k} THEN '{text}' || CAST({d.h60('seed || CAST(j AS STRING)')} % 97 AS STRING) || ';'" for k, text in enumerate(("let a = b + ", "call(a, b); c = ", "if (a > b) c = ", "while (b) b = ", "return "))) + " END"
+    return f"""SELECT id, seed, {d.joined(d.sorted_list("lpad(CAST(j AS STRING), 3, '0') || ' ' || line"), " ")} AS content FROM (
+  SELECT id, seed, j, {pick} AS line FROM (SELECT p_partkey AS id, CASE WHEN {d.h60("'pick' || CAST(p_partkey AS STRING)")} % 100 < 5 THEN 'shared' || CAST({d.h60("'slot' || CAST(p_partkey AS STRING)")} % 128 AS STRING) ELSE 'own' || CAST(p_partkey AS STRING) END AS seed FROM part) f
+  CROSS JOIN {d.series("1", "24", "j")} q) s GROUP BY id, seed"""
+
+
+@sql("synthetic_corpus", synthetic)
+def synthetic_corpus(d) -> str:
+    # every file with the size of its class: copies are those of one seed
+    return "SELECT id, md5(content) AS content_hash, count(*) OVER (PARTITION BY md5(content)) AS copies FROM synthetic"
+
+
 @sql("glob_filter")
 def glob_filter(d) -> str:
     # include **/en/** and **/de/**, exclude **/*page=1*

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mirrorlake import registry
 from mirrorlake.engine import Engine
-from mirrorlake.operators import align, cluster, graph
+from mirrorlake.operators import align, budget, cluster, graph
 from mirrorlake.sources import lexers, scan
 from mirrorlake.streaming import incremental
 
@@ -197,3 +197,45 @@ def test_globs():
 
     for glob, path, hit in itertools.chain([("src/**/*.rs", "src/a/b/c.rs", True), ("src/**/*.rs", "src/c.rs", True), ("*.rs", "a/b.rs", False), ("a?.c", "ab.c", True)]):
         assert bool(re.match(scan.glob_pattern(glob), path)) == hit
+
+
+def test_budget_skips_what_does_not_fit(spark, monkeypatch):
+    rng = random.Random(9)
+    sizes = [rng.randint(1, 30) for _ in range(300)]
+    monkeypatch.setattr(budget, "AT_ONCE", 7)
+    left, want = 200, set()
+    for place, size in enumerate(sizes):
+        if size <= left:
+            want.add(place)
+            left -= size
+    rows = spark.createDataFrame(list(enumerate(sizes)), "place long, size long").repartition(3)
+    assert {r.place for r in budget.admitted(rows, 200).collect()} == want
+    assert budget.admitted(rows.limit(0), 10).collect() == []
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(10)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(30)] + [(300, i) for i in range(301, 310)] + [(500, 500)]
+    group = {n: n for e in edges for n in e}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        group[max(x, y)] = min(x, y)
+    parts = graph.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.component for r in parts.collect()} == {n: find(n) for n in group}
+
+
+def test_a_tree_with_bytes_that_are_not_text(spark, tmp_path):
+    (tmp_path / "a.rs").write_bytes(b"fn a() {}\n// \xff\xfe not UTF-8\n")
+    (tmp_path / "b.rs").write_bytes(b"fn b() {}\0\n")
+    (tmp_path / "c.rs").write_text("// one\n" * 9 + "// @generated\n")
+    (tmp_path / "d.rs").write_text("// one\n" * 10 + "// @generated\n")
+    (tmp_path / "e.txt").write_bytes(b"\xff")
+    got = {r.path.rsplit("/", 1)[1]: r for r in scan.tree(spark, str(tmp_path)).collect()}
+    assert {n: r.dropped for n, r in got.items()} == {"a.rs": None, "b.rs": "binary", "c.rs": "generated", "d.rs": None, "e.txt": "language"}
+    assert "\ufffd" in got["a.rs"].content
