@@ -10,8 +10,9 @@ Each distinct chunk between white space is normalised as the vocabulary's file s
 character by character) and split by its pattern, its words are cut at the forced boundaries, each distinct fragment runs through
 the transducer of ``bpe_machine``, and the chunk's ids and decoded text are remembered (bounded).
 
-Null and empty texts have no ids and decode to the empty text.  Repeated rows are encoded each; a null
-doc_id stays null; an empty table gives no rows.
+Null and empty texts have no ids and decode to the empty text; texts of any length are encoded whole.  Repeated
+rows, and rows that repeat a doc_id, are encoded each; a null doc_id stays null; an empty table gives no rows;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

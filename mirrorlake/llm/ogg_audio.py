@@ -11,9 +11,12 @@ sample); a second logical stream carries an index (the byte where each packet en
 those of the first.  The layout of the first packet of each stream is this module's own: "PCM8" with
 version, channels and rate; "INDX" with version.
 
-Null and empty texts give the least payload (64 zero bytes).  A damaged page raises ValueError with its
-position.  Repeated rows are stored each, equal texts give equal bytes; a null doc_id stays null; an
-empty table gives no rows.
+``store`` writes a media column, ``streams`` reads one, a row for each logical stream; a file that is damaged, or
+null, is one row with the reason as its status, and the others aren't touched by it.
+
+Null and empty texts give the least payload (64 zero bytes); texts of any length are stored whole.  Repeated rows are
+stored each, equal texts give equal bytes; a null doc_id stays null; an empty table gives no rows; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -156,8 +159,9 @@ def payload_of(streams: dict[int, Stream]) -> tuple[bytes, Stream, int, list[flo
     Only the last packet that ends on a page has a granule position; those before it lie back by the
     samples of the packets after them.
     """
-    sound = next(s for s in streams.values() if s.packets[0][:4] == b"PCM8")
-    index = next(s for s in streams.values() if s.packets[0][:4] == b"INDX")
+    sound, index = (next((s for s in streams.values() if s.packets and s.packets[0][:4] == kind), None) for kind in (b"PCM8", b"INDX"))
+    if sound is None or index is None:
+        raise ValueError("there is no stream of samples, or no index")
     rate = struct.unpack_from("<I", sound.packets[0], 6)[0]
     packets, known = sound.packets[1:], sound.granules[1:]
     ends, follow = [0] * len(packets), None
@@ -205,3 +209,36 @@ def store(docs: DataFrame, with_media: bool = True) -> DataFrame:
 
     stored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, columns)
     return stored.select(*names)
+
+
+STREAMS = "doc_id long, status string, serial long, n_pages long, n_packets long, granule long, kind binary, packet_bytes array<long>, data binary"
+
+
+def streams(media: DataFrame, column: str = "media") -> DataFrame:
+    """The logical streams of Ogg files in a column beside doc_id: status "ok", pages, packets, the last granule
+    position, the first four bytes, and the packets (their sizes and their bytes end to end).  Files that can't be
+    read are one row with the reason as status and nulls."""
+    batches(media.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("status", pa.string()), *((n, pa.int64()) for n in ("serial", "n_pages", "n_packets", "granule")), ("kind", pa.binary()), ("packet_bytes", pa.list_(pa.int64())), ("data", pa.binary())])
+
+    def rows_of(doc: int | None, raw: bytes | None) -> Iterator[list]:
+        if raw is None:
+            yield [doc, "no media", *[None] * 7]
+            return
+        try:
+            found = read(raw)
+        except (ValueError, struct.error) as error:
+            yield [doc, str(error), *[None] * 7]
+            return
+        for s in found.values():
+            granule = next((g for g in reversed(s.granules) if g is not None), None)
+            yield [doc, "ok", s.serial, s.pages, len(s.packets), granule, (s.packets or [b""])[0][:4], list(map(len, s.packets)), b"".join(s.packets)]
+
+    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = list(rows_of(doc, raw.as_py()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return media.select(F.col("doc_id").cast("long"), F.col(column).cast("binary")).mapInArrow(work, STREAMS)

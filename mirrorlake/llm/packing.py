@@ -10,8 +10,9 @@ class wastes less than 1/(k+1) of a bin.  What is left in open bins when a parti
 k pieces a class) is laid end to end and cut at the capacity; the remainder is cut into powers of two,
 which need no padding.
 
-Null and empty texts give the single end id.  Repeated rows are packed each on its own; a null doc_id
-is kept as null.  Extra columns are ignored.  An empty table gives no rows.
+Null and empty texts give the single end id; texts of any length are packed whole.  Repeated rows, and rows that
+repeat a doc_id, are packed each on its own; a null doc_id is kept as null.  Extra columns are ignored, whatever
+their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations

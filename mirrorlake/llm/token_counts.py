@@ -11,8 +11,9 @@ parallel prefix scan (doubling distances) gives the state in which each chunk is
 second run from that state marks the pieces.  Each distinct piece is counted once and remembered.
 Memory follows the batch, not the corpus: one text at most, or ``CELLS`` characters of several.
 
-Null and empty texts count 0.  Repeated rows are counted each; a null doc_id stays null; an empty table
-gives no rows.
+Null and empty texts count 0; texts of any length are counted whole.  Repeated rows, and rows that repeat a
+doc_id, are counted each; a null doc_id stays null; an empty table gives no rows; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -74,6 +74,20 @@ def test_ogg_rows(spark):
     assert got[1].media_sha256 == got[3].media_sha256 == hashlib.sha256(bytes(got[1].media)).hexdigest() and got[2].payload_bytes == 64
 
 
+def test_media_column_is_read_as_rows(spark):
+    media = {1: ogg_audio.write(ogg_audio.padded(RNG.randbytes(10_000))), 2: None, 3: b"", 4: b"OggS" + bytes(10)}
+    media[5] = media[1][:-1]
+    media[6] = media[1][:40] + bytes([media[1][40] ^ 1]) + media[1][41:]
+    docs = spark.createDataFrame([(i, None if m is None else bytearray(m), "x") for i, m in media.items()], "doc_id long, media binary, status string")
+    got = ogg_audio.streams(docs).collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 2, 4, 5, 6]
+    good = {bytes(r.kind): r for r in got if r.doc_id == 1}
+    want = {s.packets[0][:4]: s for s in ogg_audio.read(media[1]).values()}
+    assert set(good) == set(want) == {b"PCM8", b"INDX"}
+    assert all(bytes(good[k].data) == b"".join(s.packets) and good[k].packet_bytes == list(map(len, s.packets)) and (good[k].n_pages, good[k].granule) == (s.pages, [g for g in s.granules if g is not None][-1]) for k, s in want.items())
+    assert all(r.status != "ok" and r.data is None for r in got if r.doc_id > 1)
+
+
 def test_base_counts():
     text = "a b c x\n\n#b a b c $\nx\nx \na"
     words = text.split()

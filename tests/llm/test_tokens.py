@@ -112,3 +112,15 @@ def test_cuts_and_classes():
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(none).collect() == token_counts.token_counts(none).collect() == bpe_codec.encode_digests(none).collect() == []
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "one two"), (1, "one two"), (1, "three"), (1, "three"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    size = {t: len(Tokenizer.from_file(BYTE).encode(t or "", add_special_tokens=False).ids) for _, t in rows}
+    counts = sorted((r.doc_id or 0, r.n_tokens) for r in token_counts.token_counts(docs).collect())
+    assert counts == sorted((i or 0, size[t]) for i, t in rows)
+    coded = bpe_codec.encode_digests(docs).collect()
+    assert sorted(r.doc_id or 0 for r in coded) == [0, 1, 1, 1, 2] and len({r.ids_sha256 for r in coded}) == 3
+    packed = packing.pack(docs).collect()
+    assert sum(r.length for r in packed) == sum(size[t] + 1 for _, t in rows) and sum(r.start == 0 for r in packed) == len(rows)
