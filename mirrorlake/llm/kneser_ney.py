@@ -21,8 +21,8 @@ A stored array is sorted by a 40-bit hash of the n-gram within its shard (a look
 finds another's entry with a chance of about 3e-6 in a full shard): a directory of the upper 16 bits, the lower 24, and counts
 in a byte each, larger ones aside.  Discounts come from counts of counts.  Workers map the arrays into memory and look up the sorted keys of a batch.
 
-Counts are kept by class (one column a class), so the same arrays serve a plain model (one class), models
-of several parts of a corpus, and class-conditional models that share their backoff.  Everything covers
+Counts are kept by class (one column a class), so the same arrays serve a plain model (one class) and
+class-conditional models that share their backoff.  Everything covers
 all documents given; there are no cut-offs of rare entries.  Nothing of a model but a few global numbers
 goes through the driver.
 """
@@ -426,13 +426,13 @@ class Layout:
     rare_below: int = 0
     size: int = 0  # distinct tokens
     totals: list[int] = field(default_factory=list)  # tokens by class
-    word_discounts: list[list[float]] = field(default_factory=list)  # by class, as the three below
+    word_discounts: list[list[float]] = field(default_factory=list)  # by class
     word_taken: list[float] = field(default_factory=list)
     triple_discounts: list[float] = field(default_factory=list)
     pair_discounts: list[list[float]] = field(default_factory=list)
-    lower_discounts: list[list[float]] = field(default_factory=list)  # of all classes together, then by class
-    lower_taken: list[float] = field(default_factory=list)
-    lower_totals: list[int] = field(default_factory=list)
+    lower_discounts: list[float] = field(default_factory=list)  # of all classes together
+    lower_taken: float = 1.0
+    lower_total: int = 0
     ready: bool = False
 
     @property
@@ -440,11 +440,6 @@ class Layout:
         """The id of what stands before a text."""
         return self.shards << 32
 
-    @property
-    def lowers(self) -> int:
-        """Columns of the lowest order."""
-        return self.classes + 1 if self.classes > 1 else 1
-
 
 def discounts(counts: list[int]) -> list[float]:
     """Modified Kneser-Ney discounts for counts of 1, 2, 3 and more, from the counts of counts of 1 to 4."""
@@ -601,8 +596,7 @@ def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_bel
         order = np.argsort(ids[:, 2])
         right = ids[order, 2]
         first = np.flatnonzero(np.concatenate(([True], right[1:] != right[:-1])))
-        firsts = [np.diff(np.append(first, len(right)))] + ([np.add.reduceat((c > 0).astype(np.int64)[order], first) for c in counts.T] if classes > 1 else [])
-        rows += [(2 * s + 1, p) for s, p in cut(np.stack([home(right[first]), right[first]], axis=1), np.stack(firsts, axis=1))]
+        rows += [(2 * s + 1, p) for s, p in cut(np.stack([home(right[first]), right[first]], axis=1), np.diff(np.append(first, len(right)))[:, None])]
         return pa.Table.from_batches([_rows(rows, [(-1 - shard % 64, facts)])])
 
     def store_sums(table: pa.Table) -> pa.Table:
@@ -614,12 +608,10 @@ def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_bel
             dense = np.zeros((int(keys[-1] & np.uint64(0xFFFFFFFF)) + 1, sums.shape[1]), np.int64)
             dense[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)] = sums
             put_bytes(f"{root}/{'after' if after else 'context'}-{shard}", counts_bytes(dense))
-            own = [*count_of_counts(sums), *np.count_nonzero(sums >= 3, axis=0).tolist(), *sums.sum(0).tolist()] if after else [0] * sums_width
-            facts = [0] * (width - sums_width) + own
+            facts = [0] * (width - sums_width) + ([*count_of_counts(sums), int(np.count_nonzero(sums >= 3)), int(sums.sum())] if after else [0] * sums_width)
         return pa.table({"shard": pa.array([shard], pa.int32()), "facts": pa.array([facts], pa.list_(pa.int64()))})
 
-    m, triples = layout.lowers, 4 if order == 3 else 0
-    sums_width = 6 * m
+    triples, sums_width = 4 if order == 3 else 0, 6
     width = triples + 4 * classes + sums_width  # of the facts: counts of counts of triples, of pairs by class, and what the lowest order needs
     counted = texts.mapInArrow(count_ngrams, BLOCKS)
     if order == 3:
@@ -629,13 +621,10 @@ def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_bel
     if order == 3:
         layout.triple_discounts = discounts(facts[:4])
     layout.pair_discounts = [discounts(facts[triples + 4 * c :][:4]) for c in range(classes)]
-    facts = facts[width - sums_width :]
-    for c in range(m):
-        coc, more, total = facts[4 * c : 4 * c + 4], facts[4 * m + c], facts[5 * m + c]
-        d = discounts(coc)
-        layout.lower_discounts.append(d)
-        layout.lower_totals.append(total)
-        layout.lower_taken.append((d[0] * coc[0] + d[1] * coc[1] + d[2] * more) / total if total else 1.0)
+    *coc, more, total = facts[width - sums_width :]
+    d = layout.lower_discounts = discounts(coc)
+    if total:
+        layout.lower_total, layout.lower_taken = total, (d[0] * coc[0] + d[1] * coc[1] + d[2] * more) / total
     layout.ready = True
     return layout
 
@@ -686,7 +675,7 @@ class Reader:
         self.splits = np.concatenate([self.begin_splits, self._splits(self.counts[1:])])
         if layout.ready:
             self.contexts = np.concatenate([self.begin_context, self.of_words("context", ids, self.context_width)])
-            self.afters = np.concatenate([np.zeros((1, layout.lowers), np.int64), self.of_words("after", ids, layout.lowers)])
+            self.afters = np.concatenate([np.zeros((1, 1), np.int64), self.of_words("after", ids, 1)])
         self.ids = np.concatenate([np.array([layout.begin], np.uint64), ids])
         return slots.ravel() + 1
 
@@ -751,14 +740,14 @@ class Reader:
                 out[order[a + hit]] = rows
         return out
 
-    def lower(self, column: int = 0) -> np.ndarray:
+    def lower(self) -> np.ndarray:
         """Continuation probability of every slot, interpolated with an even share for every token and the unknown one."""
         layout = self.layout
-        even, total = 1.0 / (layout.size + 1), layout.lower_totals[column]
-        n = self.afters[:, column]
+        even, total = 1.0 / (layout.size + 1), layout.lower_total
+        n = self.afters[:, 0]
         if not total:
             return np.full(len(n), even)
-        return np.maximum(n - np.array([0, *layout.lower_discounts[column]])[np.minimum(n, 3)], 0) / total + layout.lower_taken[column] * even
+        return np.maximum(n - np.array([0, *layout.lower_discounts])[np.minimum(n, 3)], 0) / total + layout.lower_taken * even
 
     def class_words(self, lower: np.ndarray) -> np.ndarray:
         """Class-conditional word probabilities (slots x classes) over the shared backoff."""
@@ -790,15 +779,14 @@ class Reader:
             out[:, c] = np.where(total > 0, p, out[:, c])
         return out
 
-    def log_probabilities(self, slots: np.ndarray, ends: np.ndarray, own: bool = False) -> np.ndarray:
-        """log10 p(token | tokens before) at each position, a column for each class; with ``own`` each class has its own lowest order."""
+    def log_probabilities(self, slots: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """log10 p(token | tokens before) at each position, a column for each class; the lowest order is shared by the classes."""
         layout = self.layout
         if not len(slots):
             return np.zeros((0, layout.classes))
         if not layout.size:
             return np.zeros((len(slots), layout.classes))
-        lower = np.stack([self.lower(c + 1 if own and layout.classes > 1 else 0) for c in range(layout.classes)], axis=1)
-        out = self.pair_probabilities(slots, ends, lower)
+        out = self.pair_probabilities(slots, ends, np.repeat(self.lower()[:, None], layout.classes, axis=1))
         if layout.order == 3:
             v = previous(slots, ends)
             u = previous(v, ends)

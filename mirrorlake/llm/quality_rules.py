@@ -4,8 +4,8 @@ Base counts come first (words, symbols, repeated lines, words in repeated window
 Kneser-Ney word models (``kneser_ney``), counted over all documents, give every text a perplexity; texts
 whose log perplexity lies outside their language's band are rejected.  A model would know the word order
 of the texts it was counted on, so texts are dealt into two parts by the least hash of their long words,
-all copies of a text and most near copies to one, and each is scored by the other part's model; both are counted in
-one pass, as two classes of one set of arrays.  A band is set by the language's distinct texts of the
+all copies of a text and most near copies to one, and each is scored by the other part's model.  One model is counted, used
+and removed before the other, so that one at a time is on disk.  A band is set by the language's distinct texts of the
 part that pass the base rules, so that copies count once: their median, and ``low`` and ``high`` times the
 distance to the lower and the upper quartile of the deviations from it, which is ``FLOOR`` at least,
 however alike most texts are.  The mean of n words' log probabilities varies as 1/sqrt(n), so deviations
@@ -19,6 +19,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney
-from .common import batches, settle, shared_dir
+from .common import batches, drop, settle, shared_dir
 
 #: The symbols that are counted; the white space between words.
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\v\f\r"
@@ -102,8 +103,7 @@ def measure(docs: DataFrame, model: kneser_ney.Layout) -> DataFrame:
             slots = m.slots(hashes)
             first = np.concatenate(([0], ends[:-1] + 1))
             size = ends - first + 1
-            sums = np.add.reduceat(m.log_probabilities(slots, ends, own=True), first)
-            logs = sums[np.arange(len(sums)), 1 - batch.column(4).to_numpy()] / size  # by the model of the other part
+            logs = np.add.reduceat(m.log_probabilities(slots, ends)[:, 0], first) / size
             columns = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(failed, pa.bool_()), pa.array(-logs), pa.array(size, pa.int64()), batch.column(3), batch.column(4)], names=[c.split()[0] for c in MEASURES.split(", ")])
 
@@ -132,8 +132,13 @@ def judge(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text.alias("text"), F.xxhash64(text).alias("text_hash"), dealt(text).alias("part"))
-    model = kneser_ney.train(split.select("text", F.col("part").cast("int").alias("class")), "quality-model", classes=PARTS)
-    measured = settle(spark, measure(split, model), shared_dir(spark, "quality-measures"))
+    measured = []
+    for k in range(PARTS):
+        model = kneser_ney.train(split.where(F.col("part") != k).select("text"), f"quality-model-{k}")
+        own = split.where(F.col("part") == k).withColumn("part", F.lit(k).cast("long"))
+        measured.append(settle(spark, measure(own, model), shared_dir(spark, f"quality-measures-{k}")))
+        drop(spark, model.root)
+    measured = reduce(DataFrame.unionAll, measured)
     root = F.sqrt(F.greatest("n_tokens", F.lit(1)))
     least, most = F.col("middle") + F.col("below") / root, F.col("middle") + F.col("above") / root
     within = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(least, most), F.lit(False))

@@ -101,9 +101,9 @@ def test_base_counts():
 def plain_bands(rows, parts):
     """(doc_id, kept) by dictionaries: texts scored by the other part's pair model, bands of the distinct sound texts."""
     tokens = lambda t: kneser_ney.words_of(t) + [END]
-    size = len({w for _, t, _ in rows for w in tokens(t)})
 
     def model(texts):
+        size = len({w for t in texts for w in tokens(t)})
         top = Counter(g for t in texts for g in zip([None, *tokens(t)], tokens(t)))
         low = Counter(w for _, w in top)
         disc = lambda level: kneser_ney.discounts([list(level.values()).count(k) for k in (1, 2, 3, 4)])
