@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from .operators import graph, structural
 from .sources.run_store import RunStore
 
+#: Files of a group that may be joined by one hash.
+HOT = 50_000
+
 
 @dataclass
 class Scan:
@@ -34,8 +37,12 @@ class Engine:
         # counts are summed before they are shuffled, so that a hash which most files share is no hot spot
         held = hashed.where("content IS NOT NULL").groupBy("language", "content_hash").agg(F.count("*").alias("instances"), F.min("file_id").alias("canonical"), F.max("size").alias("size"), F.count_distinct("directory").alias("directories")).where("instances > 1")
         worth = F.col("instances") / (F.col("instances") + 2) * 0.5 + F.col("size") / (F.col("size") + 120) * 0.35 + (F.col("directories") - 1) / F.col("directories") * 0.15
-        groups = held.withColumn("priority", F.round(worth, 9)).withColumn("group_id", F.sha2(F.concat_ws("|", "language", "content_hash"), 256))
-        members = hashed.join(groups.select("language", "content_hash", "group_id", "canonical"), ["language", "content_hash"]).select("group_id", "file_id", "path", (F.col("file_id") == F.col("canonical")).alias("is_canonical"))
+        groups = graph.cut(held.withColumn("priority", F.round(worth, 9)).withColumn("group_id", F.sha2(F.concat_ws("|", "language", "content_hash"), 256)))
+        # groups of very many files are few (at most all files by HOT): they are broadcast to their members, the others joined by hash
+        key = ["language", "content_hash"]
+        large, small = (groups.where(rule).select(*key, "group_id", "canonical") for rule in (F.col("instances") > HOT, F.col("instances") <= HOT))
+        rest = hashed.join(F.broadcast(large.select(key)), key, "left_anti").join(small, key)
+        members = hashed.join(F.broadcast(large), key).unionByName(rest).select("group_id", "file_id", "path", (F.col("file_id") == F.col("canonical")).alias("is_canonical"))
         found = Scan(hashed, groups, members)
         if self.store and run_id is not None:
             self.store.write(run_id, found.tables())

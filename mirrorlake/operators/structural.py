@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..sources.lexers import lex, units
 from .align import sequence_similarity
-from .cluster import cohesive_groups
+from .cluster import cohesive_groups, severed_pairs
 from .graph import cut
 
 FUNCTIONS = "file_id long, language string, name string, first_line int, last_line int, raw array<string>, numbered array<string>, shape array<string>"
@@ -36,6 +36,7 @@ class Found:
     groups: DataFrame  # group_id, class ("type-1" to "type-3"), members, canonical
     members: DataFrame  # class_id, group_id, unit_id, file_id, name
     dropped: DataFrame  # language, band, held: lists over the cap
+    severed: DataFrame  # a, b (canonical units), similarity: similar pairs between pieces of a component that was cut
 
 
 def forms(tokens: list[tuple[str, str, int, int]]) -> tuple[list[str], list[str], list[str]]:
@@ -101,7 +102,10 @@ def find(files: DataFrame, similar: float = 0.7, list_cap: int = 256) -> Found:
     overlap = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b")) / F.size(F.array_union(f"{c}_a", f"{c}_b"))
     worth = 0.4 * sequence_similarity("shape_a", "shape_b") + 0.4 * overlap("grams") + 0.2 * overlap("raw")
     edges = both.where(shorter >= similar * longer).select("a", "b", worth.alias("similarity")).where(F.col("similarity") >= similar)
-    near = cut(cohesive_groups(cut(edges), similar, similar))
+    edges = cut(edges)
+    near = cut(cohesive_groups(edges, similar, similar))
+    unit = lambda c: classes.select(F.col("node").alias(c), F.col("unit_id").alias(f"unit_{c}"))
+    severed = severed_pairs(edges).join(unit("a"), "a").join(unit("b"), "b").select(F.col("unit_a").alias("a"), F.col("unit_b").alias("b"), "similarity")
     alone = classes.join(near, classes.node == near.member, "left_anti").where("held > 1").select(F.col("node").alias("medoid"), F.col("node").alias("member"))
     placed = near.unionAll(alone).join(classes.select(F.col("node").alias("member"), "class_id", "held", "raws"), "member")
     canonical = classes.select(F.col("node").alias("medoid"), F.col("unit_id").alias("canonical"))
@@ -109,4 +113,4 @@ def find(files: DataFrame, similar: float = 0.7, list_cap: int = 256) -> Found:
     kind = F.when(F.col("classes") > 1, "type-3").when(F.col("raws") > 1, "type-2").otherwise("type-1")
     group_id = F.sha2(F.col("canonical").cast("string"), 256)
     members = placed.join(canonical, "medoid").select(group_id.alias("group_id"), "class_id").join(functions.select("class_id", "unit_id", "file_id", "name"), "class_id")
-    return Found(functions.drop("raw", "numbered", "shape"), groups.select(group_id.alias("group_id"), kind.alias("class"), "members", "canonical"), members, lists.where(F.col("held") > list_cap))
+    return Found(functions.drop("raw", "numbered", "shape"), groups.select(group_id.alias("group_id"), kind.alias("class"), "members", "canonical"), members, lists.where(F.col("held") > list_cap), severed)

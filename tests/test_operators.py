@@ -239,3 +239,15 @@ def test_a_tree_with_bytes_that_are_not_text(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: r for r in scan.tree(spark, str(tmp_path)).collect()}
     assert {n: r.dropped for n, r in got.items()} == {"a.rs": None, "b.rs": "binary", "c.rs": "generated", "d.rs": None, "e.txt": "language"}
     assert "\ufffd" in got["a.rs"].content
+
+
+def test_large_components_are_cut_and_what_that_cost_is_told(spark):
+    edges = [(a, b, 0.9) for a, b in itertools.combinations(range(30), 2)]
+    frame = spark.createDataFrame(edges, "a long, b long, similarity double")
+    groups = {}
+    for r in cluster.cohesive_groups(frame, largest=8).collect():
+        groups.setdefault(r.medoid, set()).add(r.member)
+    severed = {(r.a, r.b) for r in cluster.severed_pairs(frame, largest=8).collect()}
+    assert len(groups) > 1
+    assert all(((a, b) in severed) != any({a, b} <= g for g in groups.values()) for a, b, _ in edges)
+    assert cluster.severed_pairs(frame).count() == 0 and len({r.medoid for r in cluster.cohesive_groups(frame).collect()}) == 1
