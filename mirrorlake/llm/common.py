@@ -19,7 +19,14 @@ _MADE: list[str] = []
 
 def _sweep() -> None:
     for path in _MADE:
-        shutil.rmtree(path, ignore_errors=True)
+        if urlparse(path).scheme in ("", "file"):
+            shutil.rmtree(urlparse(path).path, ignore_errors=True)
+            continue
+        with contextlib.suppress(Exception):  # what can't be reached when the process ends is left to the folder's owner
+            from pyarrow import fs
+
+            system, at = fs.FileSystem.from_uri(path)
+            system.delete_dir(at)
 
 
 atexit.register(_sweep)
@@ -62,7 +69,7 @@ def shared_root(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="mirrorlake-shared-")
-        _MADE.append(urlparse(root).path)
+        _MADE.append(root)
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
@@ -70,8 +77,7 @@ def shared_root(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder under the shared one, removed when the driver's Python ends."""
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    if urlparse(path).scheme in ("", "file"):
-        _MADE.append(urlparse(path).path)
+    _MADE.append(path)
     return path
 
 
