@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as the next stage's documents.  All but the last return the columns of ``documents``; a stage's rejected
 documents are gone for those after it.  Labels come from the labels table of ``sf_dir``, for the documents
 that are still there.  The last stage gives the packed pieces with their ids.
+
+Null and empty texts are scored like any other and link with nothing; rows with a null doc_id aren't learned from, link
+with nothing and are kept by the third stage.  Rows that repeat a doc_id are scored each, and go or stay together as copies.  Columns beyond doc_id
+and text are carried through, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
