@@ -93,7 +93,7 @@ def shape_divergence(d) -> str:
 def shape_histogram(d) -> str:
     # the characteristic vector of a unit: counts of token shapes, the deepest nesting of round brackets by running sum, the size
     shapes = {"names": "kind = 'ident'", "numbers": "kind = 'number'", "stops": "tok IN ('.', '!', '?')", "commas": "tok IN (',', ';', ':')", "opens": "tok IN ('(', '[', '{')", "closes": "tok IN (')', ']', '}')", "quotes": "tok IN ('\"', '`')", "symbols": "tok IN ('#', '*', '$', '%', '&', '|', '<', '>')", "signs": "tok IN ('+', '-', '=', '/')"}
-    return f"""SELECT unit_id, {", ".join(f"count_if({rule}) AS {name}" for name, rule in shapes.items())}, CAST(max(depth) AS BIGINT) AS depth, count(*) AS nodes FROM (
+    return f"""SELECT unit_id, {", ".join(f"count(CASE WHEN {rule} THEN 1 END) AS {name}" for name, rule in shapes.items())}, CAST(max(depth) AS BIGINT) AS depth, count(*) AS nodes FROM (
   SELECT *, greatest(0, sum(CASE WHEN tok = '(' THEN 1 WHEN tok = ')' THEN -1 ELSE 0 END) OVER (PARTITION BY unit_id ORDER BY pos)) AS depth FROM unit_tokens) t GROUP BY unit_id"""
 
 
