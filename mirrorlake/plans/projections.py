@@ -149,9 +149,8 @@ def materiality_flags(d) -> str:
 
 @sql("inline_marker", units)
 def inline_marker(d) -> str:
-    # a marker line suppresses the next unit below it in its file
-    return """SELECT m.unit_id AS marker, min(u.unit_id) AS suppressed FROM units m JOIN units u ON m.file_id = u.file_id AND u.line_no > m.line_no
-WHERE m.line LIKE '%icensed under%' GROUP BY m.unit_id"""
+    # a marker line (here: one with an address) suppresses the next unit below it in its file
+    return """SELECT marker, suppressed FROM (SELECT line, unit_id AS marker, lead(unit_id) OVER (PARTITION BY file_id ORDER BY line_no) AS suppressed FROM units) u WHERE line LIKE '%@%' AND suppressed IS NOT NULL"""
 
 
 @sql("suppress_precedence")
