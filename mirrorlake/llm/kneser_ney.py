@@ -200,7 +200,8 @@ def merge(table: pa.Table, keys_of: Callable[[np.ndarray], np.ndarray]) -> tuple
 def gathered(blocks: DataFrame, shards: int, keys_of: Callable[[np.ndarray], np.ndarray], store: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """``store`` of the blocks of each shard, by way of a middle level where there are many shards.
 
-    Blocks come by groups of ``fan_of(shards)`` shards; rows of facts have a shard below 0 and are groups of their own.
+    Blocks come by groups of ``fan_of(shards)`` shards; rows of facts have a shard below 0 and are groups of their own.  Partitions
+    are given by the shard's number, so a task has one shard, where a hash would give some tasks several.
     """
     fan = fan_of(shards)
     if fan > 1:
@@ -213,7 +214,7 @@ def gathered(blocks: DataFrame, shards: int, keys_of: Callable[[np.ndarray], np.
 
         salt = F.when(F.col("shard") < 0, F.lit(0)).otherwise(F.pmod(F.spark_partition_id(), F.lit(fan)))
         blocks = blocks.withColumn("salt", salt).repartition(shards, "shard", "salt").groupBy("shard", "salt").applyInArrow(again, BLOCKS)
-    return blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(store, schema)
+    return blocks.repartitionById(shards, "shard").groupBy("shard").applyInArrow(store, schema)
 
 
 def fan_of(shards: int) -> int:
@@ -616,7 +617,7 @@ def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_bel
     counted = texts.mapInArrow(count_ngrams, BLOCKS)
     if order == 3:
         counted = gathered(counted, shards, triple_key, store_triples, BLOCKS)
-    parts = gathered(counted, shards, pair_key, store_pairs, BLOCKS).repartition(2 * shards, "shard")
+    parts = gathered(counted, shards, pair_key, store_pairs, BLOCKS).repartitionById(2 * shards + 2, "shard")
     facts = summed(parts.groupBy("shard").applyInArrow(store_sums, "shard int, facts array<long>"), width)
     if order == 3:
         layout.triple_discounts = discounts(facts[:4])
