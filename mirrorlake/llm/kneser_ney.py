@@ -373,10 +373,17 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         if end - at > PIECE:  # cut at a space
             end = data.rfind(b" ", at, at + PIECE) + 1 or data.find(b" ", at + PIECE) + 1 or len(data)
         x = np.frombuffer(data, np.uint8, end - at, at)
+        power, inverse = _powers(PIECE)
+        if len(x) > PIECE:  # one word, with a space behind it unless the data ends: summed piece by piece
+            x = x[:-1] if x[-1] == 32 else x
+            total = sum(int(np.sum((x[k : k + PIECE] + np.uint64(1)) * power[: len(x) - k])) * pow(PRIME, k, 1 << 64) for k in range(0, len(x), PIECE))
+            hashes.append(mix(np.array([total % (1 << 64)], np.uint64)))
+            starts.append(np.array([at]))
+            at = end
+            continue
         inside = x != 32
         edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         first, last = edge[::2], edge[1::2]
-        power, inverse = _powers(1 << max(PIECE, len(x)).bit_length())
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.where(inside, x + np.uint64(1), np.uint64(0)) * power[: len(x)], dtype=np.uint64)))
         hashes.append(mix((sums[last] - sums[first]) * inverse[first]))
         starts.append(first + at)

@@ -96,7 +96,8 @@ def test_null_and_repeated_ids(spark):
 def test_word_hashes():
     rng = random.Random(4)
     blanks = " \t\n\x0b\x0c\r"
-    texts = ["".join(rng.choice("abé\x00ÿ" + blanks) for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["", " ", "ab" * 100, "one"]
+    texts = ["".join(rng.choice("abé\x00ÿ" + blanks) for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["", " ", "ab" * 100, "one", "x" * 31, "x" * 32 + " y", "x" * 33]
+    every = []
     for piece in (1 << 20, 16):
         kneser_ney.PIECE, kept = piece, kneser_ney.PIECE
         hashes, ends = kneser_ney.token_hashes([t.encode() for t in texts])
@@ -105,6 +106,8 @@ def test_word_hashes():
         assert len(hashes) == len(words) and [k for k, w in enumerate(words) if w is None] == ends.tolist()
         number = dict(zip(words, hashes.tolist()))
         assert [number[w] for w in words] == hashes.tolist() and len(set(number.values())) == len(number)
+        every.append(hashes.tolist())
+    assert every[0] == every[1]
 
 
 def test_counts_beyond_a_byte():
