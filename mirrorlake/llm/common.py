@@ -46,7 +46,7 @@ def fold(mod: int, column: str = "doc_id") -> Column:
 
 
 #: Bounds of the Arrow batches that Python workers get: rows and bytes.
-BATCH_ROWS, BATCH_BYTES = 1000, "4m"
+BATCH_ROWS, BATCH_BYTES = 1000, "2m"
 
 
 def batches(spark: SparkSession) -> None:
@@ -84,11 +84,20 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
 _WORKER_CACHES: dict[str, list] = {}
 
 
-def worker_cache(owner: str):
-    """A one-place cache of a worker process that is emptied when another owner's work begins there.
+def claim(owner: str) -> None:
+    """Empty the worker's caches of all other owners.
 
     Workers are used again by later stages; without this their memory would be the sum of all operators' caches.
     """
+    for other, caches in _WORKER_CACHES.items():
+        if other != owner and any(c.cache_info().currsize for c in caches):
+            for c in caches:
+                c.cache_clear()
+            give_back()
+
+
+def worker_cache(owner: str):
+    """A one-place cache of a worker process that is emptied when another owner's work begins there."""
     import functools
 
     def wrap(make):
@@ -97,11 +106,7 @@ def worker_cache(owner: str):
 
         @functools.wraps(make)
         def get(*args):
-            for other, caches in _WORKER_CACHES.items():
-                if other != owner and any(c.cache_info().currsize for c in caches):
-                    for c in caches:
-                        c.cache_clear()
-                    _give_back()
+            claim(owner)
             return held(*args)
 
         return get
@@ -109,7 +114,7 @@ def worker_cache(owner: str):
     return wrap
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system, where the C library can."""
     import ctypes
     import gc
@@ -199,5 +204,6 @@ def filter_texts(docs: DataFrame, accept) -> DataFrame:
         for batch in stream:
             if batch.num_rows:
                 yield batch.filter(pa.array(accept([t or "" for t in batch.column(at).to_pylist()]), pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(work, docs.schema)

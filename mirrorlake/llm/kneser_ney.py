@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, local_path, put_bytes, shared_dir, worker_cache
+from .common import batches, give_back, local_path, put_bytes, shared_dir, worker_cache
 
 #: The hash of the end of a text as a token.
 END = np.uint64(0xE2D0F7E87AC1B35D)
@@ -523,6 +523,7 @@ def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_bel
             if tally.full:
                 yield from block_batches(tally.blocks(fan))
         yield from block_batches(tally.blocks(fan))
+        give_back()
 
     def store_words(table: pa.Table) -> pa.Table:
         keys, ids, counts = merge(table, lambda ids: ids[:, 1])
@@ -564,6 +565,7 @@ def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_bel
             if tally.full:
                 yield from block_batches(tally.blocks(fan))
         yield from block_batches(tally.blocks(fan))
+        give_back()
 
     def triple_key(ids: np.ndarray) -> np.ndarray:  # rows: shard, v, u, w
         return key_of(ids[:, 2], ids[:, 1], ids[:, 3])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, filter_texts, fold
+from .common import batches, claim, filter_texts, fold
 from .labelled import labelled, sample
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -86,6 +86,19 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out.astype(np.float32), count
 
 
+def groups(texts: list[bytes], size: int = 1 << 19) -> Iterator[list[bytes]]:
+    """The texts in runs of about ``size`` bytes, one text at least: an encoding takes some forty times its texts for a moment."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 @dataclass
 class Network:
     centre: np.ndarray
@@ -109,8 +122,12 @@ class Network:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.even is not None:
             return np.full(len(texts), self.even)
-        x, count = encode(texts)
-        return self.forward((x - self.centre) / self.scale, count)["s"].astype(np.float64)
+        claim("quality-model")
+        out = [np.zeros(0)]
+        for some in groups(texts):
+            x, count = encode(some)
+            out.append(self.forward((x - self.centre) / self.scale, count)["s"].astype(np.float64))
+        return np.concatenate(out)
 
     def gradients(self, x: np.ndarray, count: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p, f = self.parts, self.forward(x, count)
@@ -166,9 +183,10 @@ def fit(training: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES)
         for batch in stream:
             if not batch.num_rows:
                 continue
-            x, count = encode([(t or "").encode() for t in batch.column(0).to_pylist()])
-            ends = np.cumsum(count).tolist()
-            out = [x[e - n : e].tobytes() for e, n in zip(ends, count.tolist(), strict=True)]
+            out = []
+            for some in groups([(t or "").encode() for t in batch.column(0).to_pylist()]):
+                x, count = encode(some)
+                out += [x[e - n : e].tobytes() for e, n in zip(np.cumsum(count).tolist(), count.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["label", "x"])
 
     rows = sample(training, most, most_bytes).orderBy("doc_id", F.xxhash64("text")).select("text", "label").mapInArrow(work, "label int, x binary").collect()
