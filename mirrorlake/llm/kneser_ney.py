@@ -44,7 +44,7 @@ from .common import batches, give_back, local_path, put_bytes, shared_dir, worke
 #: The hash of the end of a text as a token.
 END = np.uint64(0xE2D0F7E87AC1B35D)
 #: Bytes of text for which one shard is laid out; entries of a task that are sorted at once; shards that a task sends blocks to.
-SHARD_BYTES, RUN, FAN = 16 << 20, 1_500_000, 4096
+SHARD_BYTES, RUN, FAN = 16 << 20, 1_000_000, 4096
 #: A word with more than this share of a shard's tokens is dealt over several.
 HOT = 0.25
 BLOCKS = "shard int, payload binary, facts array<long>"
@@ -354,7 +354,7 @@ def text_batches(stream: Iterator[pa.RecordBatch], split: Callable[[str | None],
 
 #: White space becomes a space; the multiplier of word hashes (odd, so it has an inverse); bytes that are hashed at once, bytes of a group of texts.
 _BLANKS = bytes(32 if b in b" \t\n\v\f\r" else b for b in range(256))
-PRIME, PIECE, GROUP = 0x9E3779B97F4A7C15, 1 << 20, 2 << 20
+PRIME, PIECE, GROUP = 0x9E3779B97F4A7C15, 1 << 20, 1 << 20
 
 
 @lru_cache(maxsize=2)
