@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, license_scan, lm_score, near_duplicates, ogg_audio, packing, quality_model, quality_rules, token_counts, toxicity
+from . import bpe_codec, chat_format, license_scan, lm_score, merkle_manifest, near_duplicates, ogg_audio, packing, quality_model, quality_rules, token_counts, toxicity, vector_codes
 from .common import documents, labels
 
 
@@ -50,7 +50,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-ALL = (op1_packing, op2_license_scan, op3_quality_rules, op4_quality_model, op5_lm_score, op6_bpe_codec, op7_near_duplicates, op8_ogg_audio, op9_token_counts, op10_toxicity)
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(chat_format.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=8, entries=16, rounds=6)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(documents(spark, sf_dir), fanout=2, tampered=merkle_manifest.every_seventh)
+
+
+ALL = (op1_packing, op2_license_scan, op3_quality_rules, op4_quality_model, op5_lm_score, op6_bpe_codec, op7_near_duplicates, op8_ogg_audio, op9_token_counts, op10_toxicity, op11_chat_format, op12_vector_codes, op13_merkle_manifest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -58,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.oracle()}
+    return {"op2_license_scan": license_scan.oracle(), "op11_chat_format": chat_format.oracle(), "op12_vector_codes": vector_codes.oracle(), "op13_merkle_manifest": merkle_manifest.oracle()}
