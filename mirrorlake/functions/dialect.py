@@ -30,8 +30,12 @@ class Spark:
     def lines(self, table: str, key: str, text: str) -> str:
         return f"(SELECT {key}, CAST(line_no AS BIGINT) AS line_no, line FROM {table} LATERAL VIEW posexplode(split({text}, '\\n')) x AS line_no, line)"
 
-    def tokens(self, table: str, keys: str, text: str) -> str:
-        pattern = TOKEN.replace("\\", "\\\\")
+    def joined_by(self, x: str, order: str, sep: str) -> str:
+        """Values of a group end to end, in the order of another column."""
+        return f"array_join(transform(array_sort(collect_list(struct({order} AS o, {x} AS x))), e -> e.x), {sep})"
+
+    def tokens(self, table: str, keys: str, text: str, pattern: str = TOKEN) -> str:
+        pattern = pattern.replace("\\", "\\\\")
         return f"(SELECT {keys}, CAST(pos AS BIGINT) AS pos, tok FROM {table} LATERAL VIEW posexplode(regexp_extract_all({text}, '{pattern}', 0)) x AS pos, tok)"
 
     def array(self, items: list[str]) -> str:
@@ -128,8 +132,11 @@ class Duck:
     def lines(self, table: str, key: str, text: str) -> str:
         return f"(SELECT {key}, CAST(line_no - 1 AS BIGINT) AS line_no, parts[line_no] AS line FROM (SELECT {key}, parts, unnest(range(1, len(parts) + 1)) AS line_no FROM (SELECT {key}, string_split({text}, chr(10)) AS parts FROM {table})))"
 
-    def tokens(self, table: str, keys: str, text: str) -> str:
-        return f"(SELECT {keys}, CAST(pos - 1 AS BIGINT) AS pos, parts[pos] AS tok FROM (SELECT {keys}, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT {keys}, regexp_extract_all({text}, '{TOKEN}') AS parts FROM {table})))"
+    def joined_by(self, x: str, order: str, sep: str) -> str:
+        return f"string_agg({x}, {sep} ORDER BY {order})"
+
+    def tokens(self, table: str, keys: str, text: str, pattern: str = TOKEN) -> str:
+        return f"(SELECT {keys}, CAST(pos - 1 AS BIGINT) AS pos, parts[pos] AS tok FROM (SELECT {keys}, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT {keys}, regexp_extract_all({text}, '{pattern}') AS parts FROM {table})))"
 
     def array(self, items: list[str]) -> str:
         return f"[{', '.join(items)}]"

@@ -72,3 +72,51 @@ def substitution_witness(a: pd.Series, b: pd.Series) -> pd.DataFrame:
                 j, edits = j - 1, edits + 1
         rows.append((edits + i + j, len(pairs)))
     return pd.DataFrame(rows, columns=["edits", "changes"])
+
+
+def alignment(x: list, y: list, band: int = 64, most_cells: int = 4_000_000) -> list[tuple[int, int]] | None:
+    """Places of a longest common subsequence within a band, latest matches first taken from the ends; None if it isn't measured."""
+    n, m = len(x), len(y)
+    reach = band + abs(n - m)
+    if n * m > most_cells:
+        return None
+    codes: dict = {}
+    a = [codes.setdefault(t, len(codes)) for t in x]
+    b = np.array([codes.setdefault(t, len(codes)) for t in y], np.int64)
+    best = np.zeros((n + 1, m + 1), np.int32)
+    for i in range(n):
+        lo, hi = max(0, i - reach), min(m, i + reach + 1)
+        row = best[i].copy()
+        same = np.flatnonzero(b[lo:hi] == a[i]) + lo
+        row[same + 1] = np.maximum(row[same + 1], best[i, same] + 1)
+        best[i + 1] = np.maximum.accumulate(row)
+    pairs, i, j = [], n, m
+    while i and j:
+        if a[i - 1] == b[j - 1] and abs(i - j) <= reach and best[i, j] == best[i - 1, j - 1] + 1:
+            pairs.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+        elif best[i - 1, j] >= best[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return pairs[::-1]
+
+
+def agreement(x: str, y: str) -> float:
+    """Of two texts of tokens the share of places with the same one, over the longer."""
+    p, q = x.split(), y.split()
+    return sum(a == b for a, b in zip(p, q)) / max(len(p), len(q), 1) if p or q else 1.0  # noqa: B905  the shorter ends first
+
+
+@F.pandas_udf(StructType([StructField("sequence", DoubleType()), StructField("lexical", DoubleType())]))
+def aligned_statements(kinds_a: pd.Series, texts_a: pd.Series, kinds_b: pd.Series, texts_b: pd.Series) -> pd.DataFrame:
+    """Statements aligned by kind: 2 LCS / (n + m), and the mean agreement of the texts of aligned ones (0 if there are none); null if it isn't measured."""
+    rows = []
+    for ka, ta, kb, tb in zip(*([list(v) for v in c] for c in (kinds_a, texts_a, kinds_b, texts_b)), strict=True):
+        pairs = alignment(ka, kb)
+        if pairs is None:
+            rows.append((None, None))
+            continue
+        sequence = 2 * len(pairs) / (len(ka) + len(kb)) if ka or kb else 1.0
+        rows.append((sequence, sum(agreement(ta[i], tb[j]) for i, j in pairs) / len(pairs) if pairs else 0.0))
+    return pd.DataFrame(rows, columns=["sequence", "lexical"], dtype="float64")

@@ -105,14 +105,6 @@ def fold_restated(d) -> str:
     return f"SELECT a, b, count(*) AS kept, CAST(max(end_a - start_a) AS BIGINT) AS widest FROM ({COVERED}) x GROUP BY a, b"
 
 
-@sql("skeleton_pairs", units, unit_tokens)
-def skeleton_pairs(d) -> str:
-    # the skeleton is the run of punctuation of a unit
-    return f"""WITH s AS (SELECT unit_id, n_ops, n, md5({d.joined("ops", "")}) AS h FROM (SELECT unit_id, count(*) AS n_ops, max(n) AS n, {d.sorted_list("lpad(CAST(pos AS STRING), 6, '0') || tok")} AS keyed, {d.sorted_list("tok")} AS ops FROM (
-  SELECT *, count(*) OVER (PARTITION BY unit_id) AS n FROM unit_tokens) t WHERE kind = 'punct' GROUP BY unit_id) x WHERE n_ops >= 4)
-SELECT a.unit_id AS a, b.unit_id AS b FROM s a JOIN (SELECT h FROM s GROUP BY h HAVING count(*) BETWEEN 2 AND {LIST_CAP}) k ON a.h = k.h JOIN s b ON a.h = b.h AND a.unit_id < b.unit_id AND greatest(a.n, b.n) <= 3 * least(a.n, b.n)"""
-
-
 @sql("lift_pairs", *LSH, *SEEDS[1:], units, windows, window_pairs, written=(minhashes, fingerprints))
 def lift_pairs(d) -> str:
     # distinct pairs of three sources; each counted once, by the first gate that drops it

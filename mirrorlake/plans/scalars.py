@@ -76,26 +76,12 @@ def set_jaccard(d) -> str:
   SELECT unit_id, {d.pieces("line", " ")} AS x, {d.pieces("nxt", " ")} AS y FROM (SELECT unit_id, line, lead(line) OVER (PARTITION BY file_id ORDER BY line_no) AS nxt FROM units) n WHERE nxt IS NOT NULL) p"""
 
 
-@sql("subtree_jaccard", units)
-def subtree_jaccard(d) -> str:
-    # a file's subtrees are its lines; a file beside the next of its number
-    return f"""WITH s AS (SELECT file_id, {d.sorted_set("md5(line)")} AS h FROM units GROUP BY file_id)
-SELECT a.file_id, round({d.common("a.h", "b.h")} * 1e0 / {d.either("a.h", "b.h")}, 6) AS jaccard FROM s a JOIN s b ON b.file_id = a.file_id + 1"""
-
-
 @sql("api_jaccard")
 def api_jaccard(d) -> str:
     return f"""WITH s AS (SELECT l_orderkey AS id, {d.sorted_set("l_suppkey")} AS targets FROM lineitem GROUP BY l_orderkey)
 SELECT a.id, round({d.common("a.targets", "b.targets")} * 1e0 / {d.either("a.targets", "b.targets")}, 6) AS jaccard FROM s a JOIN s b ON b.id = a.id + 1"""
 
 
-@sql("cfg_similarity")
-def cfg_similarity(d) -> str:
-    return """SELECT a, round(CASE WHEN ops = 0 AND ops2 = 0 THEN NULL WHEN h = h2 THEN 1e0 ELSE 1e0 - (abs(ops - ops2) + abs(depth - depth2)) * 1e0 / (ops + ops2 + depth + depth2) END, 6) AS similarity FROM (
-  SELECT p_partkey AS a, p_size AS ops, length(p_name) AS depth, p_type AS h, lead(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS ops2, lead(length(p_name)) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS depth2,
-    lead(p_type) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS h2 FROM part) x WHERE ops2 IS NOT NULL"""
-
-
 @sql("path_functions")
 def path_functions(d) -> str:
     return f"SELECT page_id, {d.extract('url', '^(.*)/[^/]*$')} AS directory, {d.extract('url', '^https?://([^/]+)')} AS host, {d.extract('url', '^https?://([^/]+/[^/?#]+)')} AS leading_two FROM pages"
