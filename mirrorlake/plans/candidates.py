@@ -149,12 +149,21 @@ def grouped(d) -> str:
     return "SELECT DISTINCT doc_id FROM exact_members"
 
 
+#: Files with a bin of their size; two sizes within a ratio of 1.7 lie in one bin or in neighbouring ones.
+SIZED = "SELECT doc_id, source, lang, n_chars, CAST(floor(ln(n_chars) / 0.53) AS BIGINT) AS bin FROM documents WHERE n_chars > 0"
+
+
+def near_sizes(d) -> str:
+    """The first file of every group three times, with the bins of the sizes near its own."""
+    return f"SELECT gid, source, lang, n_chars, CAST(floor(ln(n_chars) / 0.53) AS BIGINT) + k AS near_bin FROM exact_members CROSS JOIN {d.series('-1', '1', 'k')} s WHERE rn = 1 AND n_chars > 0"
+
+
 @sql("siblings_similarity", exact_members, grouped)
 def siblings_similarity(d) -> str:
     # ungrouped files of a directory that holds a group member, near in size to the group's first; at most 8 a group
-    return """SELECT gid, doc_id, score FROM (SELECT m.gid, d.doc_id, round(least(d.n_chars, m.n_chars) * 1e0 / greatest(d.n_chars, m.n_chars), 6) AS score,
-  row_number() OVER (PARTITION BY m.gid ORDER BY least(d.n_chars, m.n_chars) * 1e0 / greatest(d.n_chars, m.n_chars) DESC, d.doc_id) AS r FROM exact_members m
-  JOIN documents d ON m.source = d.source AND m.lang = d.lang AND m.rn = 1 WHERE d.n_chars > 0 AND NOT EXISTS (SELECT 1 FROM grouped g WHERE g.doc_id = d.doc_id)
+    return f"""SELECT gid, doc_id, score FROM (SELECT m.gid, d.doc_id, round(least(d.n_chars, m.n_chars) * 1e0 / greatest(d.n_chars, m.n_chars), 6) AS score,
+  row_number() OVER (PARTITION BY m.gid ORDER BY least(d.n_chars, m.n_chars) * 1e0 / greatest(d.n_chars, m.n_chars) DESC, d.doc_id) AS r FROM ({near_sizes(d)}) m
+  JOIN ({SIZED}) d ON m.source = d.source AND m.lang = d.lang AND m.near_bin = d.bin WHERE NOT EXISTS (SELECT 1 FROM grouped g WHERE g.doc_id = d.doc_id)
   AND least(d.n_chars, m.n_chars) * 10 >= 6 * greatest(d.n_chars, m.n_chars)) x WHERE r <= 8"""
 
 
@@ -170,7 +179,7 @@ WHERE s.sharing <= 8 AND NOT EXISTS (SELECT 1 FROM grouped g WHERE g.doc_id = s.
 @sql("siblings_merged", exact_members, grouped)
 def siblings_merged(d) -> str:
     return f"""SELECT coalesce(a.gid, b.gid) AS gid, coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NOT NULL THEN 'signature' ELSE 'similarity' END AS basis FROM (
-  SELECT m.gid, d.doc_id FROM exact_members m JOIN documents d ON m.source = d.source AND m.lang = d.lang AND m.rn = 1 WHERE NOT EXISTS (SELECT 1 FROM grouped g WHERE g.doc_id = d.doc_id) AND least(d.n_chars, m.n_chars) * 10 >= 8 * greatest(d.n_chars, m.n_chars)) a
+  SELECT m.gid, d.doc_id FROM ({near_sizes(d)}) m JOIN ({SIZED}) d ON m.source = d.source AND m.lang = d.lang AND m.near_bin = d.bin WHERE NOT EXISTS (SELECT 1 FROM grouped g WHERE g.doc_id = d.doc_id) AND least(d.n_chars, m.n_chars) * 10 >= 8 * greatest(d.n_chars, m.n_chars)) a
 FULL OUTER JOIN (SELECT DISTINCT m.gid, s.doc_id FROM exact_members m JOIN {SIGNATURE} o ON m.doc_id = o.doc_id JOIN {SIGNATURE} s ON o.sig = s.sig AND o.source = s.source
   WHERE s.sharing <= 8 AND NOT EXISTS (SELECT 1 FROM grouped g WHERE g.doc_id = s.doc_id)) b ON a.gid = b.gid AND a.doc_id = b.doc_id"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.relations import K, exact_members, fingerprints, kgrams, postings, tokens, unit_groups, unit_tokens, units
+from ..sources.relations import MOST_LINES, K, exact_members, fingerprints, kgrams, postings, tokens, unit_groups, unit_tokens, units
 from .sql import sql
 
 CAP, BUDGET = 64, 1_000_000
@@ -58,7 +58,10 @@ def statement_windows(d) -> str:
 
 @sql("occurrence_ranks", units, unit_groups)
 def occurrence_ranks(d) -> str:
-    return "SELECT unit_id, gid, CAST(rn - 1 AS BIGINT) AS occurrence FROM unit_groups"
+    # numbered within bins of 1,000 files, after the sizes of the bins before; a class has a row a bin
+    bins = f"SELECT *, CAST(floor(unit_id / {1000 * MOST_LINES}) AS BIGINT) AS bin FROM unit_groups"
+    return f"""SELECT unit_id, b.gid, CAST(ahead + row_number() OVER (PARTITION BY b.gid, b.bin ORDER BY unit_id) - 1 AS BIGINT) AS occurrence FROM ({bins}) b
+JOIN (SELECT gid, bin, sum(n) OVER (PARTITION BY gid ORDER BY bin) - n AS ahead FROM (SELECT gid, bin, count(*) AS n FROM ({bins}) x GROUP BY gid, bin) y) s ON b.gid = s.gid AND b.bin = s.bin"""
 
 
 @sql("content_entropy", tokens)

@@ -40,8 +40,10 @@ def segment_ids(d) -> str:
 
 @sql("innermost_unit")
 def innermost_unit(d) -> str:
-    return """SELECT point, owner FROM (SELECT a.p_partkey AS point, b.p_partkey AS owner, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_size, b.p_partkey) AS r
-  FROM part a JOIN part b ON a.p_partkey >= b.p_partkey AND a.p_partkey < b.p_partkey + b.p_size AND floor(a.p_partkey / 50) - floor(b.p_partkey / 50) BETWEEN 0 AND 1) x WHERE r = 1"""
+    # a span of at most 64 lies in two bins of 64; the join is on the bin
+    return f"""SELECT point, owner FROM (SELECT a.p_partkey AS point, b.id AS owner, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.n, b.id) AS r
+  FROM part a JOIN (SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS n, CAST(floor(p_partkey / 64) AS BIGINT) + k AS bin FROM part CROSS JOIN {d.series("0", "1", "k")} s) b
+  ON CAST(floor(a.p_partkey / 64) AS BIGINT) = b.bin AND a.p_partkey >= b.id AND a.p_partkey < b.id + b.n) x WHERE r = 1"""
 
 
 @sql("bracket_depth")
@@ -115,7 +117,10 @@ FROM part a JOIN part b ON a.p_size = b.p_size AND b.p_partkey = a.p_partkey + 5
 
 @sql("no_self_overlap")
 def no_self_overlap(d) -> str:
-    return f"SELECT a.id AS a, b.id AS b, NOT (a.s < b.e AND b.s < a.e) AS apart FROM ({SPANS}) a JOIN ({SPANS}) b ON a.file = b.file AND b.id > a.id"
+    # pairs of one file's spans that overlap, which are no copies of each other: by bins of 64 that two spans share, each pair in the bin where the later one starts
+    spans = "SELECT p_partkey AS id, p_brand AS file, p_partkey AS s, p_partkey + p_size AS e FROM part"
+    return f"""SELECT a.id AS a, b.id AS b, CAST(least(a.e, b.e) - b.s AS BIGINT) AS shared FROM (SELECT *, CAST(floor(s / 64) AS BIGINT) + k AS bin FROM ({spans}) p CROSS JOIN {d.series("0", "1", "k")} q) a
+JOIN ({spans}) b ON a.file = b.file AND a.bin = CAST(floor(b.s / 64) AS BIGINT) AND a.s < b.s AND b.s < a.e"""
 
 
 @sql("no_adjoining")

@@ -27,7 +27,8 @@ FROM g JOIN bn ON g.n = bn.n AND g.part = bn.part JOIN bd ON g.bin = bd.bin"""
 @sql("top_groups", exact_members)
 def top_groups(d) -> str:
     # ten groups, five occurrences of each
-    return """SELECT gid, doc_id, CAST(rn AS BIGINT) AS occurrence FROM exact_members m WHERE rn <= 5 AND EXISTS (SELECT 1 FROM (SELECT gid FROM exact_members GROUP BY gid ORDER BY max(n_chars) DESC, gid LIMIT 10) t WHERE t.gid = m.gid)"""
+    # (a rank that is filtered alone is cut to five a group before its shuffle)
+    return """SELECT gid, doc_id, CAST(r AS BIGINT) AS occurrence FROM (SELECT gid, doc_id, row_number() OVER (PARTITION BY gid ORDER BY doc_id) AS r FROM exact_members) m WHERE r <= 5 AND EXISTS (SELECT 1 FROM (SELECT gid FROM exact_members GROUP BY gid ORDER BY max(n_chars) DESC, gid LIMIT 10) t WHERE t.gid = m.gid)"""
 
 
 @sql("top_priority")
@@ -38,12 +39,14 @@ def top_priority(d) -> str:
 @sql("capped_topk", exact_members)
 def capped_topk(d) -> str:
     # at most two of a group, then at most 1,000 in the order of visiting, which alone are numbered
-    return """SELECT gid, doc_id, CAST(row_number() OVER (ORDER BY gid, doc_id) AS BIGINT) AS k FROM (SELECT gid, doc_id FROM exact_members WHERE rn <= 2 ORDER BY gid, doc_id LIMIT 1000) x"""
+    return """SELECT gid, doc_id, CAST(row_number() OVER (ORDER BY gid, doc_id) AS BIGINT) AS k FROM (
+  SELECT gid, doc_id FROM (SELECT gid, doc_id, row_number() OVER (PARTITION BY gid ORDER BY doc_id) AS r FROM exact_members) m WHERE r <= 2 ORDER BY gid, doc_id LIMIT 1000) x"""
 
 
 @sql("min_identifier_view", exact_members)
 def min_identifier_view(d) -> str:
-    return "SELECT gid, n, total FROM (SELECT gid, count(*) AS n, min(n_chars) AS least, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM exact_members GROUP BY gid) g WHERE least >= 500"
+    # the total is over all groups, also those out of view: one row, not a window over all
+    return "SELECT gid, n, (SELECT count(*) FROM exact_members) AS total FROM (SELECT gid, count(*) AS n, min(n_chars) AS least FROM exact_members GROUP BY gid) g WHERE least >= 500"
 
 
 @sql("retention_topn")
