@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.dialect import Duck, Spark
+from ..operators import runs
+from ..operators.graph import cut
+from ..registry import register
+from ..sources.code import code_files, code_lines, code_tokens
 from ..sources.relations import exact_members, fingerprints, kgrams, postings, tokens, unit_groups, unit_tokens, units
 from .fingerprinting import CAP, LIST_CAP, LSH, minhashes
-from .sql import sql
+from .sql import composed, frame, sql
 
 
 def seed_pairs(d) -> str:
@@ -81,28 +91,73 @@ def fold_window_matches(d) -> str:
     return "SELECT a, b, CAST(shift AS BIGINT) AS shift, CAST(start_a AS BIGINT) AS start_a, CAST(end_a AS BIGINT) AS end_a, windows FROM islands"
 
 
-@sql("maximal_equal_runs", units)
-def maximal_equal_runs(d) -> str:
-    # equal lines of two files on a diagonal, gaps and islands by position less row number
-    return f"""SELECT a, b, CAST(shift AS BIGINT) AS shift, CAST(min(pa) AS BIGINT) AS first_a, CAST(count(*) AS BIGINT) AS run_length FROM (
-  SELECT a, b, shift, pa, pa - row_number() OVER (PARTITION BY a, b, shift ORDER BY pa) AS island FROM (
-    SELECT x.file_id AS a, y.file_id AS b, x.k AS pa, y.k - x.k AS shift FROM (SELECT file_id, md5(line) AS h, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS k, count(*) OVER (PARTITION BY md5(line)) AS held FROM units) x
-    JOIN (SELECT file_id, md5(line) AS h, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS k FROM units) y ON x.h = y.h AND x.file_id < y.file_id WHERE x.held <= {LIST_CAP}) p) q GROUP BY a, b, shift, island HAVING count(*) >= 2"""
+#: Tokens of a gram and grams of a winnowing window; places that a gram may have.
+GRAM, WINDOW, PLACES = 20, 4, 64
+
+
+def segments(d) -> str:
+    """Tokens of derived programs with the number of the function that they lie in; function names alone begin with f and a digit."""
+    return f"SELECT file_id, pos, tok, CAST(sum(CASE WHEN {d.matches('tok', '^f[0-9]+$')} THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos) AS BIGINT) AS seg FROM code_tokens"
+
+
+def code_seeds(d) -> str:
+    """Places of two files (or of one, apart) with an equal gram, which is the least of its window and which few places hold."""
+    gram = " || ' ' || ".join(["tok"] + [f"lead(tok, {i}) OVER (PARTITION BY file_id, seg ORDER BY pos)" for i in range(1, GRAM)])
+    over = f"(PARTITION BY file_id, seg ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)"
+    prints = f"""SELECT DISTINCT file_id, w.x AS h, -w.y AS pos FROM (SELECT file_id, {d.least_pair("h", "-pos", over)} AS w, count(*) OVER {over} AS held, count(*) OVER (PARTITION BY file_id, seg) AS n FROM (
+  SELECT file_id, seg, pos, {d.h60("gram")} AS h FROM (SELECT file_id, seg, pos, {gram} AS gram FROM segments) g WHERE gram IS NOT NULL) k) w WHERE held = {WINDOW} OR (n < {WINDOW} AND held = n)"""
+    return f"""SELECT a.file_id AS a, b.file_id AS b, a.pos AS pa, b.pos AS pb FROM ({prints}) a JOIN (SELECT h FROM ({prints}) p GROUP BY h HAVING count(*) BETWEEN 2 AND {PLACES}) c ON a.h = c.h
+JOIN ({prints}) b ON a.h = b.h AND (a.file_id < b.file_id OR (a.file_id = b.file_id AND a.pos + {GRAM} <= b.pos))"""
+
+
+PROGRAMS = (code_lines, code_files, code_tokens, segments)
+
+
+@register(
+    "maximal_equal_runs",
+    composed(
+        {r.__name__: r(Duck()) for r in (*PROGRAMS, code_seeds)},
+        # token by token: all equal tokens on the diagonals of seeds, islands of neighbours in one pair of segments, those that hold a seed
+        """WITH equal AS (SELECT a, b, shift, x.pos AS pa, x.seg AS sa, y.seg AS sb FROM (SELECT DISTINCT a, b, pb - pa AS shift FROM code_seeds) s JOIN segments x ON x.file_id = a JOIN segments y ON y.file_id = b AND y.pos = x.pos + shift AND y.tok = x.tok),
+islands AS (SELECT a, b, shift, min(pa) AS first_a, max(pa) AS last_a FROM (SELECT *, pa - row_number() OVER (PARTITION BY a, b, shift, sa, sb ORDER BY pa) AS island FROM equal) e GROUP BY a, b, shift, sa, sb, island)
+SELECT DISTINCT i.a, i.b, first_a AS start_a, first_a + i.shift AS start_b, last_a - first_a + 1 AS length FROM islands i JOIN code_seeds s ON s.a = i.a AND s.b = i.b AND s.pb - s.pa = i.shift AND s.pa BETWEEN first_a AND last_a""",
+    ),
+)
+def maximal_equal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of equal tokens, grown as far as both sides agree within their functions."""
+    toks = cut(frame(spark, sf_dir, PROGRAMS, "SELECT * FROM segments"))
+    toks.createOrReplaceTempView(view := f"mirrorlake_segments_{uuid.uuid4().hex[:8]}")
+    found = cut(spark.sql(composed({"segments": f"SELECT * FROM {view}"}, code_seeds(Spark()))))
+    spark.catalog.dropTempView(view)
+    return runs.extend(runs.segmented(toks), found, GRAM)
 
 
 COVERED = """SELECT * FROM islands i WHERE NOT EXISTS (SELECT 1 FROM islands o WHERE o.a = i.a AND o.b = i.b AND o.start_a <= i.start_a AND o.end_a >= i.end_a AND o.start_b <= i.start_b AND o.end_b >= i.end_b
   AND (o.end_a - o.start_a > i.end_a - i.start_a OR (o.end_a - o.start_a = i.end_a - i.start_a AND (o.shift < i.shift OR (o.shift = i.shift AND o.start_a < i.start_a)))))"""
 
 
-@sql("drop_contained_rects", *WINDOWS, islands)
-def drop_contained_rects(d) -> str:
-    return f"SELECT a, b, CAST(shift AS BIGINT) AS shift, CAST(start_a AS BIGINT) AS start_a, CAST(end_a AS BIGINT) AS end_a FROM ({COVERED}) x"
+ISLANDS = (*WINDOWS, islands)
+
+
+def uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that lie in no other one of their pair of files, by a sweep over each pair."""
+    return runs.uncovered(frame(spark, sf_dir, ISLANDS, "SELECT a, b, CAST(shift AS BIGINT) AS shift, CAST(start_a AS BIGINT) AS start_a, CAST(end_a AS BIGINT) AS end_a, CAST(start_b AS BIGINT) AS start_b, CAST(end_b AS BIGINT) AS end_b FROM islands"))
+
+
+def all_pairs(text: str) -> str:
+    """An oracle that holds every run against every other one of its pair of files."""
+    return composed({r.__name__: r(Duck()) for r in ISLANDS}, text)
+
+
+@register("drop_contained_rects", all_pairs(f"SELECT a, b, CAST(shift AS BIGINT) AS shift, CAST(start_a AS BIGINT) AS start_a, CAST(end_a AS BIGINT) AS end_a FROM ({COVERED}) x"))
+def drop_contained_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uncovered(spark, sf_dir).select("a", "b", "shift", "start_a", "end_a")
 
 
-@sql("fold_restated", *WINDOWS, islands)
-def fold_restated(d) -> str:
-    # of the runs of a pair of files the widest of those that cover one another stays
-    return f"SELECT a, b, count(*) AS kept, CAST(max(end_a - start_a) AS BIGINT) AS widest FROM ({COVERED}) x GROUP BY a, b"
+@register("fold_restated", all_pairs(f"SELECT a, b, count(*) AS kept, CAST(max(end_a - start_a) AS BIGINT) AS widest FROM ({COVERED}) x GROUP BY a, b"))
+def fold_restated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the runs of a pair of files the widest of those that cover one another stays."""
+    return uncovered(spark, sf_dir).groupBy("a", "b").agg(F.count("*").alias("kept"), F.max(F.col("end_a") - F.col("start_a")).alias("widest"))
 
 
 @sql("lift_pairs", *LSH, *SEEDS[1:], units, windows, window_pairs, written=(minhashes, fingerprints))
