@@ -108,13 +108,6 @@ def not_nested_pairs(d) -> str:
 WHERE NOT (a.s <= b.s AND b.e <= a.e) AND NOT (b.s <= a.s AND a.e <= b.e)"""
 
 
-@sql("arm_exclusion")
-def arm_exclusion(d) -> str:
-    # arm paths of two levels; two rows exclude each other if they first differ in an arm of the same conditional
-    return """SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_brand <> b.p_brand THEN true WHEN a.p_type <> b.p_type THEN true ELSE false END AS excluded
-FROM part a JOIN part b ON a.p_size = b.p_size AND b.p_partkey = a.p_partkey + 50"""
-
-
 @sql("no_self_overlap")
 def no_self_overlap(d) -> str:
     # pairs of one file's spans that overlap, which are no copies of each other: by bins of 64 that two spans share, each pair in the bin where the later one starts

@@ -78,9 +78,3 @@ SELECT 'duplicate', count(*) FROM (SELECT l_orderkey, l_suppkey FROM lineitem GR
 @sql("operation_edges", ops)
 def operation_edges(d) -> str:
     return "SELECT op, nxt, count(*) AS n FROM (SELECT op, lead(op) OVER (PARTITION BY unit ORDER BY k) AS nxt FROM ops) x WHERE nxt IS NOT NULL GROUP BY op, nxt"
-
-
-@sql("declaring_unit")
-def declaring_unit(d) -> str:
-    # in pre-order: the last line of less depth (here a user's turn) before an answer
-    return "SELECT conv_id, turn, coalesce(CAST(max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT), -1) AS declared_at FROM conversations WHERE turn >= 0"
