@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from .sql import sql
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions.dialect import Duck
+from ..operators import semantic
+from ..operators.graph import cut
+from ..registry import register
+from .sql import composed, frame, sql
 
 
 def ops(d) -> str:
@@ -32,11 +38,53 @@ def api_normalize(d) -> str:
     return f"SELECT unit, count(m.op_kind) AS registered, count(*) - count(m.op_kind) AS excluded, round(count(m.op_kind) * 1e0 / count(*), 6) AS coverage FROM ops o LEFT JOIN {API} m ON o.op = m.name GROUP BY unit"
 
 
-@sql("semantic_rules", ops)
-def semantic_rules(d) -> str:
-    # four matchers over neighbouring operations: equal sequence, exact pair, direct construct, lifecycle
-    return """SELECT rule, count(*) AS hits, count(DISTINCT unit) AS units FROM (SELECT unit, CASE WHEN op = nxt THEN 'equivalent' WHEN op = 'view' AND nxt = 'purchase' THEN 'exact-pair' WHEN op = 'error' THEN 'construct' WHEN op = 'signup' AND nxt IS NOT NULL THEN 'lifecycle' END AS rule FROM (
-  SELECT unit, op, lead(op) OVER (PARTITION BY unit ORDER BY k) AS nxt FROM ops) x) y WHERE rule IS NOT NULL GROUP BY rule"""
+def operations(d) -> str:
+    """Operations with what is known of them: kinds by the event, tags by the event's property (unknown ones are null), language and variant by the user."""
+    kinds = ["source", "filter", "map", "reduce", "collect", "map", "propagate_error", "validate", "acquire_resource", "release_resource", "io", "map"]
+    pick = lambda words, by: f"CASE {by} " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(words) if w) + " END"
+    apis = ["rust::ToString::to_string", "rust::str::parse", "std::to_string", "std::stoull"]
+    return f"""SELECT unit, k, CASE WHEN user_id % 2 = 0 THEN 'rust' ELSE 'cpp' END AS language, CASE WHEN user_id % 3 = 0 THEN 'debug' ELSE 'release' END AS variant, {pick(kinds, "h % 12")} AS kind,
+  {pick(["text", "number", "", "text"], "CAST(floor(h / 12) AS BIGINT) % 4")} AS type_tag, {pick(["result", "option", ""], "CAST(floor(h / 48) AS BIGINT) % 3")} AS fallible,
+  {pick(["result_adapter", "option_adapter", ""], "CAST(floor(h / 144) AS BIGINT) % 3")} AS direct, {pick(["file", "lock"], "CAST(floor(h / 432) AS BIGINT) % 2")} AS resource,
+  CASE WHEN h % 12 IN (2, 5, 11) THEN {pick(apis, "CASE WHEN h % 12 = 2 THEN 0 WHEN h % 12 = 5 THEN 1 ELSE 2 + CAST(floor(h / 864) AS BIGINT) % 2 END")} END AS api
+FROM (SELECT unit, user_id, CAST(k AS BIGINT) AS k, {d.h60("op || CAST(CAST(floor(value) AS BIGINT) AS STRING)")} AS h FROM ops) o"""
+
+
+FIRST = "kind = 'map' AND api = '{}' AND next_kind = 'map' AND next_api = '{}'"
+#: The rules again for the oracle, by what stands beside an operation.
+BESIDE = [
+    ("rust-serialization-round-trip-v1", FIRST.format("rust::ToString::to_string", "rust::str::parse"), 1),
+    ("cpp-serialization-round-trip-v1", FIRST.format("std::to_string", "std::stoull"), 1),
+    ("result-direct-propagation-v1", "kind = 'propagate_error' AND fallible = 'result' AND direct = 'result_adapter'", 0),
+    ("option-direct-propagation-v1", "kind = 'propagate_error' AND fallible = 'option' AND direct = 'option_adapter'", 0),
+    ("optional-validation-v1", "kind = 'validate' AND fallible = 'option'", 0),
+    ("result-validation-v1", "kind = 'validate' AND fallible = 'result'", 0),
+    ("resource-lifecycle-v1", "kind = 'acquire_resource' AND next_kind = 'release_resource' AND next_resource = resource", 1),
+]
+
+
+@register(
+    "semantic_rules",
+    composed(
+        {"ops": ops(Duck()), "operations": operations(Duck())},
+        f"""WITH beside AS (SELECT *, row_number() OVER w - 1 AS place, lead(kind) OVER w AS next_kind, lead(api) OVER w AS next_api, lead(resource) OVER w AS next_resource FROM operations WINDOW w AS (PARTITION BY unit ORDER BY k)),
+runs AS (SELECT a.unit, a.place AS first, min(b.place) - 1 AS last FROM (SELECT *, lag(kind) OVER (PARTITION BY unit ORDER BY k) AS last_kind FROM beside) a JOIN (SELECT unit, place, kind FROM beside UNION ALL SELECT unit, max(place) + 1, 'end' FROM beside GROUP BY unit) b
+  ON a.unit = b.unit AND b.place > a.place AND b.kind NOT IN ('source', 'filter', 'map', 'reduce', 'collect') WHERE a.kind IN ('source', 'filter', 'map', 'reduce', 'collect') AND coalesce(a.last_kind, '') NOT IN ('source', 'filter', 'map', 'reduce', 'collect') GROUP BY a.unit, a.place)
+SELECT unit, 'sequence-pipeline-v1' AS rule, first, last FROM runs r WHERE last > first AND EXISTS (SELECT 1 FROM beside b WHERE b.unit = r.unit AND b.place BETWEEN first AND last AND b.kind <> 'map') """
+        + " ".join(f"UNION ALL SELECT unit, '{name}', place, place + {more} FROM beside WHERE {when}" for name, when, more in BESIDE),
+    ),
+)
+def semantic_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the operations of a unit match a rule; a place may match several."""
+    return semantic.spans(frame(spark, sf_dir, (ops, operations), "SELECT * FROM operations"))
+
+
+@register("semantic_groups")
+def semantic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of compatible spans under each rule."""
+    found = cut(frame(spark, sf_dir, (ops, operations), "SELECT * FROM operations"))
+    made, _ = semantic.groups(cut(semantic.classes(found, semantic.spans(found))))
+    return made.drop("group_id")
 
 
 @sql("semantic_windows", ops)
