@@ -1,3 +1,3 @@
 """The registered queries; importing this package registers all of them."""
 
-from . import artifacts, candidates, conditionals, evaluation, fingerprinting, grouping, history, projections, ranking, scalars, semantics, sources, stores, syntax, verification  # noqa: F401
+from . import artifacts, candidates, conditionals, discovery, evaluation, fingerprinting, grouping, history, projections, ranking, scalars, semantics, sources, stores, syntax, verification  # noqa: F401
