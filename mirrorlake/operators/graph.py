@@ -3,25 +3,32 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_MADE: list[str] = []
+_LOCAL: list[str] = []
+#: Folders written to the shared one, and the session that can remove them.
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 @atexit.register
 def _sweep() -> None:
-    for path in _MADE:
+    for path in _LOCAL:
         shutil.rmtree(path, ignore_errors=True)
+    for spark, path in _WRITTEN:
+        with contextlib.suppress(Exception):  # a session that has ended can't be asked; the folder is then its owner's to remove
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written to the shared folder (spark.checkpoint.dir) and read back.
+    """Cut the lineage: the rows are written to the shared folder (spark.checkpoint.dir) and read back.  The folder is removed when the driver's Python ends.
 
     Where none is set a local session makes its own folder; on a cluster there is none that all share, and this raises.
     """
@@ -30,10 +37,12 @@ def cut(frame: DataFrame) -> DataFrame:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _MADE:
-            _MADE.append(tempfile.mkdtemp(prefix="mirrorlake-"))
-        root = _MADE[0]
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="mirrorlake-"))
+        root = _LOCAL[0]
     path, schema = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}", frame.schema
+    if not _LOCAL:
+        _WRITTEN.append((spark, path))
     frame.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..sources.lexers import lex, units
 from .align import sequence_similarity
-from .cluster import cohesive_groups, severed_pairs
+from .cluster import grouped, placed, severed
 from .graph import cut
 
 FUNCTIONS = "file_id long, language string, name string, first_line int, last_line int, raw array<string>, numbered array<string>, shape array<string>"
@@ -75,9 +75,11 @@ def grams(shape: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(shape) - GRAM + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(shape, i, GRAM), " "))))
 
 
-def least_hash(seed: int) -> Column:
-    """A MinHash value of the column grams."""
-    return F.array_min(F.transform("grams", lambda g: F.xxhash64(g, F.lit(seed))))
+def bands_of(classes: DataFrame) -> DataFrame:
+    """(node, language, band): hashes of two MinHash values each, all values from one aggregate over the grams."""
+    least = [F.min(F.xxhash64("gram", F.lit(s))).alias(f"m{s}") for s in range(VALUES)]
+    signed = classes.select("node", "language", F.explode("grams").alias("gram")).groupBy("node", "language").agg(*least)
+    return signed.select("node", "language", F.explode(F.array(*[F.xxhash64(F.lit(k), f"m{2 * k}", f"m{2 * k + 1}") for k in range(VALUES // 2)])).alias("band"))
 
 
 def find(files: DataFrame, similar: float = 0.7, list_cap: int = 256) -> Found:
@@ -90,9 +92,7 @@ def find(files: DataFrame, similar: float = 0.7, list_cap: int = 256) -> Found:
         .withColumn("node", F.monotonically_increasing_id())
         .withColumn("grams", grams(F.col("shape")))
     )
-    values = [least_hash(s) for s in range(VALUES)]
-    bands = classes.select("node", "language", F.array(*[F.xxhash64(F.lit(k), values[2 * k], values[2 * k + 1]) for k in range(VALUES // 2)]).alias("bands")).select("node", F.explode("bands").alias("band"), "language")
-    bands = cut(bands)
+    bands = cut(bands_of(classes))
     lists = bands.groupBy("language", "band").agg(F.count("*").alias("held")).where("held > 1")
     kept = bands.join(lists.where(F.col("held") <= list_cap).select("language", "band"), ["language", "band"])
     pairs = kept.select("language", "band", F.col("node").alias("a")).join(kept.select("language", "band", F.col("node").alias("b")), ["language", "band"]).where("a < b").select("a", "b").distinct()
@@ -103,14 +103,15 @@ def find(files: DataFrame, similar: float = 0.7, list_cap: int = 256) -> Found:
     worth = 0.4 * sequence_similarity("shape_a", "shape_b") + 0.4 * overlap("grams") + 0.2 * overlap("raw")
     edges = both.where(shorter >= similar * longer).select("a", "b", worth.alias("similarity")).where(F.col("similarity") >= similar)
     edges = cut(edges)
-    near = cut(cohesive_groups(edges, similar, similar))
+    ends = cut(placed(edges, keys=classes.select("node", F.col("class_id").alias("key"))))
+    near = cut(grouped(ends, similar, similar))
     unit = lambda c: classes.select(F.col("node").alias(c), F.col("unit_id").alias(f"unit_{c}"))
-    severed = severed_pairs(edges).join(unit("a"), "a").join(unit("b"), "b").select(F.col("unit_a").alias("a"), F.col("unit_b").alias("b"), "similarity")
+    apart = severed(ends).join(unit("a"), "a").join(unit("b"), "b").select(F.col("unit_a").alias("a"), F.col("unit_b").alias("b"), "similarity")
     alone = classes.join(near, classes.node == near.member, "left_anti").where("held > 1").select(F.col("node").alias("medoid"), F.col("node").alias("member"))
-    placed = near.unionAll(alone).join(classes.select(F.col("node").alias("member"), "class_id", "held", "raws"), "member")
+    seats = near.unionAll(alone).join(classes.select(F.col("node").alias("member"), "class_id", "held", "raws"), "member")
     canonical = classes.select(F.col("node").alias("medoid"), F.col("unit_id").alias("canonical"))
-    groups = placed.groupBy("medoid").agg(F.sum("held").alias("members"), F.count("*").alias("classes"), F.max("raws").alias("raws")).join(canonical, "medoid")
+    groups = seats.groupBy("medoid").agg(F.sum("held").alias("members"), F.count("*").alias("classes"), F.max("raws").alias("raws")).join(canonical, "medoid")
     kind = F.when(F.col("classes") > 1, "type-3").when(F.col("raws") > 1, "type-2").otherwise("type-1")
     group_id = F.sha2(F.col("canonical").cast("string"), 256)
-    members = placed.join(canonical, "medoid").select(group_id.alias("group_id"), "class_id").join(functions.select("class_id", "unit_id", "file_id", "name"), "class_id")
-    return Found(functions.drop("raw", "numbered", "shape"), groups.select(group_id.alias("group_id"), kind.alias("class"), "members", "canonical"), members, lists.where(F.col("held") > list_cap), severed)
+    members = seats.join(canonical, "medoid").select(group_id.alias("group_id"), "class_id").join(functions.select("class_id", "unit_id", "file_id", "name"), "class_id")
+    return Found(functions.drop("raw", "numbered", "shape"), groups.select(group_id.alias("group_id"), kind.alias("class"), "members", "canonical"), members, lists.where(F.col("held") > list_cap), apart)
