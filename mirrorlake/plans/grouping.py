@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import growth
 from ..operators.budget import admitted
 from ..operators.graph import cut
 from ..registry import register
+from ..sources.code import CODE_TOKEN, WORDS, code_files, code_lines
 from ..sources.relations import exact_members, tokens, unit_groups, units
 from .fingerprinting import LSH, minhashes
-from .sql import run, sql
+from .sql import frame, run, sql
 
 
 @sql("exact_groups", exact_members)
@@ -87,10 +89,17 @@ def confirm_regions(d) -> str:
     return "SELECT lower(line) AS form, count(*) AS occurrences, CASE WHEN count(DISTINCT line) = 1 THEN 'type-1' ELSE 'type-2' END AS class FROM units WHERE extent >= 20 GROUP BY lower(line) HAVING count(*) > 1"
 
 
-@sql("grow_runs", units, unit_groups)
-def grow_runs(d) -> str:
-    # confirmed neighbours in a file that continue each other in another file too
-    return """SELECT a.gid AS first_gid, b.gid AS next_gid, count(*) AS places FROM unit_groups a JOIN unit_groups b ON a.file_id = b.file_id AND b.line_no = a.line_no + 1 GROUP BY a.gid, b.gid HAVING count(*) > 1"""
+def code_text(d) -> str:
+    """Lines of derived programs with their tokens."""
+    return f"SELECT file_id, line_no AS k, regexp_extract_all(line, '{CODE_TOKEN.replace(chr(92), chr(92) * 2)}', 0) AS toks FROM {d.lines('code_files', 'file_id', 'content')} l"
+
+
+@register("grow_runs")
+def grow_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renamed runs of lines of derived programs that continue each other at all of their places, confirmed as a whole."""
+    lines = cut(frame(spark, sf_dir, (code_lines, code_files, code_text), "SELECT * FROM code_text"))
+    words = tuple(WORDS.split())
+    return growth.grow(lines, cut(growth.windows(lines, words=words)), words=words)
 
 
 @sql("medoid_sample")
