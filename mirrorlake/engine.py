@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from .operators import graph, structural
 from .sources.run_store import RunStore
+from .sources.scan import matches_any
 
 #: Files of a group that may be joined by one hash.
 HOT = 50_000
+#: What ranks groups, from instances, size and directories.
+WORTH = "instances / (instances + 2) * 0.5 + size / (size + 120) * 0.35 + (directories - 1) / directories * 0.15"
 
 
 @dataclass
@@ -36,8 +39,7 @@ class Engine:
         hashed = files.withColumn("content_hash", F.sha2("content", 256)).withColumn("size", F.length("content"))
         # counts are summed before they are shuffled, so that a hash which most files share is no hot spot
         held = hashed.where("content IS NOT NULL").groupBy("language", "content_hash").agg(F.count("*").alias("instances"), F.min("file_id").alias("canonical"), F.max("size").alias("size"), F.count_distinct("directory").alias("directories")).where("instances > 1")
-        worth = F.col("instances") / (F.col("instances") + 2) * 0.5 + F.col("size") / (F.col("size") + 120) * 0.35 + (F.col("directories") - 1) / F.col("directories") * 0.15
-        groups = graph.cut(held.withColumn("priority", F.round(worth, 9)).withColumn("group_id", F.sha2(F.concat_ws("|", "language", "content_hash"), 256)))
+        groups = graph.cut(held.withColumn("priority", F.round(F.expr(WORTH), 9)).withColumn("group_id", F.sha2(F.concat_ws("|", "language", "content_hash"), 256)))
         # groups of very many files are few (at most all files by HOT): they are broadcast to their members, the others joined by hash
         key = ["language", "content_hash"]
         large, small = (groups.where(rule).select(*key, "group_id", "canonical") for rule in (F.col("instances") > HOT, F.col("instances") <= HOT))
@@ -48,13 +50,29 @@ class Engine:
             self.store.write(run_id, found.tables())
         return found
 
-    def scan_structural(self, files: DataFrame, similar: float = 0.7) -> structural.Found:
-        """Groups of exact, renamed and edited copies of functions in the files of a known language."""
-        return structural.find(files, similar)
+    def scan_structural(self, files: DataFrame, run_id: int | None = None, similar: float = 0.7, suppress: tuple[str, ...] = ()) -> structural.Found:
+        """Groups of exact, renamed and edited copies of functions in the files of a known language; recorded as a run if there is a store and an id.
+
+        A recorded group has its size (tokens of the canonical function), directories, priority, and whether it is suppressed: all of its members
+        lie in paths that match a glob of ``suppress``.
+        """
+        found = structural.find(files, similar)
+        if self.store and run_id is not None:
+            at = files.select("file_id", "path", "directory")
+            members = graph.cut(found.members.join(at, "file_id").withColumn("hidden", matches_any(F.col("path"), list(suppress))))
+            facts = members.groupBy("group_id").agg(F.count_distinct("directory").alias("directories"), F.bool_and("hidden").alias("suppressed"))
+            size = found.functions.select(F.col("unit_id").alias("canonical"), F.col("tokens").alias("size"))
+            groups = found.groups.withColumnRenamed("members", "instances").join(facts, "group_id").join(size, "canonical")
+            members = members.join(groups.select("group_id", "canonical"), "group_id").select("group_id", "unit_id", "file_id", "path", "name", (F.col("unit_id") == F.col("canonical")).alias("is_canonical"))
+            self.store.write(run_id, {"files": files.drop("content"), "groups": groups.withColumn("priority", F.round(F.expr(WORTH), 9)), "members": members, "pairs": found.split})
+        return found
 
     def report(self, run_id: int, limit: int = 10) -> DataFrame:
-        """Groups of a recorded run in order of priority; 0 lifts the limit."""
-        groups = self.store.read("groups").where(F.col("run_id") == run_id).orderBy(F.desc("priority"), "group_id")
+        """Groups of a recorded run in order of priority, without suppressed ones; 0 lifts the limit."""
+        groups = self.store.read("groups").where(F.col("run_id") == run_id)
+        if "suppressed" in groups.columns:
+            groups = groups.where(~F.coalesce("suppressed", F.lit(False)))
+        groups = groups.orderBy(F.desc("priority"), "group_id")
         return groups.limit(limit) if limit else groups
 
     def explain(self, run_id: int, prefix: str) -> DataFrame:

@@ -70,7 +70,12 @@ def units(tokens: list[tuple[str, str, int, int]], language: str) -> list[tuple[
         elif text == "}" and stack:
             close[stack.pop()] = i
     out = []
+    bodies: list[int] = []  # ends of the function bodies around, the innermost last
     for i, (kind, text, _, line) in enumerate(tokens):
+        while bodies and i >= bodies[-1]:
+            bodies.pop()
+        if text == "{" and i in close and _is_body(tokens, i):
+            bodies.append(close[i])
         if kind != "keyword" and not (language != "rust" and text == "("):
             continue
         found = None
@@ -79,7 +84,7 @@ def units(tokens: list[tuple[str, str, int, int]], language: str) -> list[tuple[
             found = ("function" if text == "fn" else "impl" if text == "impl" else "record", name, i)
         elif language != "rust" and text in ("struct", "class", "union", "enum"):
             found = ("record", tokens[i + 1][1] if i + 1 < len(tokens) and tokens[i + 1][0] == "ident" else "", i)
-        elif text == "(" and i and tokens[i - 1][0] == "ident" and not any(b < i < e for b, e in close.items() if _is_body(tokens, b)):
+        elif text == "(" and i and tokens[i - 1][0] == "ident" and not bodies:
             found = ("function", tokens[i - 1][1], i - 1)
         if found:
             depth = 0

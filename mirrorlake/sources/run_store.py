@@ -28,7 +28,8 @@ class RunStore:
         return self.spark.read.option("basePath", f"{self.root}/_runs").parquet(f"{self.root}/_runs")
 
     def read(self, name: str) -> DataFrame:
-        frame = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}")
+        # runs of different kinds have columns of their own, which are null in the others
+        frame = self.spark.read.option("basePath", f"{self.root}/{name}").option("mergeSchema", "true").parquet(f"{self.root}/{name}")
         return frame.join(self.runs().select("run_id"), "run_id", "left_semi")
 
     def preceding(self, run_id: int) -> int | None:

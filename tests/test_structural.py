@@ -77,3 +77,32 @@ def test_no_files(spark):
 def test_forms():
     raw, numbered, shape = structural.forms([("ident", "a", 0, 1), ("punct", "=", 0, 1), ("ident", "b", 0, 1), ("punct", "+", 0, 1), ("ident", "a", 0, 1), ("number", "1", 0, 1)])
     assert (raw, numbered, shape) == (["a", "=", "b", "+", "a", "1"], ["v0", "=", "v1", "+", "v0", "1"], ["v", "=", "v", "+", "v", "l"])
+
+
+SHAPES = {
+    "rust": ["fn sum(values: &[i32]) -> i32 {\n    let mut total = 0;\n    for value in values {\n        if value % 2 == 0 {\n            total += value;\n        }\n    }\n    total\n}\n",
+             "fn sum(values: &[i32]) -> i32 {\n    let mut total = 0;\n    let mut seen = 0;\n    for value in values {\n        seen += 1;\n        if value % 2 == 0 {\n            total += value;\n        }\n    }\n    let _ = seen;\n    total\n}\n"],
+    "c": ["int sum(const int *values, int n) {\n    int total = 0;\n    for (int i = 0; i < n; i += 1) {\n        if (values[i] > 2) {\n            total += values[i];\n        }\n    }\n    return total;\n}\n",
+          "int sum(const int *values, int n) {\n    int total = 0;\n    int seen = 0;\n    for (int i = 0; i < n; i += 1) {\n        seen += 1;\n        if (values[i] > 2) {\n            total += values[i];\n        }\n    }\n    total += seen - seen;\n    return total;\n}\n"],
+}
+
+
+def test_kinds_of_copies_are_recorded_as_a_run(spark, tmp_path):
+    """Of each language the seed, the same in another place, a renamed and an edited one: a group, and the edited one beside the seed as a pair, as it is too far from the renamed one; a run of them is ranked, suppressed, explained and compared."""
+    rows = []
+    for language, (seed, edited) in SHAPES.items():
+        other = re.sub(r"\b(values|total|sum)\b", lambda m: {"values": "items", "total": "all", "sum": "add"}[m[0]], seed)
+        rows += [(len(rows) + k, f"{language}/d{k}/f.x", f"{language}/d{k}", language, t) for k, t in enumerate([seed, "// copied\n\n" + seed, other, edited])]
+    lone = "fn lone(a: &str) -> bool { match a { \"x\" => true, \"y\" => { return check(a, 3); } _ => a.len() > 4 } }\n"
+    rows.append((90, "rust/d9/f.x", "rust/d9", "rust", lone))
+    files = spark.createDataFrame(rows, "file_id long, path string, directory string, language string, content string").repartition(2)
+    engine = Engine(spark, str(tmp_path / "store"))
+    found = engine.scan_structural(files, run_id=1, suppress=("c/**",))
+    file_of = {r.unit_id: r.file_id - (r.file_id in (1, 5)) for r in found.functions.collect()}  # a copy stands for its seed
+    assert {frozenset((file_of[r.a], file_of[r.b])) for r in engine.store.read("pairs").collect()} == {frozenset((0, 3))} and found.severed.count() == 0
+    shown = engine.report(1).collect()
+    assert [(r.instances, r["class"], r.directories) for r in shown] == [(3, "type-2", 3)] and 0 < shown[0].priority < 1
+    assert {r.file_id for r in engine.explain(1, shown[0].group_id[:12]).collect()} == {0, 1, 2}
+    engine.scan_structural(files.where("file_id <> 3"), run_id=2)
+    assert [(r.instances, r["class"]) for r in engine.report(2).collect()] == [(3, "type-2"), (3, "type-2")]
+    assert {r.state for r in engine.baseline_delta(1, 2).collect()} == {"continuing"}
