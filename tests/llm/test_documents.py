@@ -307,4 +307,4 @@ def test_samples_are_the_least_hashed_whole_texts(spark):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)] and set(queries.oracle_sql()) <= set(queries.queries())
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)] and set(queries.oracle_sql()) <= set(queries.queries())
