@@ -80,10 +80,10 @@ FILES = ["a.rs", "b.rs", "d.rs", "x.c", "#a", "!b", ".h.rs"]
 
 
 def test_patterns_equal_a_walk(spark):
-    for _ in range(6):
-        paths = sorted({"/".join([RNG.choice(NAMES) for _ in range(RNG.randint(0, 4))] + [RNG.choice(FILES)]) for _ in range(150)})
+    for _ in range(3):
+        paths = sorted({"/".join([RNG.choice(NAMES) for _ in range(RNG.randint(0, 4))] + [RNG.choice(FILES)]) for _ in range(400)})
         ignores = {}
-        for _ in range(RNG.randint(1, 6)):
+        for _ in range(RNG.randint(4, 9)):
             at = "/".join(RNG.choice(paths).split("/")[:-1][: RNG.randint(0, 2)])
             ignores[at, RNG.choice([".gitignore", ".ignore"])] = RNG.choices(LINES, k=RNG.randint(1, 4))
         files = [(f"{d}/{n}" if d else n, "\n".join(lines)) for (d, n), lines in ignores.items()]
