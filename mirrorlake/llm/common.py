@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,7 +120,10 @@ def give_back() -> None:
     import ctypes
     import gc
 
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -190,7 +194,20 @@ def local_path(path: str) -> str:
     return copy
 
 
-# --- filters that keep whole rows -----------------------------------------------------------------
+# --- texts in bounded runs, filters that keep whole rows ------------------------------------------
+
+
+def groups(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
+    """The texts in runs of about ``size`` bytes, one text at least."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def filter_texts(docs: DataFrame, accept) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, give_back, local_path, put_bytes, shared_dir, worker_cache
+from .common import batches, claim, give_back, local_path, put_bytes, shared_dir, worker_cache
 
 #: The hash of the end of a text as a token.
 END = np.uint64(0xE2D0F7E87AC1B35D)
@@ -70,14 +70,27 @@ def key_of(*ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def sum_by_key(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, one row of ``ids`` for each, and summed counts."""
-    if not len(keys):
-        return keys, ids, counts
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], ids[order[first]], np.add.reduceat(counts[order], first, axis=0)
+def sum_by_key(keys: list[np.ndarray], ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of parts laid end to end: sorted distinct keys, one row of ids for each, and summed counts.
+
+    The lists are emptied column by column, so that no more than one column is held twice.
+    """
+    own = _joined(keys)
+    if not len(own):
+        return own, _joined(ids), _joined(counts)
+    order = np.argsort(own)
+    own = own[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    own = own[first]
+    sums = narrow(np.add.reduceat(_joined(counts)[order], first, axis=0, dtype=np.int64))
+    order = order[first]
+    return own, _joined(ids)[order], sums
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
 
 
 def narrow(counts: np.ndarray) -> np.ndarray:
@@ -112,37 +125,38 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[wide]
     counts = np.frombuffer(planes, np.uint8, wide * m * n, len(used) * n).reshape(wide * m, n).T.copy("C").view(kind)
     ids[:, 1] = np.cumsum(ids[:, 1], dtype=np.uint64)
-    return ids, counts.astype(np.int64)
+    return ids, counts
 
 
 class Tally:
     """Counts of a task, sorted and summed whenever enough have come in; ``full`` once that many distinct ones are held."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]] = ([], [], [])  # keys, ids, counts
         self.size = 0
 
     def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, ids, counts))
+        self._hold(keys, ids, narrow(counts))
         self.size += len(keys)
-        if self.size >= RUN and len(self.parts) > 1:
-            self.parts = [self.merged()]
+        if self.size >= RUN and len(self.parts[0]) > 1:
+            self._hold(*sum_by_key(*self.parts))
             self.size = len(self.parts[0][0])
 
+    def _hold(self, *columns: np.ndarray) -> None:
+        for part, column in zip(self.parts, columns, strict=True):
+            part.append(column)
+
     @property
     def full(self) -> bool:
         """Half a run of distinct keys is left after summing: it is sent on, so that a task of any size holds a run at most."""
-        return len(self.parts) == 1 and self.size >= RUN // 2
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return sum_by_key(*(np.concatenate([p[i] for p in self.parts]) for i in range(3)))
+        return len(self.parts[0]) == 1 and self.size >= RUN // 2
 
     def blocks(self, fan: int) -> Iterator[tuple[int, bytes]]:
         """A packed block for each group of ``fan`` shards."""
-        if not self.parts:
+        if not self.parts[0]:
             return
-        _, ids, counts = self.merged()
-        self.parts, self.size = [], 0
+        ids, counts = sum_by_key(*self.parts)[1:]
+        self.size = 0
         yield from cut(ids, counts, fan)
 
 
@@ -183,18 +197,20 @@ def _rows(blocks: list[tuple[int, bytes]], facts: list[tuple[int, list[int]]] =
 
 def merge(table: pa.Table, keys_of: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All blocks of a group summed, a few at a time: keys (sorted), ids, counts."""
-    whole, held, size = None, [], 0
+    held, size = ([], [], []), 0
     column = table.column("payload")
     for i, cell in enumerate(column):
         ids, counts = unpack(cell.as_py())
-        held.append((keys_of(ids), ids, counts))
+        for part, x in zip(held, (keys_of(ids), ids, counts), strict=True):
+            part.append(x)
         size += len(ids)
         if size >= RUN or i == len(column) - 1:
-            if whole is not None:
-                held.append(whole)
-            whole = sum_by_key(*(np.concatenate([h[k] for h in held]) for k in range(3)))
-            held, size = [], len(whole[0]) // 2
-    return whole
+            for part, x in zip(held, sum_by_key(*held), strict=True):
+                part.append(x)
+            size = len(held[0][0]) // 2
+    del ids, counts, x
+    keys, ids, counts = (part.pop() for part in held)
+    return keys, ids, counts.astype(np.int64)
 
 
 def gathered(blocks: DataFrame, shards: int, keys_of: Callable[[np.ndarray], np.ndarray], store: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -354,7 +370,7 @@ def text_batches(stream: Iterator[pa.RecordBatch], split: Callable[[str | None],
 
 #: White space becomes a space; the multiplier of word hashes (odd, so it has an inverse); bytes that are hashed at once, bytes of a group of texts.
 _BLANKS = bytes(32 if b in b" \t\n\v\f\r" else b for b in range(256))
-PRIME, PIECE, GROUP = 0x9E3779B97F4A7C15, 1 << 20, 1 << 20
+PRIME, PIECE, GROUP = 0x9E3779B97F4A7C15, 1 << 18, 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -510,6 +526,7 @@ def train(texts: DataFrame, tag: str, order: int = 2, classes: int = 1, rare_bel
         return out
 
     def count_words(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("kneser-ney")
         tally = Tally()
         for others, hashes, ends in hashed(stream, clean):
             text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))

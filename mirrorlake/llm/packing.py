@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, give_back
 from .tokenizer_files import byte_bpe, vocabulary_path
 
 SCHEMA = (
@@ -140,6 +140,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, en
             yield from out()
         bins.finish()
         yield from out()
+        give_back()
 
     packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, SCHEMA)
     return packed if with_ids else packed.drop("ids")

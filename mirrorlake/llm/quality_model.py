@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, claim, filter_texts, fold
+from .common import batches, claim, filter_texts, fold, groups
 from .labelled import labelled, sample
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 PASSAGE, BUCKETS, HIDDEN, GATE = 600, 256, 24, 12
 SAMPLE, SAMPLE_BYTES, EPOCHS, RATE, DECAY, THRESHOLD = 4000, 24 << 20, 30, 0.01, 1e-4, 0.3
+#: Bytes of text that are encoded at once, one text at least: an encoding takes some forty times its texts for a moment.
+ENCODED_BYTES = 1 << 19
 
 
 def _byte_classes() -> np.ndarray:
@@ -86,19 +88,6 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out.astype(np.float32), count
 
 
-def groups(texts: list[bytes], size: int = 1 << 19) -> Iterator[list[bytes]]:
-    """The texts in runs of about ``size`` bytes, one text at least: an encoding takes some forty times its texts for a moment."""
-    held, n = [], 0
-    for t in texts:
-        held.append(t)
-        n += len(t)
-        if n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 @dataclass
 class Network:
     centre: np.ndarray
@@ -124,7 +113,7 @@ class Network:
             return np.full(len(texts), self.even)
         claim("quality-model")
         out = [np.zeros(0)]
-        for some in groups(texts):
+        for some in groups(texts, ENCODED_BYTES):
             x, count = encode(some)
             out.append(self.forward((x - self.centre) / self.scale, count)["s"].astype(np.float64))
         return np.concatenate(out)
@@ -180,11 +169,12 @@ def fit(training: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES)
     batches(training.sparkSession)
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality-model")
         for batch in stream:
             if not batch.num_rows:
                 continue
             out = []
-            for some in groups([(t or "").encode() for t in batch.column(0).to_pylist()]):
+            for some in groups([(t or "").encode() for t in batch.column(0).to_pylist()], ENCODED_BYTES):
                 x, count = encode(some)
                 out += [x[e - n : e].tobytes() for e, n in zip(np.cumsum(count).tolist(), count.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["label", "x"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, filter_texts, fold
+from .common import batches, filter_texts, fold, groups
 from .kneser_ney import Layout, hashed, letters, reader, token_hashes, train
 from .labelled import labelled, sample
 
@@ -35,6 +35,8 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 RARE, SPANS, THRESHOLD = 4, (1,), 0.7
 #: One in so many training documents is for the curve; of these at most so many, and so many bytes of text, are used.
 PART, SAMPLE, SAMPLE_BYTES = 4, 20_000, 256 << 20
+#: Bytes of text that the filter scores at once, one text at least: scoring takes some forty times its texts for a moment.
+SCORED_BYTES = 1 << 18
 
 
 @dataclass
@@ -121,9 +123,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long"), "held_out").mapInArrow(work, SCHEMA)
 
 
+def below(texts: list[str], model: Model, threshold: float = THRESHOLD) -> np.ndarray:
+    """Which of the texts score less than ``threshold``."""
+    found = [np.zeros(0, bool)]
+    for some in groups([t.encode() for t in texts], SCORED_BYTES):
+        found.append(model.scores(*token_hashes([letters(t) for t in some])) < threshold)
+    return np.concatenate(found)
+
+
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Whole rows of ``docs`` whose texts score less than ``threshold``."""
-    return filter_texts(docs, lambda texts: model.scores(*token_hashes([letters(t.encode()) for t in texts])) < threshold)
+    return filter_texts(docs, lambda texts: below(texts, model, threshold))
 
 
 def classify(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1) -> DataFrame:
